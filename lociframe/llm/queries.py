@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, simhash, toxicity
+from . import ann, bpe, chatformat, decontam, htmltext, simhash, tokencount, toxicity, urlrules, warc
 from ._util import use_small_arrow_batches
 
 
@@ -47,5 +47,47 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive(table(spark, sf_dir, "pages"))
+    back = warc.read(spark, path, payloads="response")
+    response = F.col("record_type") == "response"
+    return back.select(
+        warc.page_of("record_id").alias("page_id"),
+        F.when(response, F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(response, F.sha2(F.coalesce("payload", F.lit(b"")), 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        warc.page_of("refers_to").alias("refers_to"),
+    )
+
+
+# fixed values: the rules of the query
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op4_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op8_chatformat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return chatformat.parse(turns, chatformat.fit(turns))
+
+
+def op10_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    named = [k for k in globals() if k.startswith("op") and k[2].isdigit()]
+    return {k: globals()[k] for k in sorted(named, key=lambda k: int(k[2:].split("_")[0]))}
