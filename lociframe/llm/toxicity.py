@@ -2,9 +2,9 @@
 
 A word is a bag of character n-grams (with marks at both ends); the bag's
 embeddings are averaged, windows of words are averaged again, and a linear
-softmax over the window gives its two class scores.  A document scores as
-its strongest window does, so that one insult in a very long text is not
-averaged away.  Embeddings and softmax are trained jointly in numpy; an
+softmax over the window gives its two class scores.  A document's margin is
+the bias plus the positive margins of its few strongest windows, so that one
+insult in a very long text is not averaged away and weaker hints add up.  Embeddings and softmax are trained jointly in numpy; an
 unseen misspelling or inflection shares most n-gram vectors with words that
 were seen.
 
@@ -79,6 +79,7 @@ class ToxicityModel:
     bias: np.ndarray
     sizes: tuple[int, ...]
     window: int
+    strongest: int
 
     def logits(self, words: list[str]) -> np.ndarray:
         if not words:
@@ -88,7 +89,7 @@ class ToxicityModel:
         return mean @ (self.softmax[:, 1] - self.softmax[:, 0])
 
     def margin(self, values: np.ndarray) -> float:
-        """Margin of a text from its words' margins: the strongest window; no words: the bias alone."""
+        """Margin of a text from its words' margins: the bias plus what its strongest windows speak for class 1."""
         bias = float(self.bias[1] - self.bias[0])
         if not len(values):
             return bias
@@ -96,11 +97,18 @@ class ToxicityModel:
         if w > 1:
             c = np.concatenate([[0.0], np.cumsum(values)])
             values = (c[w:] - c[:-w]) / w
-        return bias + float(values.max())
+        return bias + float(np.maximum(np.sort(values)[-self.strongest :], 0).sum())
 
 
-def train(texts: list[str | None], labels: list[int], sizes=(3, 4, 5), buckets: int = 1 << 17, dim: int = 8, window: int = 1, epochs: int = 60, rate: float = 0.08, sharp: float = 8.0, seed: int = 7) -> ToxicityModel:
-    """Fit by full-batch Adam.  A text's margin in training is a soft maximum of its windows' margins."""
+def train(texts: list[str | None], labels: list[int], sizes=(3, 4, 5), buckets: int = 1 << 17, dim: int = 8, window: int = 1, strongest: int = 16, epochs: int = 70, rate: float = 0.08, decay: float = 1e-4, floor: float = 1e-2, least: int = 4, positive: float = 0.4, seed: int = 7) -> ToxicityModel:
+    """Fit embeddings and softmax together by full-batch Adam.
+
+    The first third of the epochs weighs a text's windows by a softmax that
+    sharpens slowly, so that evidence common to many texts is found before
+    any one text's words are learnt by heart; then a text counts as in
+    scoring.  N-grams in fewer than ``least`` texts are left out; ``positive``
+    is the weight of class 1 as a whole.
+    """
     docs = [words_of(t) for t in texts]
     index: dict[str, int] = {}
     flat = np.array([index.setdefault(w, len(index)) for d in docs for w in d], np.int64)
@@ -109,68 +117,81 @@ def train(texts: list[str | None], labels: list[int], sizes=(3, 4, 5), buckets:
     soft = (rng.standard_normal((dim, 2)) * 0.5).astype(np.float32)
     bias = np.zeros(2, np.float32)
     lens = np.array([len(d) for d in docs], np.int64)
+    del docs
     y = np.array(labels, np.float32)
     has = lens > 0
     if not has.any() or len(set(labels)) < 2:
         rate_1 = float(y.mean()) if len(y) else 0.0
         bias[1] = np.log(max(rate_1, 1e-6) / max(1 - rate_1, 1e-6))
-        return ToxicityModel(emb * 0, soft, bias, tuple(sizes), window)
+        return ToxicityModel(emb * 0, soft, bias, tuple(sizes), window, strongest)
     ids, ptr = subwords(list(index), tuple(sizes), buckets)
     n_sub = np.diff(ptr)
-    used, local = np.unique(ids, return_inverse=True)
+    by_word = np.repeat(np.arange(len(index)), n_sub)
+    doc_of = np.repeat(np.arange(len(lens)), lens)
+    in_docs = np.bincount(np.unique(flat * len(lens) + doc_of) // len(lens), minlength=len(index))
+    seen = np.bincount(ids, weights=in_docs[by_word], minlength=buckets)
+    keep = seen[ids] >= least
+    used, local = np.unique(ids[keep], return_inverse=True)
+    by_word = by_word[keep]
     e = emb[used]
-    doc_of = np.repeat(np.arange(len(docs)), lens)
     first = np.concatenate([[0], np.cumsum(lens)[:-1]])[has]
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))[has]
+    weight = np.where(y == 1, positive / max(1, y.sum()), (1 - positive) / max(1, (1 - y).sum()))[has]
     y_has = y[has]
+    at = (np.cumsum(has) - 1)[doc_of]
     params, state = [e, soft, bias], [[np.zeros_like(p), np.zeros_like(p)] for p in (e, soft, bias)]
-    place = np.concatenate([[0], np.cumsum(has)])[:-1]
+    n_win = np.minimum(np.arange(len(flat)) + window, np.repeat(np.cumsum(lens), lens)) - np.arange(len(flat))
 
     def smooth(v: np.ndarray) -> np.ndarray:
         """Mean over the window that begins at each word, inside its document."""
         if window == 1:
             return v
         c = np.concatenate([[0.0], np.cumsum(v)])
-        end = np.minimum(np.arange(len(v)) + window, np.repeat(np.cumsum(lens), lens))
-        return (c[end] - c[:-1]) / np.maximum(1, end - np.arange(len(v)))
+        return (c[np.arange(len(v)) + n_win] - c[:-1]) / n_win
 
+    warm = epochs // 3
     for step in range(1, epochs + 1):
-        mean = np.add.reduceat(e[local], ptr[:-1], axis=0) / n_sub[:, None]
         diff = soft[:, 1] - soft[:, 0]
-        z = smooth((mean @ diff)[flat])
-        top = np.maximum.reduceat(z, first)
-        at = place[doc_of]
-        a = np.exp(sharp * np.clip(z - top[at], -60 / sharp, 0))
-        total = np.add.reduceat(a, first)
-        share = a / total[at]
-        pooled = np.add.reduceat(share * z, first)
+        gram = e @ diff  # the average over a bag and the softmax commute: one number for each n-gram is enough
+        z = smooth((np.bincount(by_word, weights=gram[local], minlength=len(index)) / n_sub)[flat])
+        if step <= warm:
+            sharp = 0.25 * 32 ** (step / warm)
+            a = np.exp(sharp * np.clip(z - np.maximum.reduceat(z, first)[at], -60 / sharp, 0))
+            share = a / np.add.reduceat(a, first)[at]
+            pooled = np.add.reduceat(share * z, first)
+        else:
+            some = np.flatnonzero(z > 0)
+            order = some[np.lexsort((-z[some], at[some]))]
+            begin = np.concatenate([[True], at[order][1:] != at[order][:-1]]) if len(order) else np.zeros(0, bool)
+            nth = np.arange(len(order)) - np.maximum.accumulate(np.where(begin, np.arange(len(order)), 0))
+            share = np.zeros(len(z))
+            share[order[nth < strongest]] = 1.0
+            none = np.add.reduceat(share, first) == 0  # a text without evidence learns from its best window
+            share[(none & (y_has == 1))[at] & (z == np.maximum.reduceat(z, first)[at])] = 1.0
+            pooled = np.add.reduceat(share * np.maximum(z, 0), first)
         p = 1 / (1 + np.exp(-np.clip(pooled + bias[1] - bias[0], -30, 30)))
         g_doc = (p - y_has) * weight
         g = share * g_doc[at]
         if window > 1:  # hand each window's gradient to its words
             back = np.zeros(len(g) + 1)
-            end = np.minimum(np.arange(len(g)) + window, np.repeat(np.cumsum(lens), lens))
-            part = g / np.maximum(1, end - np.arange(len(g)))
-            np.add.at(back, np.arange(len(g)), part)
-            np.add.at(back, end, -part)
+            np.add.at(back, np.arange(len(g)), g / n_win)
+            np.add.at(back, np.arange(len(g)) + n_win, -g / n_win)
             g = np.cumsum(back)[:-1]
-        g_word = np.bincount(flat, weights=g, minlength=len(index))
-        g_diff = (mean * g_word[:, None]).sum(axis=0)
-        per = np.repeat(g_word / n_sub, n_sub)
-        g_e = np.bincount(local, weights=per, minlength=len(used))[:, None] * diff[None, :]
+        g_word = np.bincount(flat, weights=g, minlength=len(index)) / n_sub
+        g_gram = np.bincount(local, weights=g_word[by_word], minlength=len(used))
+        g_diff = g_gram @ e
         gb = float(g_doc.sum())
-        grads = [g_e, np.stack([-g_diff, g_diff], axis=1), np.array([-gb, gb])]
+        grads = [g_gram[:, None] * diff[None, :] + decay * e, np.stack([-g_diff, g_diff], axis=1) + decay * soft, np.array([-gb, gb])]
         for q, gr, s in zip(params, grads, state, strict=True):
             gr = gr.astype(np.float32) * 1e3  # Adam does not mind the scale; its epsilon does
             s[0] += 0.1 * (gr - s[0])
             s[1] += 0.01 * (gr * gr - s[1])
-            q -= rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.99**step)) + 1e-4)
+            q -= rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.99**step)) + floor)
     emb *= 0  # n-grams never seen in training say nothing
     emb[used] = e
-    return ToxicityModel(emb, soft, bias, tuple(sizes), window)
+    return ToxicityModel(emb, soft, bias, tuple(sizes), window, strongest)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rule: Column, max_rows: int = 2000, max_chars: int = 4_000_000, label: str = "toxic") -> pd.DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, rule: Column, max_rows: int = 4000, max_chars: int = 10_000_000, label: str = "toxic") -> pd.DataFrame:
     """At most ``max_rows`` labelled texts of each class for which ``rule`` (over doc_id) holds.
 
     Rows are taken in the order of their id's hash until ``max_rows`` rows of
@@ -188,7 +209,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rule: Column, max_rows:
     return out[out.groupby("y")["n"].transform(lambda n: n.fillna(0).cumsum()) <= max_chars] if len(out) else out
 
 
-def fit(docs: DataFrame, labels: DataFrame, rule: Column, max_rows: int = 2000, max_chars: int = 4_000_000, **options) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, rule: Column, max_rows: int = 4000, max_chars: int = 10_000_000, **options) -> ToxicityModel:
     sample = labelled_sample(docs, labels, rule, max_rows, max_chars)
     return train(list(sample["text"]), list(sample["y"]), **options)
 
@@ -216,11 +237,7 @@ def score(docs: DataFrame, model: ToxicityModel, memo: int = 200_000) -> DataFra
             new = list(new)
             known.update(zip(new, m.logits(new).tolist(), strict=True))
             get = known.__getitem__
-            if m.window == 1:
-                base = float(m.bias[1] - m.bias[0])
-                z = np.array([base + max(map(get, t)) if t else base for t in texts])
-            else:
-                z = np.array([m.margin(np.fromiter(map(get, t), float, len(t))) for t in texts])
+            z = np.array([m.margin(np.fromiter(map(get, t), float, len(t))) for t in texts])
             out = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array(out)], [*names, "toxicity"])
 
