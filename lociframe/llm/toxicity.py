@@ -34,7 +34,15 @@ def words_of(text: str | None) -> list[str]:
     return words
 
 
-def subwords(words: list[str], sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: list[str], sizes: tuple[int, ...], buckets: int, chunk: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """(flat bucket ids, start of each word) for any number of words, in chunks that bound the working memory."""
+    parts = [_subwords(words[at : at + chunk], sizes, buckets) for at in range(0, len(words), chunk)]
+    counts = np.concatenate([np.diff(p) for _, p in parts]) if parts else np.zeros(0, np.int64)
+    ids = np.concatenate([i for i, _ in parts]) if parts else np.zeros(0, np.int32)
+    return ids, np.concatenate([[0], np.cumsum(counts)])
+
+
+def _subwords(words: list[str], sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(flat bucket ids, start of each word): hashed n-grams of ``<word>``, and the whole word, computed for all words at once."""
     marked = [f"<{w}>" for w in words]
     lens = np.fromiter(map(len, marked), np.int64, len(marked))
@@ -67,7 +75,12 @@ def subwords(words: list[str], sizes: tuple[int, ...], buckets: int) -> tuple[np
     ids, who = np.concatenate(ids), np.concatenate(who)
     order = np.argsort(who, kind="stable")
     counts = np.bincount(who, minlength=len(words))
-    return ids[order].astype(np.int64), np.concatenate([[0], np.cumsum(counts)])
+    return ids[order].astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _evidence(words: list[str], window: int) -> list[str]:
+    """What a text is judged by: its distinct words if a window is one word, else all words in order."""
+    return list(dict.fromkeys(words)) if window == 1 else words
 
 
 @dataclass
@@ -109,15 +122,15 @@ def train(texts: list[str | None], labels: list[int], sizes=(3, 4, 5), buckets:
     scoring.  N-grams in fewer than ``least`` texts are left out; ``positive``
     is the weight of class 1 as a whole.
     """
-    docs = [words_of(t) for t in texts]
     index: dict[str, int] = {}
-    flat = np.array([index.setdefault(w, len(index)) for d in docs for w in d], np.int64)
+    each = [np.array([index.setdefault(w, len(index)) for w in _evidence(words_of(t), window)], np.int32) for t in texts]
+    lens = np.array(list(map(len, each)), np.int64)
+    flat = np.concatenate(each) if each else np.zeros(0, np.int32)
+    del each
     rng = np.random.default_rng(seed)
     emb = (rng.standard_normal((buckets, dim)) * 0.05).astype(np.float32)
     soft = (rng.standard_normal((dim, 2)) * 0.5).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    lens = np.array([len(d) for d in docs], np.int64)
-    del docs
     y = np.array(labels, np.float32)
     has = lens > 0
     if not has.any() or len(set(labels)) < 2:
@@ -126,13 +139,16 @@ def train(texts: list[str | None], labels: list[int], sizes=(3, 4, 5), buckets:
         return ToxicityModel(emb * 0, soft, bias, tuple(sizes), window, strongest)
     ids, ptr = subwords(list(index), tuple(sizes), buckets)
     n_sub = np.diff(ptr)
-    by_word = np.repeat(np.arange(len(index)), n_sub)
-    doc_of = np.repeat(np.arange(len(lens)), lens)
-    in_docs = np.bincount(np.unique(flat * len(lens) + doc_of) // len(lens), minlength=len(index))
+    by_word = np.repeat(np.arange(len(index), dtype=np.int32), n_sub)
+    doc_of = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
+    in_docs = np.bincount(np.unique(flat.astype(np.int64) * len(lens) + doc_of) // len(lens), minlength=len(index))
     seen = np.bincount(ids, weights=in_docs[by_word], minlength=buckets)
     keep = seen[ids] >= least
-    used, local = np.unique(ids[keep], return_inverse=True)
-    by_word = by_word[keep]
+    used = np.flatnonzero(np.bincount(ids[keep], minlength=buckets))
+    place = np.zeros(buckets, np.int32)
+    place[used] = np.arange(len(used))
+    local, by_word = place[ids[keep]], by_word[keep]
+    del ids, keep
     e = emb[used]
     first = np.concatenate([[0], np.cumsum(lens)[:-1]])[has]
     weight = np.where(y == 1, positive / max(1, y.sum()), (1 - positive) / max(1, (1 - y).sum()))[has]
@@ -191,7 +207,7 @@ def train(texts: list[str | None], labels: list[int], sizes=(3, 4, 5), buckets:
     return ToxicityModel(emb, soft, bias, tuple(sizes), window, strongest)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rule: Column, max_rows: int = 4000, max_chars: int = 10_000_000, label: str = "toxic") -> pd.DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, rule: Column, max_rows: int = 3000, max_chars: int = 6_000_000, label: str = "toxic") -> pd.DataFrame:
     """At most ``max_rows`` labelled texts of each class for which ``rule`` (over doc_id) holds.
 
     Rows are taken in the order of their id's hash until ``max_rows`` rows of
@@ -209,7 +225,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rule: Column, max_rows:
     return out[out.groupby("y")["n"].transform(lambda n: n.fillna(0).cumsum()) <= max_chars] if len(out) else out
 
 
-def fit(docs: DataFrame, labels: DataFrame, rule: Column, max_rows: int = 4000, max_chars: int = 10_000_000, **options) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, rule: Column, max_rows: int = 3000, max_chars: int = 6_000_000, **options) -> ToxicityModel:
     sample = labelled_sample(docs, labels, rule, max_rows, max_chars)
     return train(list(sample["text"]), list(sample["y"]), **options)
 
@@ -229,7 +245,7 @@ def score(docs: DataFrame, model: ToxicityModel, memo: int = 200_000) -> DataFra
     def run(batches):
         m, known = shared.value, {}
         for b in small_batches(batches, "text"):
-            texts = [words_of(t) for t in b.column("text").to_pylist()]
+            texts = [_evidence(words_of(t), m.window) for t in b.column("text").to_pylist()]
             new = set().union(*texts).difference(known)
             if len(known) + len(new) > memo:
                 known.clear()
