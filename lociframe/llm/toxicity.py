@@ -113,7 +113,7 @@ class ToxicityModel:
         return bias + float(np.maximum(np.sort(values)[-self.strongest :], 0).sum())
 
 
-def train(texts: list[str | None], labels: list[int], sizes=(3, 4, 5), buckets: int = 1 << 17, dim: int = 8, window: int = 1, strongest: int = 16, epochs: int = 70, rate: float = 0.08, decay: float = 1e-4, floor: float = 1e-2, least: int = 4, positive: float = 0.4, seed: int = 7) -> ToxicityModel:
+def train(texts: list[str | None], labels: list[int], sizes=(3, 4, 5), buckets: int = 1 << 17, dim: int = 8, window: int = 1, strongest: int = 16, epochs: int = 70, rate: float = 0.08, decay: float = 3e-4, floor: float = 1e-2, least: int = 4, positive: float = 0.4, seed: int = 7) -> ToxicityModel:
     """Fit embeddings and softmax together by full-batch Adam.
 
     The first third of the epochs weighs a text's windows by a softmax that
