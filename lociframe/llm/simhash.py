@@ -129,13 +129,97 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2) ->
     return by_doc.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 3, max_distance: int = 2) -> DataFrame:
+# -- groups by similarity --------------------------------------------------------
+
+_CUTS = ((0, 21), (21, 42), (42, 64))  # bits of the three segments
+
+
+def _wide_variants(fps: DataFrame) -> DataFrame:
+    """(fp, key): one-wildcard variants of three segments; the variant's number is the deleted bit."""
+    off = "case when k < 21 then 0 when k < 42 then 21 else 42 end"
+    mask = "case when k < 42 then 2097151L else 4194303L end"
+    one = f"shiftleft(cast(k as bigint), 32) | (shiftrightunsigned(fp & ~shiftleft(1L, k), {off}) & {mask})"
+    return fps.select("fp", F.explode(F.expr(f"transform(sequence(0, 63), k -> {one})")).alias("key"))
+
+
+def candidate_pairs(fps: DataFrame, within: int = 14, crowd: int = 16) -> DataFrame:
+    """Pairs (u, v) of distinct fingerprints that share a variant of a segment and differ in at most ``within`` bits.
+
+    Three segments find every pair within five bits, and most within ten.  In
+    a variant of a crowded segment members are paired with the smallest and
+    the largest member instead of with each other.
+    """
+    seg = "array(" + ", ".join(f"shiftleft({i}L, 32) | (shiftrightunsigned(fp, {a}) & {(1 << (b - a)) - 1}L)" for i, (a, b) in enumerate(_CUTS)) + ")"
+    crowded = durable(fps.select(F.explode(F.expr(seg)).alias("segment")).groupBy("segment").count().where(F.col("count") > crowd).select("segment"), "crowded")
+    keyed = _wide_variants(fps)
+    far = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    stars = None
+    if crowded.take(1):
+        number = "shiftrightunsigned(segment, 32)"
+        width = f"case when {number} < 2 then 20 else 21 end"
+        hot = crowded.select(F.explode(F.expr(f"transform(sequence(0, {width}), i -> shiftleft({number} * 21 + i, 32) | (segment & 4294967295L & ~shiftleft(1L, cast(i as int))))")).alias("key")).distinct()
+        members = durable(keyed.join(hot, "key", "left_semi"), "crowded-members")
+        ends = members.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
+        both = members.join(ends, "key")
+        stars = both.select("fp", F.explode(F.array("low", "high")).alias("end")).where((F.col("fp") != F.col("end")) & (far("fp", "end") <= within)).select(F.greatest("fp", "end").alias("u"), F.least("fp", "end").alias("v"))
+        keyed = keyed.join(hot, "key", "left_anti")
+    a, b = keyed.alias("a"), keyed.alias("b")
+    k = F.shiftrightunsigned(F.col("a.key"), 32)
+    off = F.when(k < 21, 0).when(k < 42, 21).otherwise(42)
+    bits = F.when(k < 42, F.lit((1 << 21) - 1)).otherwise(F.lit((1 << 22) - 1))
+    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
+    differs = F.expr("shiftrightunsigned(a.fp ^ b.fp, case when shiftrightunsigned(a.key, 32) < 21 then 0 when shiftrightunsigned(a.key, 32) < 42 then 21 else 42 end)").bitwiseAND(bits.cast("long")) != 0
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= within) & (differs | (k == off)))
+    out = pairs.select(F.col("b.fp").alias("u"), F.col("a.fp").alias("v"))
+    return (out.union(stars) if stars is not None else out).distinct()
+
+
+def shingles(text: bytes | None, size: int) -> set:
+    words = (text or b"").lower().split()
+    return {tuple(words)} if len(words) < size else set(zip(*(words[i:] for i in range(size)), strict=False))
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, fingerprint_shingle: int = 3, within: int = 14) -> DataFrame:
+    """(doc_id, component_id): groups of texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
+
+    Fingerprints only propose pairs; each proposed pair's texts are compared
+    exactly.  Texts of equal fingerprint form one group.  Pairs that differ in
+    over five bits are found with a probability that falls with the distance
+    (README has measured figures).
+    """
+    by_doc = durable(fingerprints(docs, fingerprint_shingle), "fingerprints")
+    fps = durable(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fp")
+    pairs = durable(candidate_pairs(fps.select("fp"), within), "pairs")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(fps, "fp").where("first_doc is not null")
+    texts = with_columns(docs, doc_id="long", text="string").join(wanted, F.col("doc_id") == F.col("first_doc")).select("fp", "text").dropDuplicates(["fp"])
+    texts = durable(texts, "texts")  # of one document for each fingerprint of a pair
+    one, two = texts.withColumnsRenamed({"fp": "u", "text": "a"}), texts.withColumnsRenamed({"fp": "v", "text": "b"})
+
+    def verify(batches):
+        for batch in batches:
+            ok, last = [], (None, None)
+            for u, a, b in zip(batch.column("u").to_pylist(), utf8(batch.column("a")), utf8(batch.column("b")), strict=True):
+                if last[0] != u:
+                    last = (u, shingles(a, shingle))
+                s, t = last[1], shingles(b, shingle)
+                shared = len(s & t)
+                ok.append(shared >= similarity * (len(s) + len(t) - shared))
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    near = pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+    comp = connected_components(durable(near, "near"))
+    of = durable(fps.join(comp, fps.fp == comp.node, "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("component")), "fp-component")
+    least = of.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    return by_doc.join(of.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """``docs`` with one document for each near-duplicate group: the one of smallest doc_id.
 
     Repeated rows of that doc_id are the same document given twice: one of
     them stays.  Rows without a doc_id cannot be told apart and all stay.
     """
-    group = near_duplicates(docs, shingle, max_distance)
+    group = durable(similar_groups(docs, similarity, shingle), "groups")
     drop = durable(group.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct(), "drop")
     kept = docs.join(drop, docs.doc_id == drop.doc_id, "left_anti")
     twice = durable(group.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
