@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,7 +159,8 @@ def correct_indels(d: DataFrame, patient: str | None, sample: str | None, chrom:
     """Scale indels by median phyloCCF of substitutions over that of indels, over mutations present in every sample of a patient."""
     group = [x for x in (patient, sample) if x]
     who = [x for x in (patient,) if x]
-    d = d.withColumn("_indel", F.coalesce(indel, F.lit(False)))
+    # read four times below: kept once, so that neither the join nor the kernels run again
+    d = d.withColumn("_indel", F.coalesce(indel, F.lit(False))).persist(StorageLevel.MEMORY_AND_DISK)
     n = d.groupBy(*who).agg(F.count_distinct(sample).alias("_n") if sample else F.lit(1).cast("long").alias("_n"))
     key = [x for x in (patient, chrom, pos, ref) if x]
     seen = d.groupBy(*key).agg(F.sum((F.col("obsVAF") > ubiquity_vaf).cast("int")).alias("_seen"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ def consensus_barkley(basis: DataFrame, min_size: int = 5, min_jaccard: float =
     The default is label propagation, not the map equation; hand in another
     function to change that.
     """
-    raw = study_modules(basis, min_size)
+    raw = study_modules(basis, min_size).persist(StorageLevel.MEMORY_AND_DISK)  # genes of modules; joined with itself below
     edges = co_occurrence(recurrent_modules(raw, min_jaccard, s_min_jaccard), v_min, s_min)
     labels = cluster_fn([(r.gene1, r.gene2, float(r.weight)) for r in edges.collect()])  # genes of modules only
     groups: dict[int, list[str]] = {}
