@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+OP3 = """
+WITH p AS (SELECT page_id, COALESCE(html, '') AS h FROM pages),
+ d AS (SELECT page_id, CAST(STRLEN(h) AS BIGINT) AS n, SHA256(h) AS s FROM p),
+ f AS (SELECT *, MIN(page_id) OVER (PARTITION BY s) AS first FROM d)
+SELECT page_id, n AS payload_bytes, s AS payload_digest,
+ CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+FROM f"""
+
+OP4 = """
+WITH r AS (SELECT page_id, CASE WHEN INSTR(url, '://') > 0 THEN SUBSTRING(url, INSTR(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ h AS (SELECT page_id, rest, REGEXP_EXTRACT(COALESCE(rest, ''), '^[^/?#]*') AS raw FROM r),
+ u AS (SELECT page_id, TRANSLATE(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, REGEXP_EXTRACT(SUBSTRING(COALESCE(rest, ''), LENGTH(raw) + 1), '^[^?#]*') AS path FROM h),
+ q AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS v(rh, rp, verdict)),
+ m AS (SELECT u.page_id, ARG_MAX(rh || rp, LENGTH(rh || rp)) AS rule, ARG_MAX(verdict, LENGTH(rh || rp)) AS verdict
+  FROM u JOIN q ON (u.host = rh OR ENDS_WITH(u.host, '.' || rh)) AND STARTS_WITH(u.path, rp) GROUP BY u.page_id)
+SELECT u.page_id, host, path, m.rule, COALESCE(m.verdict, 'allow') AS verdict FROM u LEFT JOIN m ON u.page_id = m.page_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": OP3, "op4_urlrules": OP4}

@@ -52,8 +52,7 @@ def build_record(row: dict, date: str) -> bytes:
     payload = row.get("payload")
     block = b"" if payload is None else HTTP % len(payload) + payload
     head = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Date", date)]
-    head += [("WARC-Target-URI", row["target_uri"])] * (row.get("target_uri") is not None)
-    head += [("WARC-Refers-To", row["refers_to"])] * (row.get("refers_to") is not None)
+    head += [(name, row[key]) for name, key in (("WARC-Target-URI", "target_uri"), ("WARC-Refers-To", "refers_to")) if row.get(key) is not None]
     if row.get("payload_digest") is not None:
         head.append(("WARC-Payload-Digest", f"sha256:{row['payload_digest']}"))
     if row["record_type"] == "revisit":
@@ -286,7 +285,7 @@ class WarcWriter(DataSourceArrowWriter):
                     if out is not None:
                         out.close()
                     files.append(f"_{stem}-{len(files):04d}.warc" + ".gz" * zipped)
-                    out, n = fs.open_output_stream(f"{path}/{files[-1]}", buffer_size=1 << 20), 0
+                    out, n = fs.open_output_stream(f"{path}/{files[-1]}", compression=None, buffer_size=1 << 20), 0
                 out.write(record)
                 n += len(record)
         if out is not None:
