@@ -147,7 +147,7 @@ def sound_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
 
 
-def search(rows: DataFrame, is_query: Column, k: int = 20, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, leaf_rows: int = 256, shard_rows: int = 8192, block_queries: int = 4096, calibrate: int = 100) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int = 20, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, leaf_rows: int = 256, shard_rows: int = 2048, block_queries: int = 4096, calibrate: int = 100) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found for each row where ``is_query`` (over vec_id) holds.
 
     Nearness is the largest inner product in double precision, ties go to the

@@ -165,7 +165,7 @@ def gzip_records(f, wanted, want_payload, size: int):
                 if need:
                     parts.append(more)
                 got += len(more)
-            skip = read - len(z.unused_data) - len(pending) if skip is None else skip
+            skip = read - len(z.unused_data) if skip is None else skip
         if ok:
             yield headers, _http_body(b"".join(parts)[:n], headers) if need else None
         at += skip
