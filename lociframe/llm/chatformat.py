@@ -76,7 +76,7 @@ class ChatHmm:
 
 def _marker_table() -> np.ndarray:
     """A marker nearly always begins a turn of its role; unmarked lines say little of the role."""
-    out = np.full((6, 4), math.log(1e-4))
+    out = np.full((6, 4), math.log(1e-9))
     for s, (r, b) in enumerate(STATES):
         out[s, 3] = math.log(0.5 if b == 0 else 0.98)
         if b == 0:

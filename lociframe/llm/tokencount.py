@@ -50,6 +50,8 @@ def line_sections(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def attribute(ends: np.ndarray, starts_of: np.ndarray, ends_of: np.ndarray, rule: str) -> np.ndarray:
     """Section of each token (-1: none).  Tokens tile the text and end at ``ends``; sections are sorted and disjoint."""
+    if not len(ends):
+        return np.zeros(0, np.int64)
     begins = np.concatenate([[0], ends[:-1]])
 
     def at(byte: np.ndarray) -> np.ndarray:

@@ -237,6 +237,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition: FilePartition):
+        if partition is None:  # a folder without archives
+            return
         wish = self.options.get("payloads", "all")
         types = set(wish.split(","))
         want = (lambda h: True) if wish == "all" else (lambda h: h.get("warc-type") in types)

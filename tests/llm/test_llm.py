@@ -429,6 +429,7 @@ def test_bpe_equals_library(spark):
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, e.ids)).encode()).hexdigest() and got[i].n_tokens == len(e.ids)
     one = bpe.load(p.path("word_bpe_49k.json"))
     assert one.decode(one.encode("Hello world")) == lib.decode(lib.encode("Hello world", add_special_tokens=False).ids, skip_special_tokens=False)
+    one.encode(" ".join(t for t in texts if t))
     assert 0 < one.stats["merged"] < one.stats["words"]
 
 
