@@ -117,11 +117,11 @@ def mt_likelihood(s, d):
 @query(
     f"""WITH {MUT}, {SEG}, {JOINED}, {MT}, best AS (SELECT mut_id, ARG_MAX(k, x * LN(rate) - rate) AS mt FROM mk GROUP BY mut_id),
  v AS (SELECT jm.mut_id, mt, purity, ref_counts, nMajor + nMinor AS t, CAST(alt_counts AS DOUBLE) / (alt_counts + ref_counts) AS f, alt_counts + ref_counts AS n FROM jm LEFT JOIN best ON jm.mut_id = best.mut_id)
- SELECT mut_id, ROUND(f / purity * (purity * t + 2 * (1 - purity)) / mt, 5) AS ccf, ROUND((f - {Z} * SQRT(f * (1 - f) / n)) / purity * (purity * t + 2 * (1 - purity)) / mt, 5) AS ccf_low FROM v"""
+ SELECT mut_id, ROUND(f / purity * (purity * t + 2 * (1 - purity)) / mt, 6) AS ccf, ROUND((f - {Z} * SQRT(f * (1 - f) / n)) / purity * (purity * t + 2 * (1 - purity)) / mt, 6) AS ccf_low FROM v"""
 )
 def bootstrap_ccf_analytic(s, d):
     x = ccf.bootstrap_ccf(_joined(s, d), analytic=True).selectExpr("mut_id", "CCF as ccf", "CCF_btstr_lower as ccf_low")
-    return rounded(x, "ccf", "ccf_low", digits=5)
+    return rounded(x, "ccf", "ccf_low")
 
 
 @query()
