@@ -134,44 +134,111 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2) ->
 _CUTS = ((0, 21), (21, 42), (42, 64))  # bits of the three segments
 
 
-def _wide_variants(fps: DataFrame) -> DataFrame:
-    """(fp, key): one-wildcard variants of three segments; the variant's number is the deleted bit."""
+def _wide_variants(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with key: one-wildcard variants of three segments; the variant's number is the deleted bit."""
     off = "case when k < 21 then 0 when k < 42 then 21 else 42 end"
     mask = "case when k < 42 then 2097151L else 4194303L end"
     one = f"shiftleft(cast(k as bigint), 32) | (shiftrightunsigned(fp & ~shiftleft(1L, k), {off}) & {mask})"
-    return fps.select("fp", F.explode(F.expr(f"transform(sequence(0, 63), k -> {one})")).alias("key"))
+    return nodes.select(*nodes.columns, F.explode(F.expr(f"transform(sequence(0, 63), k -> {one})")).alias("key"))
+
+
+def _listed(within: int) -> Column:
+    """Whether members a and b of a variant are a pair to be listed there (once for each segment)."""
+    k = F.shiftrightunsigned(F.col("a.key"), 32)
+    off = F.when(k < 21, 0).when(k < 42, 21).otherwise(42)
+    bits = F.when(k < 42, F.lit((1 << 21) - 1)).otherwise(F.lit((1 << 22) - 1))
+    differs = F.expr("shiftrightunsigned(a.fp ^ b.fp, case when shiftrightunsigned(a.key, 32) < 21 then 0 when shiftrightunsigned(a.key, 32) < 42 then 21 else 42 end)").bitwiseAND(bits.cast("long")) != 0
+    return (F.col("a.node") < F.col("b.node")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= within) & (differs | (k == off))
 
 
-def candidate_pairs(fps: DataFrame, within: int = 14, crowd: int = 16) -> DataFrame:
-    """Pairs (u, v) of distinct fingerprints that share a variant of a segment and differ in at most ``within`` bits.
+def candidate_pairs(nodes: DataFrame, within: int = 14, crowd: int = 16) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (u, v) of nodes whose fingerprints share a variant of a segment and differ in at most ``within`` bits.
 
-    Three segments find every pair within five bits, and most within ten.  In
-    a variant of a crowded segment members are paired with the smallest and
-    the largest member instead of with each other.
+    ``nodes`` has the longs ``node`` (distinct) and ``fp``.  Three segments
+    find every pair within five bits, and most within ten.  In a variant of a
+    crowded segment only the pairs with one hub are listed, the member whose
+    segments are the most crowded; the second result holds all members
+    (node, fp, key) of such variants for :func:`open_members`, or None.
     """
     seg = "array(" + ", ".join(f"shiftleft({i}L, 32) | (shiftrightunsigned(fp, {a}) & {(1 << (b - a)) - 1}L)" for i, (a, b) in enumerate(_CUTS)) + ")"
-    crowded = durable(fps.select(F.explode(F.expr(seg)).alias("segment")).groupBy("segment").count().where(F.col("count") > crowd).select("segment"), "crowded")
-    keyed = _wide_variants(fps)
-    far = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-    stars = None
+    segments = nodes.select("node", F.explode(F.expr(seg)).alias("segment"))
+    crowded = durable(segments.groupBy("segment").count().where(F.col("count") > crowd), "crowded")
+    stars = members = None
     if crowded.take(1):
         number = "shiftrightunsigned(segment, 32)"
         width = f"case when {number} < 2 then 20 else 21 end"
         hot = crowded.select(F.explode(F.expr(f"transform(sequence(0, {width}), i -> shiftleft({number} * 21 + i, 32) | (segment & 4294967295L & ~shiftleft(1L, cast(i as int))))")).alias("key")).distinct()
-        members = durable(keyed.join(hot, "key", "left_semi"), "crowded-members")
-        ends = members.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high"))
-        both = members.join(ends, "key")
-        stars = both.select("fp", F.explode(F.array("low", "high")).alias("end")).where((F.col("fp") != F.col("end")) & (far("fp", "end") <= within)).select(F.greatest("fp", "end").alias("u"), F.least("fp", "end").alias("v"))
-        keyed = keyed.join(hot, "key", "left_anti")
+        company = segments.join(crowded, "segment").groupBy("node").agg(F.sum("count").alias("company"))
+        keyed = _wide_variants(nodes.join(company, "node", "left").select("node", "fp", F.coalesce("company", F.lit(0)).alias("company")))
+        members = durable(keyed.join(hot, "key", "left_semi").select("key", "node", "fp", "company"), "crowded-members")
+        hubs = members.groupBy("key").agg(F.max(F.struct("company", "node", "fp")).alias("hub"))
+        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= within
+        stars = members.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & near).select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"))
+        members = members.drop("company")
+        keyed = keyed.select("node", "fp", "key").join(hot, "key", "left_anti")
+    else:
+        keyed = _wide_variants(nodes)
     a, b = keyed.alias("a"), keyed.alias("b")
-    k = F.shiftrightunsigned(F.col("a.key"), 32)
-    off = F.when(k < 21, 0).when(k < 42, 21).otherwise(42)
-    bits = F.when(k < 42, F.lit((1 << 21) - 1)).otherwise(F.lit((1 << 22) - 1))
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    differs = F.expr("shiftrightunsigned(a.fp ^ b.fp, case when shiftrightunsigned(a.key, 32) < 21 then 0 when shiftrightunsigned(a.key, 32) < 42 then 21 else 42 end)").bitwiseAND(bits.cast("long")) != 0
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(x) <= within) & (differs | (k == off)))
-    out = pairs.select(F.col("b.fp").alias("u"), F.col("a.fp").alias("v"))
-    return (out.union(stars) if stars is not None else out).distinct()
+    out = a.join(b, (F.col("a.key") == F.col("b.key")) & _listed(within)).select(F.col("b.node").alias("u"), F.col("a.node").alias("v"))
+    return (out.union(stars) if stars is not None else out).distinct(), members
+
+
+def open_members(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members (key, node, fp, component, n) of the crowded variants that ``comp`` (node, component) has not joined to one; n counts a variant's members."""
+    of = members.join(comp, "node", "left").select("key", "node", "fp", F.coalesce("component", "node").alias("component"))
+    of = durable(of, "crowded-component")
+    of_key = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return of.join(of_key.where("low != high").select("key", "n"), "key")
+
+
+def rest_pairs(members: DataFrame, within: int = 14, block: int = 256, possible: Column | None = None) -> DataFrame:
+    """All pairs (u, v) of members of crowded variants in different components.
+
+    Every member meets every other: a variant's members are dealt into blocks
+    of about ``block`` and each pair of blocks is one join key, so that no
+    task holds a whole variant.  ``possible`` is a further condition on the
+    members a and b.
+    """
+    names = [c for c in members.columns if c != "n"]
+    of = members.select(*names, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own, every = F.expr("cast(pmod(xxhash64(node), blocks) as int)"), F.expr("explode(sequence(0, blocks - 1))")
+    a = of.select(*names, own.alias("i"), every.alias("j")).alias("a")
+    b = of.select(*names, every.alias("i"), own.alias("j")).alias("b")
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    near = same & (F.col("a.component") != F.col("b.component")) & _listed(within)
+    pairs = a.join(b, near if possible is None else near & possible)
+    return pairs.select(F.col("b.node").alias("u"), F.col("a.node").alias("v")).distinct()
+
+
+_WORDS = 16  # longs of a sketch
+
+
+def sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, size, w0, w1, ...): number of distinct shingles and a bitmap of their hashes."""
+
+    def run(batches):
+        for b in small_batches(batches, "text"):
+            sizes, bits = [], []
+            for t in utf8(b.column("text")):
+                s = shingles(t, shingle)
+                at = np.zeros(64 * _WORDS, np.uint8)
+                at[np.fromiter((_hash(b" ".join(x)) for x in s), np.uint64, len(s)) % np.uint64(64 * _WORDS)] = 1
+                sizes.append(len(s))
+                bits.append(np.packbits(at).view(np.int64))
+            w = np.stack(bits)
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sizes, pa.int64()), *(pa.array(w[:, k].copy()) for k in range(_WORDS))], ["node", "size", *(f"w{k}" for k in range(_WORDS))])
+
+    return texts.mapInArrow(run, "node long, size long, " + ", ".join(f"w{k} long" for k in range(_WORDS)))
+
+
+def _may_be_similar(similarity: float) -> Column:
+    """False only for members a and b whose sketches prove a smaller similarity.
+
+    Each bit that only one bitmap has stands for at least one shingle that only that text has.
+    """
+    lacks = lambda x, y: " + ".join(f"bit_count({x}.w{k} & ~{y}.w{k})" for k in range(_WORDS))
+    shared = F.expr(f"least(a.size - ({lacks('a', 'b')}), b.size - ({lacks('b', 'a')}))")
+    return shared * (1 + similarity) >= similarity * (F.col("a.size") + F.col("b.size")) - 1e-6
 
 
 def shingles(text: bytes | None, size: int) -> set:
@@ -179,21 +246,18 @@ def shingles(text: bytes | None, size: int) -> set:
     return {tuple(words)} if len(words) < size else set(zip(*(words[i:] for i in range(size)), strict=False))
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, fingerprint_shingle: int = 3, within: int = 14) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, fingerprint_shingle: int = 3, within: int = 14, crowd: int = 16) -> DataFrame:
     """(doc_id, component_id): groups of texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
 
     Fingerprints only propose pairs; each proposed pair's texts are compared
     exactly.  Texts of equal fingerprint form one group.  Pairs that differ in
     over five bits are found with a probability that falls with the distance
-    (README has measured figures).
+    (README has measured figures).  Crowded variants are compared with their
+    hub first; then all their pairs that are not yet in one group and that no
+    sketch proves dissimilar.
     """
     by_doc = durable(fingerprints(docs, fingerprint_shingle), "fingerprints")
-    fps = durable(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fp")
-    pairs = durable(candidate_pairs(fps.select("fp"), within), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct().join(fps, "fp").where("first_doc is not null")
-    texts = with_columns(docs, doc_id="long", text="string").join(wanted, F.col("doc_id") == F.col("first_doc")).select("fp", "text").dropDuplicates(["fp"])
-    texts = durable(texts, "texts")  # of one document for each fingerprint of a pair
-    one, two = texts.withColumnsRenamed({"fp": "u", "text": "a"}), texts.withColumnsRenamed({"fp": "v", "text": "b"})
+    fps = durable(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_doc")).withColumn("node", F.col("fp")), "distinct-fp")
 
     def verify(batches):
         for batch in batches:
@@ -206,9 +270,27 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
                 ok.append(shared >= similarity * (len(s) + len(t) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    near = pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
-    comp = connected_components(durable(near, "near"))
-    of = durable(fps.join(comp, fps.fp == comp.node, "left").select("fp", "first_doc", F.coalesce("component", "fp").alias("component")), "fp-component")
+    def texts_of(nodes):
+        """(node, text) of one document for each node."""
+        wanted = nodes.distinct().join(fps, "node").where("first_doc is not null")
+        return with_columns(docs, doc_id="long", text="string").join(wanted, F.col("doc_id") == F.col("first_doc")).select("node", "text").dropDuplicates(["node"])
+
+    def similar(pairs):
+        """Those of the pairs whose texts are similar."""
+        texts = durable(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("node"))), "texts")
+        one, two = texts.withColumnsRenamed({"node": "u", "text": "a"}), texts.withColumnsRenamed({"node": "v", "text": "b"})
+        return durable(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "near")
+
+    pairs, members = candidate_pairs(fps.select("node", "fp"), within, crowd)
+    near = similar(durable(pairs, "pairs"))
+    comp = durable(connected_components(near), "component")
+    if members is not None:
+        left = durable(open_members(members, comp), "crowded-open")
+        sketch = durable(sketches(texts_of(left.select("node")), shingle), "sketches")
+        rest = durable(rest_pairs(left.join(sketch, "node"), within, possible=_may_be_similar(similarity)), "rest-pairs")
+        if rest.take(1):
+            comp = durable(connected_components(near.union(similar(rest))), "component")
+    of = durable(fps.join(comp, "node", "left").select("fp", "first_doc", F.coalesce("component", "node").alias("component")), "fp-component")
     least = of.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     return by_doc.join(of.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "component_id")
 

@@ -134,6 +134,41 @@ def test_similar_groups_find_what_brute_force_finds(spark):
     assert all(want[got[i]] == want[i] for i in got)
 
 
+def by_rule(docs, similar, within=14):
+    """Groups of texts whose fingerprints share a one-wildcard segment, lie within ``within`` bits and that are similar."""
+    fps = {i: simhash.fingerprint(t.encode()) for i, t in docs}
+
+    def near(a, b):
+        x = fps[a] ^ fps[b]
+        return x.bit_count() <= within and any(((x >> lo) & ((1 << hi - lo) - 1)).bit_count() <= 1 for lo, hi in simhash._CUTS) and similar(a, b)
+
+    return groups([i for i, _ in docs], near)
+
+
+def test_crowded_segments_lose_no_pair(spark):
+    rng = random.Random(5)
+    base = words(rng, 300, 5000)
+    docs = [(0, " ".join(base))]
+    for n in range(1, 401):  # similar to the base, hardly any to each other
+        w = base[:]
+        for at in rng.sample(range(300), 6):
+            w[at] = f"new{n}x{at}"
+        docs.append((n, " ".join(w)))
+    sets = {i: simhash.shingles(t.encode(), 5) for i, t in docs}
+    want = by_rule(docs, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    frame = spark.createDataFrame(docs, DOCS)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame).collect()}
+    assert got == want
+    fps = sorted({simhash.fingerprint(t.encode()) for _, t in docs})
+    nodes = spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)], "node long, fp long")
+    every, none = simhash.candidate_pairs(nodes, crowd=10**6)
+    _, members = simhash.candidate_pairs(nodes)
+    alone = spark.createDataFrame([], "node long, component long")
+    uncrowded, _ = simhash.candidate_pairs(nodes)
+    got = {tuple(r) for r in uncrowded.union(simhash.rest_pairs(simhash.open_members(members, alone), block=16)).collect()}
+    assert none is None and got == {tuple(r) for r in every.collect()}  # blocks list every pair
+
+
 # -- toxicity ----------------------------------------------------------------------
 
 
