@@ -45,15 +45,24 @@ def fingerprint(text: bytes | None, shingle: int = 3, block: int = 1 << 16) -> i
     return int(np.packbits(ones * 2 > len(parts), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bit pattern as a signed long; null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 3, digest: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint's bit pattern as a signed long; null text counts as empty.
+
+    With ``digest`` a hash of the text follows.
+    """
 
     def run(batches):
         for b in small_batches(batches, "text"):
             fps = np.array([fingerprint(t, shingle) for t in utf8(b.column("text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), *(b.column(c) for c in more)], ["doc_id", "fp", *more])
+
+    more = ["digest"] if digest else []
+    texts = with_columns(docs, doc_id="long", text="string")
+    return (texts.withColumn("digest", _digest()) if digest else texts).mapInArrow(run, "doc_id long, fp long" + ", digest long" * digest)
+
 
-    return with_columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp long")
+def _digest() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _differs(a: str, b: str) -> str:
@@ -250,14 +259,15 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
     """(doc_id, component_id): groups of texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
 
     Fingerprints only propose pairs; each proposed pair's texts are compared
-    exactly.  Texts of equal fingerprint form one group.  Pairs that differ in
-    over five bits are found with a probability that falls with the distance
+    exactly, those of equal fingerprint too; only equal texts are one node
+    from the start.  Pairs that differ in over five bits are found with a probability that falls with the distance
     (README has measured figures).  Crowded variants are compared with their
     hub first; then all their pairs that are not yet in one group and that no
     sketch proves dissimilar.
     """
-    by_doc = durable(fingerprints(docs, fingerprint_shingle), "fingerprints")
-    fps = durable(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_doc")).withColumn("node", F.col("fp")), "distinct-fp")
+    by_doc = durable(fingerprints(docs, fingerprint_shingle, digest=True), "fingerprints")
+    nodes = by_doc.groupBy("fp", "digest").agg(F.min("doc_id").alias("first_doc")).withColumn("node", F.monotonically_increasing_id())
+    nodes = durable(nodes, "nodes")  # numbered once
 
     def verify(batches):
         for batch in batches:
@@ -270,10 +280,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
                 ok.append(shared >= similarity * (len(s) + len(t) - shared))
             yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    def texts_of(nodes):
-        """(node, text) of one document for each node."""
-        wanted = nodes.distinct().join(fps, "node").where("first_doc is not null")
-        return with_columns(docs, doc_id="long", text="string").join(wanted, F.col("doc_id") == F.col("first_doc")).select("node", "text").dropDuplicates(["node"])
+    def texts_of(of):
+        """(node, text) of one document for each of the nodes, without or with a doc_id."""
+        wanted = of.distinct().join(nodes, "node").withColumnRenamed("digest", "wanted")
+        texts = with_columns(docs, doc_id="long", text="string").withColumn("digest", _digest())
+        return texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("digest") == F.col("wanted"))).select("node", "text").dropDuplicates(["node"])
 
     def similar(pairs):
         """Those of the pairs whose texts are similar."""
@@ -281,7 +292,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
         one, two = texts.withColumnsRenamed({"node": "u", "text": "a"}), texts.withColumnsRenamed({"node": "v", "text": "b"})
         return durable(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "near")
 
-    pairs, members = candidate_pairs(fps.select("node", "fp"), within, crowd)
+    pairs, members = candidate_pairs(nodes.select("node", "fp"), within, crowd)
     near = similar(durable(pairs, "pairs"))
     comp = durable(connected_components(near), "component")
     if members is not None:
@@ -290,9 +301,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
         rest = durable(rest_pairs(left.join(sketch, "node"), within, possible=_may_be_similar(similarity)), "rest-pairs")
         if rest.take(1):
             comp = durable(connected_components(near.union(similar(rest))), "component")
-    of = durable(fps.join(comp, "node", "left").select("fp", "first_doc", F.coalesce("component", "node").alias("component")), "fp-component")
+    of = durable(nodes.join(comp, "node", "left").select("fp", "digest", "first_doc", F.coalesce("component", "node").alias("component")), "node-component")
     least = of.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    return by_doc.join(of.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    return by_doc.join(of.join(least, "component").select("fp", "digest", "component_id"), ["fp", "digest"]).select("doc_id", "component_id")
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:

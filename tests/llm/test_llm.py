@@ -169,6 +169,32 @@ def test_crowded_segments_lose_no_pair(spark):
     assert none is None and got == {tuple(r) for r in every.collect()}  # blocks list every pair
 
 
+def test_equal_fingerprints_are_compared(spark):
+    rng = random.Random(3)
+    line = words(rng, 5, 5000) * 60  # decides every bit
+    docs = []
+    for n in range(40):  # over 16 texts of one fingerprint
+        own = [f"own{n}x{k}" for k in range(50)]
+        docs.append((n, " ".join(line + own)))
+        if n % 4 == 0:
+            docs.append((100 + n, " ".join(line + own[:-1] + ["other"])))
+    assert len({simhash.fingerprint(t.encode()) for _, t in docs}) == 1
+    docs += [(None, docs[0][1]), (7, "a text of its own under an id that is taken")]
+    got = simhash.similar_groups(spark.createDataFrame(docs, DOCS)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == sorted((i, i % 100) for i, _ in docs if i is not None)
+    assert [r.component_id for r in got if r.doc_id is None] == [0]
+    # a text without an id links two others
+    own = [f"own{k}" for k in range(50)]
+    one = own[:20] + ["x"] + own[21:]
+    two = one[:35] + ["y"] + one[36:]
+    chain = [(1, " ".join(line + own)), (None, " ".join(line + one)), (2, " ".join(line + two))]
+    sets = [simhash.shingles(t.encode(), 5) for _, t in chain]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert alike(sets[0], sets[1]) and alike(sets[1], sets[2]) and not alike(sets[0], sets[2])
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(chain, DOCS)).collect()}
+    assert got == {1: 1, None: 1, 2: 1}
+
+
 # -- toxicity ----------------------------------------------------------------------
 
 
