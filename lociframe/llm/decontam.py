@@ -7,8 +7,8 @@
    corpus is a seed.  Every copied stretch of ``n + spread - 1`` words thus
    holds a seed, however frequent the item's words are; none is capped away.
 3. A second pass finds seeds in the documents and aligns the item with the
-   words around the seeds by Smith-Waterman; the best score over the item's
-   perfect score is kept.
+   words around the seeds by Smith-Waterman; every item whose score over its
+   perfect score reaches the threshold is kept, and the best one besides.
 
 Both passes are row-local, so a very common passage costs no skew.  The
 items travel as a broadcast of checked size; more items than fit are handled
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ._util import small_batches, with_columns
 
 MAX_ITEM_BYTES = 32 << 20  # of items broadcast at once
+ITEMS = "array<struct<item_id: bigint, overlap: double>>"
 
 # one class for each byte: 1 for bytes of words (ASCII letters and digits, all non-ASCII), 0 for others
 _WORD = np.zeros(256, np.uint8)
@@ -183,9 +184,10 @@ def _slices(benchmark: DataFrame, limit: int):
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, n: int = 3, spread: int = 3, threshold: float = 0.6, item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
-    """``docs`` with (item_id, overlap, contaminated); columns of these names are replaced, others kept.
+    """``docs`` with (item_id, overlap, items, n_items, contaminated); columns of these names are replaced, others kept.
 
-    overlap is the best alignment score over the items' perfect scores (0 to
+    items lists every item of overlap >= threshold as (item_id, overlap),
+    best first, n_items is their number (ids, each once).  overlap is the best alignment score over the items' perfect scores (0 to
     1), item_id the item that reaches it (smallest id on ties; null if no
     seed of any item occurs) and contaminated whether overlap >= threshold.
     Null and empty texts have overlap 0.  Items without words are ignored; an
@@ -194,10 +196,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = 3, spread: int = 3, thr
     if "text" not in docs.columns:
         raise ValueError("missing columns: text")
     spark = docs.sparkSession
-    out = docs.drop("item_id", "overlap", "contaminated").withColumn("text", F.col("text").cast("string"))
+    out = docs.drop("item_id", "overlap", "items", "n_items", "contaminated").withColumn("text", F.col("text").cast("string"))
     texts = out.select("text")
     names = out.columns
-    out = out.withColumn("item_id", F.lit(None).cast("long")).withColumn("overlap", F.lit(0.0))
+    out = out.withColumn("item_id", F.lit(None).cast("long")).withColumn("overlap", F.lit(0.0)).withColumn("items", F.expr(f"cast(array() as {ITEMS})"))
+    listed = pa.list_(pa.struct([("item_id", pa.int64()), ("overlap", pa.float64())]))
     for rows in _slices(benchmark, item_bytes):
         every = spark.sparkContext.broadcast(Items(rows, n, spread))
 
@@ -224,16 +227,22 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = 3, spread: int = 3, thr
                 order = np.argsort(at, kind="stable")
                 at, seeds = at[order], seeds[order]
                 cut = np.searchsorted(at, first)
-                ids, scores = b.column("item_id").to_pylist(), b.column("overlap").to_pylist()
+                ids, scores, lists = (b.column(c).to_pylist() for c in ("item_id", "overlap", "items"))
                 for d in np.flatnonzero(np.diff(cut)):
                     lo, hi = cut[d], cut[d + 1]
-                    i, s, _ = items.best(h[first[d] : first[d + 1]], at[lo:hi] - first[d], seeds[lo:hi])
+                    i, s, found = items.best(h[first[d] : first[d + 1]], at[lo:hi] - first[d], seeds[lo:hi])
                     if i is not None and (ids[d] is None or (-s, i) < (-scores[d], ids[d])):
                         ids[d], scores[d] = i, s
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], [*names, "item_id", "overlap"])
+                    if s >= threshold:
+                        every = {x["item_id"]: x["overlap"] for x in lists[d]}
+                        for k, score in found:
+                            if score >= threshold:
+                                every[k] = max(score, every.get(k, 0.0))
+                        lists[d] = [{"item_id": k, "overlap": v} for k, v in sorted(every.items(), key=lambda x: (-x[1], x[0]))]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array(lists, listed)], [*names, "item_id", "overlap", "items"])
 
         out = out.mapInArrow(find, out.schema)
-    return out.withColumn("contaminated", F.col("overlap") >= threshold)
+    return out.withColumn("n_items", F.size("items")).withColumn("contaminated", F.col("overlap") >= threshold)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

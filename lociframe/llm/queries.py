@@ -34,7 +34,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontam.mark(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "overlap", "contaminated")
+    return decontam.mark(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "overlap", "contaminated", "items", "n_items")
 
 
 def word_bpe_path() -> str:

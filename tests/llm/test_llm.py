@@ -397,6 +397,22 @@ def test_decontamination(spark):
     assert decontam.mark(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("size", [32 << 20, 400])
+def test_decontamination_lists_every_item(spark, size):
+    rng = random.Random(8)
+    items = [(k, " ".join(words(rng, 30, 5000))) for k in range(6)]
+    edited = items[4][1].split()
+    edited[15] = "edited"
+    filler = lambda: " ".join(words(rng, 60, 5000))
+    rows = [(1, f"{filler()} {items[0][1]} {filler()} {items[2][1]} {filler()} {' '.join(edited)}"), (2, items[5][1]), (3, filler()), (4, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.mark(spark.createDataFrame(rows, DOCS), bench, item_bytes=size).collect()}
+    assert [x.item_id for x in got[1]["items"]] == [0, 2, 4] and got[1].n_items == 3 and got[1].item_id == 0
+    assert [x.overlap for x in got[1]["items"]][:2] == [1.0, 1.0] and 0.9 < got[1]["items"][2].overlap < 1
+    assert [(x.item_id, x.overlap) for x in got[2]["items"]] == [(5, 1.0)]
+    assert all(got[i]["items"] == [] and got[i].n_items == 0 and not got[i].contaminated for i in (3, 4))
+
+
 def test_seeds_cover_every_window_however_frequent():
     h, _, _ = decontam.word_hashes(b" ".join(b"w%d" % i for i in range(30)))
     counts = {int(g): 10**6 for g in decontam.grams(h, 3)}
