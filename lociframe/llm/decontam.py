@@ -8,7 +8,8 @@
    holds a seed, however frequent the item's words are; none is capped away.
 3. A second pass finds seeds in the documents and aligns the item with the
    words around the seeds by Smith-Waterman; every item whose score over its
-   perfect score reaches the threshold is kept, and the best one besides.
+   perfect score reaches the threshold, or whose score is worth a stretch of
+   13 matched words, is kept, and the best one besides.
 
 Both passes are row-local, so a very common passage costs no skew.  The
 items travel as a broadcast of checked size; more items than fit are handled
@@ -143,8 +144,8 @@ class Items:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         return np.concatenate(at), np.concatenate(what)
 
-    def best(self, h: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> tuple[int | None, float, list[tuple[int, float]]]:
-        """The item that aligns best with a document's words, its score, and all items' scores."""
+    def best(self, h: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> tuple[int | None, float, list[tuple[int, float, int]]]:
+        """The item that aligns best with a document's words, its score, and all items' scores over their perfect ones and as such."""
         spans: dict[int, list[tuple[int, int]]] = {}
         for p, s in zip(at.tolist(), seeds, strict=True):
             lo, hi = np.searchsorted(self.seed, s, "left"), np.searchsorted(self.seed, s, "right")
@@ -165,11 +166,11 @@ class Items:
                 if best < 2 * len(w):
                     best = max(best, align(w, h[lo:hi]) if hi - lo >= len(w) else align(h[lo:hi], w))
                 lo, hi = a, b
-            found.append((i, best / (2 * len(w))))
+            found.append((i, best / (2 * len(w)), best))
         if not found:
             return None, 0.0, []
-        i, s = min(found, key=lambda x: (-x[1], self.ids[x[0]]))
-        return self.ids[i], s, [(self.ids[i], s) for i, s in found]
+        i, s, _ = min(found, key=lambda x: (-x[1], self.ids[x[0]]))
+        return self.ids[i], s, [(self.ids[i], s, best) for i, s, best in found]
 
 
 def _slices(benchmark: DataFrame, limit: int):
@@ -183,13 +184,14 @@ def _slices(benchmark: DataFrame, limit: int):
         yield [(i, w) for i, w in out if len(w)]
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, n: int = 3, spread: int = 3, threshold: float = 0.6, item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, n: int = 3, spread: int = 3, threshold: float = 0.6, stretch: int = 13, item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """``docs`` with (item_id, overlap, items, n_items, contaminated); columns of these names are replaced, others kept.
 
-    items lists every item of overlap >= threshold as (item_id, overlap),
-    best first, n_items is their number (ids, each once).  overlap is the best alignment score over the items' perfect scores (0 to
+    items lists every item of overlap >= threshold, or of an alignment worth
+    at least ``stretch`` matched words (an excerpt of a long item), as
+    (item_id, overlap), best first; n_items is their number (ids, each once).  overlap is the best alignment score over the items' perfect scores (0 to
     1), item_id the item that reaches it (smallest id on ties; null if no
-    seed of any item occurs) and contaminated whether overlap >= threshold.
+    seed of any item occurs) and contaminated whether items has any.
     Null and empty texts have overlap 0.  Items without words are ignored; an
     empty benchmark marks nothing.  Repeated rows each get their row.
     """
@@ -233,16 +235,16 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = 3, spread: int = 3, thr
                     i, s, found = items.best(h[first[d] : first[d + 1]], at[lo:hi] - first[d], seeds[lo:hi])
                     if i is not None and (ids[d] is None or (-s, i) < (-scores[d], ids[d])):
                         ids[d], scores[d] = i, s
-                    if s >= threshold:
+                    held = [(k, share) for k, share, score in found if share >= threshold or score >= 2 * stretch]
+                    if held:
                         every = {x["item_id"]: x["overlap"] for x in lists[d]}
-                        for k, score in found:
-                            if score >= threshold:
-                                every[k] = max(score, every.get(k, 0.0))
+                        for k, share in held:
+                            every[k] = max(share, every.get(k, 0.0))
                         lists[d] = [{"item_id": k, "overlap": v} for k, v in sorted(every.items(), key=lambda x: (-x[1], x[0]))]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array(lists, listed)], [*names, "item_id", "overlap", "items"])
 
         out = out.mapInArrow(find, out.schema)
-    return out.withColumn("n_items", F.size("items")).withColumn("contaminated", F.col("overlap") >= threshold)
+    return out.withColumn("n_items", F.size("items")).withColumn("contaminated", F.col("n_items") > 0)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

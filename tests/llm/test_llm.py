@@ -413,6 +413,17 @@ def test_decontamination_lists_every_item(spark, size):
     assert all(got[i]["items"] == [] and got[i].n_items == 0 and not got[i].contaminated for i in (3, 4))
 
 
+def test_decontamination_finds_excerpts(spark):
+    rng = random.Random(13)
+    item = words(rng, 59, 5000)
+    filler = words(rng, 60, 10**6)
+    rows = [(n, " ".join(filler[:30] + item[9 : 9 + n] + filler[30:])) for n in (34, 20, 13, 11)]
+    got = {r.doc_id: r for r in decontam.mark(spark.createDataFrame(rows, DOCS), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert all(got[n].overlap < 0.6 for n in got)
+    assert [n for n in got if got[n].contaminated] == [34, 20, 13]
+    assert [x.item_id for x in got[20]["items"]] == [7] and got[11]["items"] == []
+
+
 def test_seeds_cover_every_window_however_frequent():
     h, _, _ = decontam.word_hashes(b" ".join(b"w%d" % i for i in range(30)))
     counts = {int(g): 10**6 for g in decontam.grams(h, 3)}
