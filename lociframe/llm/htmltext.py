@@ -40,7 +40,8 @@ STOP_WORDS = frozenset(
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^<]*\Z", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+# one attribute (name, value in three ways of quoting) or a stray quoted string, in order
+_ATTR = re.compile(r"\"[^\"]*\"|'[^']*'|([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _WORDS = re.compile(r"[a-z]+")
 
 
@@ -53,14 +54,14 @@ def _verdict(name: str, tag: str, in_good: bool) -> int:
     else:
         good = 0
     if " " in tag or "\n" in tag or "\t" in tag:
-        for m in _ATTR.finditer(tag):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        for m in _ATTR.finditer(tag, _NAME.match(tag).end()):
+            key, value = (m[1] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "hidden" or (key == "aria-hidden" and value == "true"):
                 return -1
             if key == "role" and value in BAD_ROLES:
                 return -1
-            if key in ("class", "id") and name not in ("html", "body", "article", "main") and not BAD_WORDS.isdisjoint(_WORDS.findall(value)):
-                return -1
+            if key in ("class", "id") and name not in ("html", "body", "article", "main") and not BAD_WORDS.isdisjoint(value.split() if in_good else _WORDS.findall(value)):
+                return -1  # inside an article only by a whole class
             if key == "role" and value in ("main", "article"):
                 good = 1
     return good

@@ -593,6 +593,15 @@ def test_html_containers_and_entities():
     assert htmltext.main_text(page) == "Head & line\n\nFirst bold <tag> text\n\nsecond line\n\na | b\n\nLast &am"
 
 
+def test_html_words_of_other_attributes_are_not_evidence():
+    page = """<body><article><h1 class="post-header">The title</h1><div style="overflow:hidden"><p title="the hidden cost">First of all
+    see <a href="/hidden-valley">the valley</a> and <a href=/?id=comment-3>the reply</a> below.</p></div>
+    <p data-class="comment" 'hidden'>Second.</p><div class="comment">No.</div><p hidden>Never.</p><p aria-hidden='true'>Nor this.</p></article></body>"""
+    got = htmltext.main_text(page)
+    assert "The title" in got and "see the valley and the reply below." in " ".join(got.split()) and "Second." in got
+    assert not any(x in got for x in ("No.", "Never.", "Nor this."))
+
+
 def test_html_context_without_containers():
     link = "<div><a href=x>Some link text that is long enough to be a menu of the site and of others</a></div>"
     page = f"{link}<div>Short</div>{link}<div>{GOOD}</div><div>Short one</div><div>{GOOD}</div><div>tail</div>{link}"
