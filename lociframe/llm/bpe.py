@@ -15,6 +15,7 @@ white space to one space, lower case; a word pattern; byte-level symbols.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -26,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._util import small_batches
+from ._util import small_batches, strings, tidy
 
 # Latin text without the few numerals and controls on which the classes of ``re`` differ from the pattern's
 _PLAIN_NOT = re.compile(r"[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]")
@@ -48,7 +49,7 @@ def _byte_symbols() -> list[str]:
 class WordBpe:
     """A tokenizer read from ``path``; keeps what it has learnt of pairs and at most ``memo`` words."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 120_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -127,26 +128,38 @@ class WordBpe:
         return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table) + _STOP
 
     def merge(self, symbols: str) -> list[int]:
-        """Exact encoding: the pair of lowest rank is merged first, leftmost of equals, until none is left."""
+        """Exact encoding: the pair of lowest rank is merged first, leftmost of equals, until none is left.
+
+        Pairs wait in a heap and tokens are a linked list, so a word of n
+        symbols takes n log n steps however long it is.
+        """
         inner = symbols[:-1] if symbols.endswith(_STOP) else symbols
         seq = [self.unit[s] for s in inner]
         if symbols.endswith(_STOP):
             seq[-1] = self.last[inner[-1]]
-        rank = self.rank
-        while len(seq) > 1:
-            best = min((r for r in map(rank.get, zip(seq, seq[1:], strict=False)) if r), default=None)
-            if best is None:
-                break
-            new, out, i, n = best[1], [], 0, len(seq)
-            while i < n:
-                if i + 1 < n and rank.get((seq[i], seq[i + 1])) == best:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(seq[i])
-                    i += 1
-            seq = out
-        return seq
+        n, rank, none = len(seq), self.rank, (-1, 0)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r[0] << 40) | i for i, r in enumerate(map(rank.get, zip(seq, seq[1:], strict=False))) if r]  # rank, then place
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            i = top & 0xFFFFFFFFFF
+            j = after[i]
+            if j >= n or seq[i] < 0:
+                continue
+            r, new = rank.get((seq[i], seq[j]), none)
+            if r != top >> 40:  # the pair has changed meanwhile
+                continue
+            seq[i], seq[j] = new, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (nxt := rank.get((new, seq[k]))) is not None:
+                    heapq.heappush(heap, (nxt[0] << 40) | i)
+            h = before[i]
+            if h >= 0 and (prev := rank.get((seq[h], new))) is not None:
+                heapq.heappush(heap, (prev[0] << 40) | h)
+        return [t for t in seq if t >= 0]
 
     def merge_many(self, symbols: list[str], widest: int = 40) -> list[list[int]]:
         """:meth:`merge` of many strings at once: each round merges one pair in every row of a matrix of tokens.
@@ -251,7 +264,7 @@ class WordBpe:
             got = self.merge_many([self.text_of[c >> 20] + self.text_of[c & 0xFFFFF] for c in new.tolist()])
             fit = np.array([m == [c >> 20, c & 0xFFFFF] for m, c in zip(got, new.tolist(), strict=True)], bool)
             out[~old] = fit
-            if len(self.seen) > 2_000_000:
+            if len(self.seen) > 1_000_000:
                 self.seen, self.seen_fits = self.seen[:0], self.seen_fits[:0]
             both = np.concatenate([self.seen, new])
             order = np.argsort(both, kind="stable")
@@ -308,8 +321,10 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) for every row of ``docs``.
 
     Each row stands alone: no shuffle, a null or empty text has no tokens and
-    the digests of the empty text, repeated rows give equal rows, other
-    columns are ignored.  ``keep_ids`` adds the ids and the decoded text.
+    the digests of the empty text, repeated rows give equal rows, bytes that
+    are no UTF-8 count as U+FFFD, very long texts and words take time in
+    proportion (to n log n at most), other columns are ignored, an empty table
+    gives an empty one.  ``keep_ids`` adds the ids and the decoded text.
     ``path`` is opened by the workers and must exist on every node.
     """
     from ._util import with_columns
@@ -318,8 +333,8 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
 
     def run(batches):
         bpe = load(path)
-        for b in small_batches(batches, "text", 2 << 20):
-            got = bpe.encode_batch(b.column("text").to_pylist())
+        for b in small_batches(batches, "text", 1 << 20):
+            got = bpe.encode_batch(strings(b.column("text")))
             cols = [b.column("doc_id"), pa.array([n for n, _, _ in got], pa.int64()), pa.array([sha(i) for _, i, _ in got], pa.string()), pa.array([sha(d) for _, _, d in got], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
@@ -328,4 +343,4 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
-    return with_columns(docs, doc_id="long", text="string").mapInArrow(run, schema)
+    return with_columns(docs, doc_id="long", text="string").mapInArrow(tidy(run), schema)

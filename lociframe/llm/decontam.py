@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import small_batches, with_columns
+from ._util import small_batches, strings, tidy, with_columns
 
 MAX_ITEM_BYTES = 32 << 20  # of items broadcast at once
 ITEMS = "array<struct<item_id: bigint, overlap: double>>"
@@ -37,21 +37,26 @@ _WORD_RE = re.compile(rb"[0-9a-z\x80-\xff]+")
 _P = np.uint64(0x100000001B3 | 0x5851F42D00000000)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BLOCK = 1 << 18  # bytes hashed at once
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("p", ())) < n:
-        size = 1 << (n - 1).bit_length()
-        for name, base in (("p", _P), ("i", _P_INV)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _powers[name] = np.multiply.accumulate(a)
-    return _powers["p"][:n], _powers["i"][:n]
+    """The first n powers of the base and of its inverse; those of one block are kept."""
+    if n <= _BLOCK and _powers:
+        return _powers["p"][:n], _powers["i"][:n]
+    out = {}
+    for name, base in (("p", _P), ("i", _P_INV)):
+        a = np.full(max(n, _BLOCK), base, np.uint64)
+        a[0] = 1
+        out[name] = np.multiply.accumulate(a)
+    if n <= _BLOCK:
+        _powers.update(out)
+    return out["p"][:n], out["i"][:n]
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of every word of lower-cased UTF-8 bytes, without a loop over words."""
+    """(hash, start, end) of every word of lower-cased UTF-8 bytes, without a loop over words, a block of words at a time."""
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -59,10 +64,17 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kind[1:-1] = _WORD[raw]
     edge = np.diff(kind)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    p, inv = _power(len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p, out=total[1:])
-    h = (total[end] - total[start]) * inv[start]
+    h = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + _BLOCK, "right")))  # a longer word is a block of its own
+        base = start[at]
+        part = raw[base : end[to - 1]]
+        p, inv = _power(len(part))
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * p, out=total[1:])
+        h[at:to] = (total[end[at:to] - base] - total[start[at:to] - base]) * inv[start[at:to] - base]
+        at = to
     h = (h ^ (h >> np.uint64(32))) * _MIX
     return h ^ (h >> np.uint64(29)), start, end
 
@@ -193,7 +205,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = 3, spread: int = 3, thr
     1), item_id the item that reaches it (smallest id on ties; null if no
     seed of any item occurs) and contaminated whether items has any.
     Null and empty texts have overlap 0.  Items without words are ignored; an
-    empty benchmark marks nothing.  Repeated rows each get their row.
+    empty benchmark marks nothing.  Repeated rows each get their row; bytes
+    that are no UTF-8 count as U+FFFD, texts of any length are read whole.
     """
     if "text" not in docs.columns:
         raise ValueError("missing columns: text")
@@ -210,21 +223,21 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = 3, spread: int = 3, thr
             items = every.value
             total: dict[int, int] = {}
             for b in small_batches(batches, "text"):
-                h, _ = _batch_words(b.column("text").to_pylist())  # n-grams across two texts are counted too: only an order of rarity
+                h, _ = _batch_words(strings(b.column("text")))  # n-grams across two texts are counted too: only an order of rarity
                 g, c = np.unique(items.hits(h)[1], return_counts=True)
                 for x, k in zip(g.view(np.int64).tolist(), c.tolist(), strict=True):
                     total[x] = total.get(x, 0) + k
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
 
         # at most as many rows as the items have n-grams
-        counted = texts.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+        counted = texts.mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
         counts = dict(zip(counted["gram"].to_numpy(np.int64).view(np.uint64).tolist(), counted["n"].tolist(), strict=True))
         seeded = spark.sparkContext.broadcast(Items(rows, n, spread, counts))
 
         def find(batches, seeded=seeded):
             items = seeded.value
             for b in small_batches(batches, "text"):
-                h, first = _batch_words(b.column("text").to_pylist())
+                h, first = _batch_words(strings(b.column("text")))
                 at, seeds = items.hits(h)
                 order = np.argsort(at, kind="stable")
                 at, seeds = at[order], seeds[order]
@@ -243,7 +256,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = 3, spread: int = 3, thr
                         lists[d] = [{"item_id": k, "overlap": v} for k, v in sorted(every.items(), key=lambda x: (-x[1], x[0]))]
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array(lists, listed)], [*names, "item_id", "overlap", "items"])
 
-        out = out.mapInArrow(find, out.schema)
+        out = out.mapInArrow(tidy(find), out.schema)
     return out.withColumn("n_items", F.size("items")).withColumn("contaminated", F.col("n_items") > 0)
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import durable, small_batches, utf8, with_columns
+from ._util import drop_durable, durable, small_batches, tidy, utf8, with_columns
 from .components import connected_components
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -45,28 +45,15 @@ def fingerprint(text: bytes | None, shingle: int = 3, block: int = 1 << 16) -> i
     return int(np.packbits(ones * 2 > len(parts), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, digest: bool = False) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bit pattern as a signed long; null text counts as empty.
-
-    With ``digest`` a hash of the text follows.
-    """
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint's bit pattern as a signed long; null text counts as empty."""
 
     def run(batches):
         for b in small_batches(batches, "text"):
             fps = np.array([fingerprint(t, shingle) for t in utf8(b.column("text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64)), *(b.column(c) for c in more)], ["doc_id", "fp", *more])
-
-    more = ["digest"] if digest else []
-    texts = with_columns(docs, doc_id="long", text="string")
-    return (texts.withColumn("digest", _digest()) if digest else texts).mapInArrow(run, "doc_id long, fp long" + ", digest long" * digest)
-
-
-def _digest() -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")))
-
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-def _differs(a: str, b: str) -> str:
-    return f"bit_count({a} ^ {b})"
+    return with_columns(docs, doc_id="long", text="string").mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -125,14 +112,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2) ->
     ``max_distance`` bits, itself included; n_copies counts the documents of
     the same fingerprint.  Documents without words have fingerprint zero and
     are linked like any other.  Rows with a null doc_id stay (their group's
-    smallest non-null id, or null); repeated rows are kept and linked; an
-    empty table gives an empty result; other columns are ignored.
+    smallest non-null id, or null); repeated rows are kept and linked; texts
+    are read as bytes, whole, whatever their length or encoding; an empty
+    table gives an empty result; other columns are ignored.
     """
     by_doc = durable(fingerprints(docs, shingle), "fingerprints")
     fps = durable(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n_copies")), "distinct-fp")
     comp = connected_components(links(fps.select("fp"), max_distance))
     of = fps.join(comp, fps.fp == comp.node, "left").select("fp", "first_doc", "n_copies", F.coalesce("component", "fp").alias("component"))
     of = durable(of, "fp-component")
+    drop_durable(fps)
     least = of.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     label = of.join(least, "component").select("fp", "component_id", "n_copies")
     return by_doc.join(label, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
@@ -140,51 +129,144 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_distance: int = 2) ->
 
 # -- groups by similarity --------------------------------------------------------
 
-_CUTS = ((0, 21), (21, 42), (42, 64))  # bits of the three segments
+_CUTS = ((0, 21), (21, 42), (42, 64))  # bits of a word's three segments
+_WORDS = 2  # fingerprint words of 64 bits
+_SKETCH = 16  # longs of a sketch
+_FP = [f"f{w}" for w in range(_WORDS)]
+_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+
+_SALT = np.arange(1, _WORDS + 1, dtype=np.uint64) * _M1
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _M2
+    h = (h ^ (h >> np.uint64(29))) * _M3
+    return h ^ (h >> np.uint64(32))
+
+
+def _gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the run of ``size`` words that begins at each word; fewer words: of the whole sequence."""
+    if not len(h):
+        return h
+    size = min(size, len(h))
+    out = h[: len(h) - size + 1].copy()
+    for k in range(1, size):
+        out = _mix(out) + h[k : len(h) - size + 1 + k] * _M1
+    return _mix(out + np.uint64(size))
+
+
+def shingle_hashes(text: bytes | None, size: int, known: dict | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles (A-Z lower-cased; fewer words: the whole sequence; none: empty)."""
+    return np.unique(_gram_hashes(_word_hashes(text, known), size))
+
+
+def _word_hashes(text: bytes | None, known: dict | None = None) -> np.ndarray:
+    words = (text or b"").lower().split()
+    if known is None:
+        return np.fromiter(map(_hash, words), np.uint64, len(words))
+    for w in set(words).difference(known):
+        known[w] = _hash(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def wide_fingerprint(h: np.ndarray, size: int = 2, block: int = 1 << 16) -> list[int]:
+    """Fingerprint words of a text's word hashes: majority bits of its ``size``-word runs, repeats included; no words: zeros."""
+    grams = _gram_hashes(h, size)
+    if not len(grams):
+        return [0] * _WORDS
+    out = []
+    for w in range(_WORDS):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(grams), block):
+            x = _mix(grams[at : at + block] + _SALT[w])
+            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(grams), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def signatures(docs: DataFrame, shingle: int = 5, fingerprint_shingle: int = 2) -> DataFrame:
+    """(doc_id, f0, f1, digest, size, hashes, w0, w1, ...) for every row.
+
+    f0, f1: fingerprint words; hashes: the sorted distinct hashes of the
+    ``shingle``-word shingles, size their number, digest a hash of them all;
+    w0, ...: a bitmap of the hashes.
+    """
+
+    def run(batches):
+        known: dict[bytes, int] = {}
+        for b in small_batches(batches, "text", 1 << 20):
+            if len(known) > 100_000:
+                known.clear()
+            sets, fps, digest, bits = [], [], [], []
+            for t in utf8(b.column("text")):
+                h = _word_hashes(t, known)
+                s = np.unique(_gram_hashes(h, shingle))
+                at = np.zeros(64 * _SKETCH, np.uint8)
+                at[s % np.uint64(64 * _SKETCH)] = 1
+                fps.append(wide_fingerprint(h, fingerprint_shingle))
+                digest.append(int(_mix(np.array([_mix(s + _M1).sum(dtype=np.uint64) + np.uint64(len(s))])).view(np.int64)[0]))
+                bits.append(np.packbits(at).view(np.int64))
+                sets.append(s.view(np.int64))
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(sets)))
+            f, w = np.array(fps, np.int64), np.stack(bits)
+            cols = [b.column("doc_id"), *(pa.array(f[:, k].copy()) for k in range(_WORDS)), pa.array(digest, pa.int64()), pa.array(sizes), lists, *(pa.array(w[:, k].copy()) for k in range(_SKETCH))]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    names = ["doc_id", *_FP, "digest", "size", "hashes", *(f"w{k}" for k in range(_SKETCH))]
+    schema = ", ".join(f"{c} array<bigint>" if c == "hashes" else f"{c} bigint" for c in names)
+    return with_columns(docs, doc_id="long", text="string").mapInArrow(tidy(run), schema)
+
+
+def _distance() -> Column:
+    return F.expr(" + ".join(f"bit_count(a.{f} ^ b.{f})" for f in _FP))
 
 
 def _wide_variants(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with key: one-wildcard variants of three segments; the variant's number is the deleted bit."""
+    """``nodes`` with key: one-wildcard variants of three segments of each word; the variant's number is the deleted bit."""
     off = "case when k < 21 then 0 when k < 42 then 21 else 42 end"
     mask = "case when k < 42 then 2097151L else 4194303L end"
-    one = f"shiftleft(cast(k as bigint), 32) | (shiftrightunsigned(fp & ~shiftleft(1L, k), {off}) & {mask})"
-    return nodes.select(*nodes.columns, F.explode(F.expr(f"transform(sequence(0, 63), k -> {one})")).alias("key"))
+    one = lambda w, f: f"transform(sequence(0, 63), k -> shiftleft(cast({64 * w} + k as bigint), 32) | (shiftrightunsigned({f} & ~shiftleft(1L, k), {off}) & {mask}))"
+    return nodes.select(*nodes.columns, F.explode(F.expr(f"concat({', '.join(one(w, f) for w, f in enumerate(_FP))})")).alias("key"))
 
 
 def _listed(within: int) -> Column:
     """Whether members a and b of a variant are a pair to be listed there (once for each segment)."""
-    k = F.shiftrightunsigned(F.col("a.key"), 32)
+    number = F.shiftrightunsigned(F.col("a.key"), 32)
+    k = number.bitwiseAND(F.lit(63))
     off = F.when(k < 21, 0).when(k < 42, 21).otherwise(42)
     bits = F.when(k < 42, F.lit((1 << 21) - 1)).otherwise(F.lit((1 << 22) - 1))
-    differs = F.expr("shiftrightunsigned(a.fp ^ b.fp, case when shiftrightunsigned(a.key, 32) < 21 then 0 when shiftrightunsigned(a.key, 32) < 42 then 21 else 42 end)").bitwiseAND(bits.cast("long")) != 0
-    return (F.col("a.node") < F.col("b.node")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= within) & (differs | (k == off))
+    word = lambda s: f"case {' '.join(f'when shiftrightunsigned({s}.key, 32) < {64 * w + 64} then {s}.{f}' for w, f in enumerate(_FP))} end"
+    at = "shiftrightunsigned(a.key, 32) & 63"
+    differs = F.expr(f"shiftrightunsigned(({word('a')}) ^ ({word('b')}), case when {at} < 21 then 0 when {at} < 42 then 21 else 42 end)").bitwiseAND(bits.cast("long")) != 0
+    return (F.col("a.node") < F.col("b.node")) & (_distance() <= within) & (differs | (k == off))
 
 
-def candidate_pairs(nodes: DataFrame, within: int = 14, crowd: int = 16) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs (u, v) of nodes whose fingerprints share a variant of a segment and differ in at most ``within`` bits.
+def candidate_pairs(nodes: DataFrame, within: int = 28, crowd: int = 16) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (u, v) of nodes whose fingerprints share a variant of a segment and differ in at most ``within`` of their bits.
 
-    ``nodes`` has the longs ``node`` (distinct) and ``fp``.  Three segments
-    find every pair within five bits, and most within ten.  In a variant of a
-    crowded segment only the pairs with one hub are listed, the member whose
-    segments are the most crowded; the second result holds all members
-    (node, fp, key) of such variants for :func:`open_members`, or None.
+    ``nodes`` has the longs ``node`` (distinct) and the fingerprint words.  In
+    a variant of a crowded segment only the pairs with one hub are listed, the
+    member whose segments are the most crowded; the second result holds all
+    members (node, f0, f1, key) of such variants for :func:`open_members`, or
+    None.
     """
-    seg = "array(" + ", ".join(f"shiftleft({i}L, 32) | (shiftrightunsigned(fp, {a}) & {(1 << (b - a)) - 1}L)" for i, (a, b) in enumerate(_CUTS)) + ")"
+    seg = "array(" + ", ".join(f"shiftleft({64 * w + a}L, 32) | (shiftrightunsigned({f}, {a}) & {(1 << (b - a)) - 1}L)" for w, f in enumerate(_FP) for a, b in _CUTS) + ")"
     segments = nodes.select("node", F.explode(F.expr(seg)).alias("segment"))
     crowded = durable(segments.groupBy("segment").count().where(F.col("count") > crowd), "crowded")
     stars = members = None
     if crowded.take(1):
         number = "shiftrightunsigned(segment, 32)"
-        width = f"case when {number} < 2 then 20 else 21 end"
-        hot = crowded.select(F.explode(F.expr(f"transform(sequence(0, {width}), i -> shiftleft({number} * 21 + i, 32) | (segment & 4294967295L & ~shiftleft(1L, cast(i as int))))")).alias("key")).distinct()
+        width = f"case when {number} & 63 < 42 then 20 else 21 end"
+        hot = crowded.select(F.explode(F.expr(f"transform(sequence(0, {width}), i -> shiftleft({number} + i, 32) | (segment & 4294967295L & ~shiftleft(1L, cast(i as int))))")).alias("key")).distinct()
         company = segments.join(crowded, "segment").groupBy("node").agg(F.sum("count").alias("company"))
-        keyed = _wide_variants(nodes.join(company, "node", "left").select("node", "fp", F.coalesce("company", F.lit(0)).alias("company")))
-        members = durable(keyed.join(hot, "key", "left_semi").select("key", "node", "fp", "company"), "crowded-members")
-        hubs = members.groupBy("key").agg(F.max(F.struct("company", "node", "fp")).alias("hub"))
-        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= within
+        keyed = _wide_variants(nodes.join(company, "node", "left").select("node", *_FP, F.coalesce("company", F.lit(0)).alias("company")))
+        members = durable(keyed.join(hot, "key", "left_semi").select("key", "node", *_FP, "company"), "crowded-members")
+        hubs = members.groupBy("key").agg(F.max(F.struct("company", "node", *_FP)).alias("hub"))
+        near = F.expr(" + ".join(f"bit_count({f} ^ hub.{f})" for f in _FP)) <= within
         stars = members.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & near).select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"))
-        members = members.drop("company")
-        keyed = keyed.select("node", "fp", "key").join(hot, "key", "left_anti")
+        members = _same_path(members, members.drop("company"))
+        keyed = keyed.select("node", *_FP, "key").join(hot, "key", "left_anti")
     else:
         keyed = _wide_variants(nodes)
     a, b = keyed.alias("a"), keyed.alias("b")
@@ -192,15 +274,22 @@ def candidate_pairs(nodes: DataFrame, within: int = 14, crowd: int = 16) -> tupl
     return (out.union(stars) if stars is not None else out).distinct(), members
 
 
+def _same_path(table: DataFrame, view: DataFrame) -> DataFrame:
+    view._lociframe_path = getattr(table, "_lociframe_path", None)
+    return view
+
+
 def open_members(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Members (key, node, fp, component, n) of the crowded variants that ``comp`` (node, component) has not joined to one; n counts a variant's members."""
-    of = members.join(comp, "node", "left").select("key", "node", "fp", F.coalesce("component", "node").alias("component"))
+    """Members (key, node, f0, f1, component, n) of the crowded variants that ``comp`` (node, component) has not joined to one; n counts a variant's members."""
+    of = members.join(comp, "node", "left").select("key", "node", *_FP, F.coalesce("component", "node").alias("component"))
     of = durable(of, "crowded-component")
     of_key = of.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    return of.join(of_key.where("low != high").select("key", "n"), "key")
+    out = durable(of.join(of_key.where("low != high").select("key", "n"), "key"), "crowded-open")
+    drop_durable(of)
+    return out
 
 
-def rest_pairs(members: DataFrame, within: int = 14, block: int = 256, possible: Column | None = None) -> DataFrame:
+def rest_pairs(members: DataFrame, within: int = 28, block: int = 256, possible: Column | None = None) -> DataFrame:
     """All pairs (u, v) of members of crowded variants in different components.
 
     Every member meets every other: a variant's members are dealt into blocks
@@ -219,91 +308,73 @@ def rest_pairs(members: DataFrame, within: int = 14, block: int = 256, possible:
     return pairs.select(F.col("b.node").alias("u"), F.col("a.node").alias("v")).distinct()
 
 
-_WORDS = 16  # longs of a sketch
-
-
-def sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, size, w0, w1, ...): number of distinct shingles and a bitmap of their hashes."""
-
-    def run(batches):
-        for b in small_batches(batches, "text"):
-            sizes, bits = [], []
-            for t in utf8(b.column("text")):
-                s = shingles(t, shingle)
-                at = np.zeros(64 * _WORDS, np.uint8)
-                at[np.fromiter((_hash(b" ".join(x)) for x in s), np.uint64, len(s)) % np.uint64(64 * _WORDS)] = 1
-                sizes.append(len(s))
-                bits.append(np.packbits(at).view(np.int64))
-            w = np.stack(bits)
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sizes, pa.int64()), *(pa.array(w[:, k].copy()) for k in range(_WORDS))], ["node", "size", *(f"w{k}" for k in range(_WORDS))])
-
-    return texts.mapInArrow(run, "node long, size long, " + ", ".join(f"w{k} long" for k in range(_WORDS)))
-
-
 def _may_be_similar(similarity: float) -> Column:
     """False only for members a and b whose sketches prove a smaller similarity.
 
     Each bit that only one bitmap has stands for at least one shingle that only that text has.
     """
-    lacks = lambda x, y: " + ".join(f"bit_count({x}.w{k} & ~{y}.w{k})" for k in range(_WORDS))
+    lacks = lambda x, y: " + ".join(f"bit_count({x}.w{k} & ~{y}.w{k})" for k in range(_SKETCH))
     shared = F.expr(f"least(a.size - ({lacks('a', 'b')}), b.size - ({lacks('b', 'a')}))")
     return shared * (1 + similarity) >= similarity * (F.col("a.size") + F.col("b.size")) - 1e-6
 
 
-def shingles(text: bytes | None, size: int) -> set:
-    words = (text or b"").lower().split()
-    return {tuple(words)} if len(words) < size else set(zip(*(words[i:] for i in range(size)), strict=False))
-
-
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, fingerprint_shingle: int = 3, within: int = 14, crowd: int = 16) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, fingerprint_shingle: int = 2, within: int = 28, crowd: int = 16) -> DataFrame:
     """(doc_id, component_id): groups of texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
 
-    Fingerprints only propose pairs; each proposed pair's texts are compared
-    exactly, those of equal fingerprint too; only equal texts are one node
-    from the start.  Pairs that differ in over five bits are found with a probability that falls with the distance
-    (README has measured figures).  Crowded variants are compared with their
-    hub first; then all their pairs that are not yet in one group and that no
-    sketch proves dissimilar.
+    Fingerprints of two 64-bit words, cut into six segments with one wildcard
+    each, only propose pairs; the shingle sets of each proposed pair are
+    compared exactly, those of equal fingerprint too (sets are compared by
+    their 64-bit hashes).  Only texts of equal shingle sets are one node from
+    the start.  All pairs within eleven bits of the 128 are proposed; farther
+    ones with a probability that falls with the distance (README has measured
+    recall).  Crowded variants are compared with their hub first; then all
+    their pairs that are not yet in one group and that no sketch proves
+    dissimilar.
+
+    Texts are read once, in Python; what follows moves ids, fingerprints and
+    hashes.  component_id is the smallest doc_id of the group.  Null texts
+    count as empty; empty texts are one group; rows with a null doc_id take
+    part and keep the null; repeated rows are one node; bytes of any encoding
+    and texts of any length are read whole; an empty table gives an empty one;
+    other columns are ignored.
     """
-    by_doc = durable(fingerprints(docs, fingerprint_shingle, digest=True), "fingerprints")
-    nodes = by_doc.groupBy("fp", "digest").agg(F.min("doc_id").alias("first_doc")).withColumn("node", F.monotonically_increasing_id())
-    nodes = durable(nodes, "nodes")  # numbered once
-
-    def verify(batches):
-        for batch in batches:
-            ok, last = [], (None, None)
-            for u, a, b in zip(batch.column("u").to_pylist(), utf8(batch.column("a")), utf8(batch.column("b")), strict=True):
-                if last[0] != u:
-                    last = (u, shingles(a, shingle))
-                s, t = last[1], shingles(b, shingle)
-                shared = len(s & t)
-                ok.append(shared >= similarity * (len(s) + len(t) - shared))
-            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    def texts_of(of):
-        """(node, text) of one document for each of the nodes, without or with a doc_id."""
-        wanted = of.distinct().join(nodes, "node").withColumnRenamed("digest", "wanted")
-        texts = with_columns(docs, doc_id="long", text="string").withColumn("digest", _digest())
-        return texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("digest") == F.col("wanted"))).select("node", "text").dropDuplicates(["node"])
+    sig = durable(signatures(docs, shingle, fingerprint_shingle).withColumn("row", F.monotonically_increasing_id()), "signatures")  # numbered once
+    nodes = durable(sig.groupBy(*_FP, "digest").agg(F.min("doc_id").alias("first_doc"), F.min("row").alias("node")), "nodes")
 
     def similar(pairs):
-        """Those of the pairs whose texts are similar."""
-        texts = durable(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("node"))), "texts")
-        one, two = texts.withColumnsRenamed({"node": "u", "text": "a"}), texts.withColumnsRenamed({"node": "v", "text": "b"})
-        return durable(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "near")
-
-    pairs, members = candidate_pairs(nodes.select("node", "fp"), within, crowd)
-    near = similar(durable(pairs, "pairs"))
+        """Those of the pairs whose shingle sets are similar."""
+        wanted = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+        sets = durable(sig.select("row", "hashes").join(wanted, "row", "left_semi"), "sets")
+        one, two = sets.withColumnsRenamed({"row": "u", "hashes": "a"}), sets.withColumnsRenamed({"row": "v", "hashes": "b"})
+        # sizes first: sets of very unequal size cannot be similar
+        both = pairs.join(one, "u").join(two, "v").where(F.least(F.size("a"), F.size("b")) >= similarity * F.greatest(F.size("a"), F.size("b")) - 1e-6)
+        both = both.withColumn("shared", F.size(F.array_intersect("a", "b")))
+        out = durable(both.where(F.col("shared") >= similarity * (F.size("a") + F.size("b") - F.col("shared")) - 1e-9).select("u", "v"), "near")
+        drop_durable(sets)
+        return out
+
+    pairs, members = candidate_pairs(nodes.select("node", *_FP), within, crowd)
+    pairs = durable(pairs, "pairs")
+    near = similar(pairs)
+    drop_durable(pairs)
     comp = durable(connected_components(near), "component")
     if members is not None:
-        left = durable(open_members(members, comp), "crowded-open")
-        sketch = durable(sketches(texts_of(left.select("node")), shingle), "sketches")
+        left = open_members(members, comp)
+        sketch = sig.join(left.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("node"), "size", *(f"w{k}" for k in range(_SKETCH)))
         rest = durable(rest_pairs(left.join(sketch, "node"), within, possible=_may_be_similar(similarity)), "rest-pairs")
+        drop_durable(left, members)
         if rest.take(1):
-            comp = durable(connected_components(near.union(similar(rest))), "component")
-    of = durable(nodes.join(comp, "node", "left").select("fp", "digest", "first_doc", F.coalesce("component", "node").alias("component")), "node-component")
+            more = similar(rest)
+            drop_durable(comp)
+            comp = durable(connected_components(near.union(more)), "component")
+            drop_durable(more)
+        drop_durable(rest)
+    of = durable(nodes.join(comp, "node", "left").select(*_FP, "digest", "first_doc", F.coalesce("component", "node").alias("component")), "node-component")
+    drop_durable(nodes, near, comp)
     least = of.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    return by_doc.join(of.join(least, "component").select("fp", "digest", "component_id"), ["fp", "digest"]).select("doc_id", "component_id")
+    out = durable(sig.select("doc_id", *_FP, "digest").join(of.join(least, "component").select(*_FP, "digest", "component_id"), [*_FP, "digest"]).select("doc_id", "component_id"), "groups")
+    drop_durable(sig, of)
+    return out
 
 
 def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -311,11 +382,14 @@ def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> D
 
     Repeated rows of that doc_id are the same document given twice: one of
     them stays.  Rows without a doc_id cannot be told apart and all stay.
+    Null, empty and very long texts as in :func:`similar_groups`; an empty
+    table gives an empty one; all columns of ``docs`` are kept.
     """
-    group = durable(similar_groups(docs, similarity, shingle), "groups")
+    group = similar_groups(docs, similarity, shingle)
     drop = durable(group.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct(), "drop")
     kept = docs.join(drop, docs.doc_id == drop.doc_id, "left_anti")
     twice = durable(group.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    drop_durable(group)
     if not twice.take(1):
         return kept
     again = kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])

@@ -1,15 +1,22 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 A word is a bag of character n-grams (with marks at both ends); the bag's
-embeddings are averaged, windows of words are averaged again, and a linear
-softmax over the window gives its two class scores.  A document's margin is
-the bias plus the positive margins of its few strongest windows, so that one
-insult in a very long text is not averaged away and weaker hints add up.  Embeddings and softmax are trained jointly in numpy; an
-unseen misspelling or inflection shares most n-gram vectors with words that
-were seen.
-
-Training reads a bounded sample of labelled rows (``max_rows`` for each
-class, the rows of smallest hash); scoring reads every document whole.
+embeddings are averaged, the words of each window of ``window`` successive
+words are averaged, and the windows of a text are averaged once more, weighed
+by attention (a softmax of ``sharp`` times their own score).  A linear softmax
+over that one mean vector gives the two class scores.  The weights let an
+insult in a very long text stand out, yet every window, word and n-gram counts,
+for class 1 or against it.  Embeddings and softmax are trained jointly in
+numpy; an unseen misspelling or inflection shares most n-gram vectors with
+words that were seen.
+
+As all averages are linear, a word's margin (the difference of the two class
+scores of its own mean vector) is enough for scoring: window and text means of
+vectors and of margins are the same thing.
+
+Training reads a bounded sample of labelled rows (``max_rows`` and
+``max_chars`` for each class, in the order of the ids' hashes); scoring reads
+every document whole.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import small_batches, with_columns
+from ._util import small_batches, strings, tidy, with_columns
 
 LONGEST = 40  # longer "words" (text without white space) are cut into overlapping pieces
 
@@ -78,9 +85,13 @@ def _subwords(words: list[str], sizes: tuple[int, ...], buckets: int) -> tuple[n
     return ids[order].astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
 
 
-def _evidence(words: list[str], window: int) -> list[str]:
-    """What a text is judged by: its distinct words if a window is one word, else all words in order."""
-    return list(dict.fromkeys(words)) if window == 1 else words
+def window_means(z: np.ndarray, window: int) -> np.ndarray:
+    """Mean over every run of ``window`` values (over all, if there are fewer)."""
+    w = min(window, len(z))
+    if w <= 1:
+        return z
+    c = np.concatenate([[0.0], np.cumsum(z)])
+    return (c[w:] - c[:-w]) / w
 
 
 @dataclass
@@ -92,38 +103,37 @@ class ToxicityModel:
     bias: np.ndarray
     sizes: tuple[int, ...]
     window: int
-    strongest: int
+    sharp: float
 
     def logits(self, words: list[str]) -> np.ndarray:
+        """Margin of each word: its n-grams' mean vector times the difference of the two class weights."""
         if not words:
             return np.zeros(0)
         ids, ptr = subwords(words, self.sizes, len(self.embeddings))
-        mean = np.add.reduceat(self.embeddings[ids], ptr[:-1], axis=0) / np.diff(ptr)[:, None]
-        return mean @ (self.softmax[:, 1] - self.softmax[:, 0])
+        gram = self.embeddings @ (self.softmax[:, 1] - self.softmax[:, 0])
+        return np.add.reduceat(gram[ids].astype(float), ptr[:-1]) / np.diff(ptr)
 
     def margin(self, values: np.ndarray) -> float:
-        """Margin of a text from its words' margins: the bias plus what its strongest windows speak for class 1."""
+        """Margin of a text from its words' margins in order: bias plus the attention-weighted mean of its windows."""
         bias = float(self.bias[1] - self.bias[0])
         if not len(values):
             return bias
-        w = min(self.window, len(values))
-        if w > 1:
-            c = np.concatenate([[0.0], np.cumsum(values)])
-            values = (c[w:] - c[:-w]) / w
-        return bias + float(np.maximum(np.sort(values)[-self.strongest :], 0).sum())
+        z = window_means(values, self.window)
+        a = np.exp(self.sharp * (z - z.max()))
+        return bias + float((a * z).sum() / a.sum())
 
 
-def train(texts: list[str | None], labels: list[int], sizes=(3, 4, 5), buckets: int = 1 << 17, dim: int = 8, window: int = 1, strongest: int = 16, epochs: int = 70, rate: float = 0.08, decay: float = 3e-4, floor: float = 1e-2, least: int = 4, positive: float = 0.4, seed: int = 7) -> ToxicityModel:
+def train(texts: list[str | None], labels: list[int], sizes=(3, 4, 5), buckets: int = 1 << 17, dim: int = 8, window: int = 3, sharp: float = 8.0, epochs: int = 50, rate: float = 0.08, decay: float = 3e-4, floor: float = 1e-2, least: int = 4, positive: float = 0.25, seed: int = 7) -> ToxicityModel:
     """Fit embeddings and softmax together by full-batch Adam.
 
-    The first third of the epochs weighs a text's windows by a softmax that
-    sharpens slowly, so that evidence common to many texts is found before
-    any one text's words are learnt by heart; then a text counts as in
-    scoring.  N-grams in fewer than ``least`` texts are left out; ``positive``
-    is the weight of class 1 as a whole.
+    In the first third of the epochs the attention sharpens slowly from
+    nearly flat, so that evidence common to many texts is found before any one
+    text's words are learnt by heart.  N-grams in fewer than ``least`` texts
+    are left out; ``positive`` is the weight of class 1 as a whole.  With one
+    class only, or no words at all, the score is that class's share.
     """
     index: dict[str, int] = {}
-    each = [np.array([index.setdefault(w, len(index)) for w in _evidence(words_of(t), window)], np.int32) for t in texts]
+    each = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int32) for t in texts]
     lens = np.array(list(map(len, each)), np.int64)
     flat = np.concatenate(each) if each else np.zeros(0, np.int32)
     del each
@@ -136,12 +146,13 @@ def train(texts: list[str | None], labels: list[int], sizes=(3, 4, 5), buckets:
     if not has.any() or len(set(labels)) < 2:
         rate_1 = float(y.mean()) if len(y) else 0.0
         bias[1] = np.log(max(rate_1, 1e-6) / max(1 - rate_1, 1e-6))
-        return ToxicityModel(emb * 0, soft, bias, tuple(sizes), window, strongest)
+        return ToxicityModel(emb * 0, soft, bias, tuple(sizes), window, sharp)
     ids, ptr = subwords(list(index), tuple(sizes), buckets)
     n_sub = np.diff(ptr)
     by_word = np.repeat(np.arange(len(index), dtype=np.int32), n_sub)
     doc_of = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
     in_docs = np.bincount(np.unique(flat.astype(np.int64) * len(lens) + doc_of) // len(lens), minlength=len(index))
+    del doc_of
     seen = np.bincount(ids, weights=in_docs[by_word], minlength=buckets)
     keep = seen[ids] >= least
     used = np.flatnonzero(np.bincount(ids[keep], minlength=buckets))
@@ -150,49 +161,35 @@ def train(texts: list[str | None], labels: list[int], sizes=(3, 4, 5), buckets:
     local, by_word = place[ids[keep]], by_word[keep]
     del ids, keep
     e = emb[used]
-    first = np.concatenate([[0], np.cumsum(lens)[:-1]])[has]
     weight = np.where(y == 1, positive / max(1, y.sum()), (1 - positive) / max(1, (1 - y).sum()))[has]
     y_has = y[has]
-    at = (np.cumsum(has) - 1)[doc_of]
+    # windows: from each word to the one ``width - 1`` places on, inside its text
+    first_word = np.concatenate([[0], np.cumsum(lens)[:-1]])[has]
+    n_words = lens[has]
+    width = np.minimum(window, n_words)
+    n_win = n_words - width + 1
+    first = np.concatenate([[0], np.cumsum(n_win)[:-1]])
+    at = np.repeat(np.arange(len(n_win), dtype=np.int32), n_win)
+    begin = (np.arange(len(at)) - first[at] + first_word[at]).astype(np.int32)
+    wide = width[at].astype(np.int32)
     params, state = [e, soft, bias], [[np.zeros_like(p), np.zeros_like(p)] for p in (e, soft, bias)]
-    n_win = np.minimum(np.arange(len(flat)) + window, np.repeat(np.cumsum(lens), lens)) - np.arange(len(flat))
-
-    def smooth(v: np.ndarray) -> np.ndarray:
-        """Mean over the window that begins at each word, inside its document."""
-        if window == 1:
-            return v
-        c = np.concatenate([[0.0], np.cumsum(v)])
-        return (c[np.arange(len(v)) + n_win] - c[:-1]) / n_win
-
-    warm = epochs // 3
+    warm = max(1, epochs // 3)
     for step in range(1, epochs + 1):
         diff = soft[:, 1] - soft[:, 0]
         gram = e @ diff  # the average over a bag and the softmax commute: one number for each n-gram is enough
-        z = smooth((np.bincount(by_word, weights=gram[local], minlength=len(index)) / n_sub)[flat])
-        if step <= warm:
-            sharp = 0.25 * 32 ** (step / warm)
-            a = np.exp(sharp * np.clip(z - np.maximum.reduceat(z, first)[at], -60 / sharp, 0))
-            share = a / np.add.reduceat(a, first)[at]
-            pooled = np.add.reduceat(share * z, first)
-        else:
-            some = np.flatnonzero(z > 0)
-            order = some[np.lexsort((-z[some], at[some]))]
-            begin = np.concatenate([[True], at[order][1:] != at[order][:-1]]) if len(order) else np.zeros(0, bool)
-            nth = np.arange(len(order)) - np.maximum.accumulate(np.where(begin, np.arange(len(order)), 0))
-            share = np.zeros(len(z))
-            share[order[nth < strongest]] = 1.0
-            none = np.add.reduceat(share, first) == 0  # a text without evidence learns from its best window
-            share[(none & (y_has == 1))[at] & (z == np.maximum.reduceat(z, first)[at])] = 1.0
-            pooled = np.add.reduceat(share * np.maximum(z, 0), first)
+        z_word = np.bincount(by_word, weights=gram[local], minlength=len(index)) / n_sub
+        total = np.concatenate([[0.0], np.cumsum(z_word[flat])])
+        z = (total[begin + wide] - total[begin]) / wide
+        now = sharp * min(1.0, 16 ** (step / warm - 1))
+        top = np.maximum.reduceat(z, first)
+        a = np.exp(now * (z - top[at]))
+        a /= np.add.reduceat(a, first)[at]
+        pooled = np.add.reduceat(a * z, first)
         p = 1 / (1 + np.exp(-np.clip(pooled + bias[1] - bias[0], -30, 30)))
         g_doc = (p - y_has) * weight
-        g = share * g_doc[at]
-        if window > 1:  # hand each window's gradient to its words
-            back = np.zeros(len(g) + 1)
-            np.add.at(back, np.arange(len(g)), g / n_win)
-            np.add.at(back, np.arange(len(g)) + n_win, -g / n_win)
-            g = np.cumsum(back)[:-1]
-        g_word = np.bincount(flat, weights=g, minlength=len(index)) / n_sub
+        g = a * (1 + now * (z - pooled[at])) * g_doc[at] / wide  # through the weights, too
+        back = np.bincount(begin, weights=g, minlength=len(flat) + 1) - np.bincount(begin + wide, weights=g, minlength=len(flat) + 1)
+        g_word = np.bincount(flat, weights=np.cumsum(back)[:-1], minlength=len(index)) / n_sub
         g_gram = np.bincount(local, weights=g_word[by_word], minlength=len(used))
         g_diff = g_gram @ e
         gb = float(g_doc.sum())
@@ -204,48 +201,65 @@ def train(texts: list[str | None], labels: list[int], sizes=(3, 4, 5), buckets:
             q -= rate * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.99**step)) + floor)
     emb *= 0  # n-grams never seen in training say nothing
     emb[used] = e
-    return ToxicityModel(emb, soft, bias, tuple(sizes), window, strongest)
+    return ToxicityModel(emb, soft, bias, tuple(sizes), window, sharp)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rule: Column, max_rows: int = 3000, max_chars: int = 6_000_000, label: str = "toxic") -> pd.DataFrame:
-    """At most ``max_rows`` labelled texts of each class for which ``rule`` (over doc_id) holds.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rule: Column, max_rows: int = 2500, max_chars: int = 4_000_000, label: str = "toxic") -> pd.DataFrame:
+    """(doc_id, y, text): labelled texts for which ``rule`` (over doc_id) holds, bounded for each class.
 
-    Rows are taken in the order of their id's hash until ``max_rows`` rows of
-    a class, so the sample does not depend on partitioning; of these, whole
-    texts are used until ``max_chars`` characters of a class are reached.
+    Of each class at most ``max_rows`` ids are looked at, in the order of
+    their hashes, so the sample does not depend on partitioning; of these,
+    texts are taken whole, those that would exceed ``max_chars`` characters in
+    all being skipped (the shortest is always taken).  Only lengths reach the
+    driver before that choice.
     """
     marked = with_columns(labels, doc_id="long", **{label: "int"}).where(rule & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     marked = marked.groupBy("doc_id").agg(F.max(label).alias("y"))  # a document marked twice
     parts = [marked.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for c in (0, 1)]
-    chosen = parts[0].union(parts[1])
-    chosen = chosen.sparkSession.createDataFrame(chosen.toPandas(), "doc_id long, y int")
-    texts = with_columns(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")  # at most 2 * max_rows ids
-    texts = texts.withColumn("n", F.length("text")).select("doc_id", "y", "text", "n")
-    out = texts.toPandas().drop_duplicates(["doc_id", "text"]).sort_values("doc_id", kind="stable")
-    return out[out.groupby("y")["n"].transform(lambda n: n.fillna(0).cumsum()) <= max_chars] if len(out) else out
-
-
-def fit(docs: DataFrame, labels: DataFrame, rule: Column, max_rows: int = 3000, max_chars: int = 6_000_000, **options) -> ToxicityModel:
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame([(r.doc_id, r.y, k) for k, r in enumerate(parts[0].union(parts[1]).collect())], "doc_id long, y int, nth int")
+    texts = with_columns(docs, doc_id="long", text="string")
+    sizes = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y", "nth").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n")).collect()  # at most 2 * max_rows ids
+    take = []
+    for c in (0, 1):
+        own, used = sorted((r.nth, r.n, r.doc_id) for r in sizes if r.y == c), 0
+        for _, n, i in own:
+            if used + n <= max_chars:
+                take.append((i, c))
+                used += n
+        if own and not any(y == c for _, y in take):
+            take.append((min((n, nth, i) for nth, n, i in own)[2], c))
+    picked = texts.join(F.broadcast(spark.createDataFrame(take, "doc_id long, y int")), "doc_id").select("doc_id", "y", F.col("text").cast("binary").alias("text"))
+    out = picked.toPandas()
+    out["text"] = [None if t is None else bytes(t).decode("utf-8", "replace") for t in out["text"]]
+    return out.drop_duplicates(["doc_id", "text"]).sort_values(["doc_id", "text"], kind="stable", na_position="first")
+
+
+def fit(docs: DataFrame, labels: DataFrame, rule: Column, max_rows: int = 2500, max_chars: int = 4_000_000, **options) -> ToxicityModel:
     sample = labelled_sample(docs, labels, rule, max_rows, max_chars)
     return train(list(sample["text"]), list(sample["y"]), **options)
 
 
-def score(docs: DataFrame, model: ToxicityModel, memo: int = 200_000) -> DataFrame:
-    """``docs`` with a column toxicity (0 to 1).  Null and empty texts get the bias's score.
+def score(docs: DataFrame, model: ToxicityModel, memo: int = 100_000) -> DataFrame:
+    """``docs`` with a column toxicity (0 to 1); a column of that name is replaced, others are kept.
 
-    Each word is scored once in a batch and remembered (at most ``memo`` words
-    a task); nothing is shuffled.  The model is broadcast; its size is fixed
-    by its buckets and dimensions.
+    Null and empty texts get the bias's score.  Rows are scored one by one, so
+    repeated rows and equal texts have equal scores; an empty table gives an
+    empty one; bytes that are no UTF-8 count as U+FFFD; texts of any length
+    are read whole.  Each word's margin is computed once and remembered (at
+    most ``memo`` words a task); nothing is shuffled.  The model is broadcast;
+    its size is fixed by its buckets and dimensions.
     """
-    if "toxicity" in docs.columns:
-        docs = docs.drop("toxicity")
+    if "text" not in docs.columns:
+        raise ValueError("missing columns: text")
+    docs = docs.drop("toxicity").withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
     def run(batches):
         m, known = shared.value, {}
-        for b in small_batches(batches, "text"):
-            texts = [_evidence(words_of(t), m.window) for t in b.column("text").to_pylist()]
+        for b in small_batches(batches, "text", 1 << 20):
+            texts = [words_of(t) for t in strings(b.column("text"))]
             new = set().union(*texts).difference(known)
             if len(known) + len(new) > memo:
                 known.clear()
@@ -259,4 +273,4 @@ def score(docs: DataFrame, model: ToxicityModel, memo: int = 200_000) -> DataFra
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())]))

@@ -79,6 +79,12 @@ class RuleSweep:
         return found
 
 
+def _weight(rule: str) -> tuple[int, int]:
+    """Length of a rule and of its host: of equally long fitting rules the longer host is the more specific one."""
+    cut = rule.find("/")
+    return len(rule), cut if cut >= 0 else len(rule)
+
+
 def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", max_rules: int = MAX_RULES) -> DataFrame:
     """(``id_col``, host, path, rule, verdict) for every row of ``urls`` (columns ``id_col``, url).
 
@@ -112,7 +118,7 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", id_col: str
                 rules_, verdicts = b.column("rule").to_pylist(), b.column("verdict").to_pylist()
                 for i, (key, path) in enumerate(zip(b.column("_key").to_pylist(), b.column("path").to_pylist(), strict=True)):
                     s.move(key)
-                    if s.stack and (got := s.best(path)) and (rules_[i] is None or len(got[0]) > len(rules_[i])):
+                    if s.stack and (got := s.best(path)) and (rules_[i] is None or _weight(got[0]) > _weight(rules_[i])):
                         rules_[i], verdicts[i] = got
                 yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("host"), b.column("path"), b.column("_key"), pa.array(rules_, pa.string()), pa.array(verdicts, pa.string())], ["_id", "host", "path", "_key", "rule", "verdict"])
 

@@ -126,7 +126,7 @@ def test_similar_groups_find_what_brute_force_finds(spark):
             n += 1
             docs.append((n, " ".join(v)))
         n += 1
-    sets = {i: simhash.shingles(t.encode(), 5) for i, t in docs}
+    sets = {i: plain_shingles(t) for i, t in docs}
     want = groups(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(docs, DOCS)).collect()}
     wrong = [i for i in got if got[i] != want[i]]
@@ -134,13 +134,22 @@ def test_similar_groups_find_what_brute_force_finds(spark):
     assert all(want[got[i]] == want[i] for i in got)
 
 
-def by_rule(docs, similar, within=14):
+def plain_shingles(text, size=5):
+    w = (text or "").lower().split()
+    return {tuple(w)} if len(w) < size else set(zip(*(w[i:] for i in range(size)), strict=False))
+
+
+def wide(text):
+    return [x & (2**64 - 1) for x in simhash.wide_fingerprint(simhash._word_hashes(text.encode()))]
+
+
+def by_rule(docs, similar, within=28):
     """Groups of texts whose fingerprints share a one-wildcard segment, lie within ``within`` bits and that are similar."""
-    fps = {i: simhash.fingerprint(t.encode()) for i, t in docs}
+    fps = {i: wide(t) for i, t in docs}
 
     def near(a, b):
-        x = fps[a] ^ fps[b]
-        return x.bit_count() <= within and any(((x >> lo) & ((1 << hi - lo) - 1)).bit_count() <= 1 for lo, hi in simhash._CUTS) and similar(a, b)
+        x = [p ^ q for p, q in zip(fps[a], fps[b], strict=True)]
+        return sum(y.bit_count() for y in x) <= within and any(((y >> lo) & ((1 << hi - lo) - 1)).bit_count() <= 1 for y in x for lo, hi in simhash._CUTS) and similar(a, b)
 
     return groups([i for i, _ in docs], near)
 
@@ -154,13 +163,13 @@ def test_crowded_segments_lose_no_pair(spark):
         for at in rng.sample(range(300), 6):
             w[at] = f"new{n}x{at}"
         docs.append((n, " ".join(w)))
-    sets = {i: simhash.shingles(t.encode(), 5) for i, t in docs}
+    sets = {i: plain_shingles(t) for i, t in docs}
     want = by_rule(docs, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     frame = spark.createDataFrame(docs, DOCS)
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(frame).collect()}
     assert got == want
-    fps = sorted({simhash.fingerprint(t.encode()) for _, t in docs})
-    nodes = spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)], "node long, fp long")
+    fps = sorted({tuple(simhash.wide_fingerprint(simhash._word_hashes(t.encode()))) for _, t in docs})
+    nodes = spark.createDataFrame([(k, *f) for k, f in enumerate(fps)], "node long, f0 long, f1 long")
     every, none = simhash.candidate_pairs(nodes, crowd=10**6)
     _, members = simhash.candidate_pairs(nodes)
     alone = spark.createDataFrame([], "node long, component long")
@@ -169,6 +178,25 @@ def test_crowded_segments_lose_no_pair(spark):
     assert none is None and got == {tuple(r) for r in every.collect()}  # blocks list every pair
 
 
+def test_similar_pairs_are_found_in_every_band(spark):
+    rng = random.Random(21)
+    docs, pairs, n = [], [], 0
+    for _ in range(500):
+        w = words(rng, 240, 4000)
+        v = w[:]
+        for at in sorted(rng.sample(range(240), rng.randrange(1, 6))):
+            v[at] = f"new{n}x{at}"
+        docs += [(n, " ".join(w)), (n + 1, " ".join(v))]
+        a, b = plain_shingles(docs[-2][1]), plain_shingles(docs[-1][1])
+        pairs.append((n, n + 1, len(a & b) / len(a | b)))
+        n += 2
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(docs, DOCS)).collect()}
+    for low in (0.8, 0.85, 0.9, 0.95):
+        band = [(a, b) for a, b, j in pairs if low <= j < low + 0.05]
+        assert len(band) > 50 and np.mean([got[a] == got[b] for a, b in band]) >= 0.9
+    assert not any(got[a] == got[b] for a, b, j in pairs if j < 0.8)
+
+
 def test_equal_fingerprints_are_compared(spark):
     rng = random.Random(3)
     line = words(rng, 5, 5000) * 60  # decides every bit
@@ -178,7 +206,7 @@ def test_equal_fingerprints_are_compared(spark):
         docs.append((n, " ".join(line + own)))
         if n % 4 == 0:
             docs.append((100 + n, " ".join(line + own[:-1] + ["other"])))
-    assert len({simhash.fingerprint(t.encode()) for _, t in docs}) == 1
+    assert len({tuple(wide(t)) for _, t in docs}) == 1
     docs += [(None, docs[0][1]), (7, "a text of its own under an id that is taken")]
     got = simhash.similar_groups(spark.createDataFrame(docs, DOCS)).collect()
     assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == sorted((i, i % 100) for i, _ in docs if i is not None)
@@ -188,7 +216,7 @@ def test_equal_fingerprints_are_compared(spark):
     one = own[:20] + ["x"] + own[21:]
     two = one[:35] + ["y"] + one[36:]
     chain = [(1, " ".join(line + own)), (None, " ".join(line + one)), (2, " ".join(line + two))]
-    sets = [simhash.shingles(t.encode(), 5) for _, t in chain]
+    sets = [plain_shingles(t) for _, t in chain]
     alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
     assert alike(sets[0], sets[1]) and alike(sets[1], sets[2]) and not alike(sets[0], sets[2])
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(chain, DOCS)).collect()}
@@ -215,7 +243,7 @@ def test_toxicity_generalises_to_unseen_forms():
     seen, new = toxic_corpus(1), toxic_corpus(2)
     m = toxicity.train([t for t, _ in seen], [y for _, y in seen])
     new = [(t.replace("grumflet", "grumfzzz"), y) for t, y in new]
-    p = [m.margin(m.logits(toxicity._evidence(toxicity.words_of(t), 1))) > -0.85 for t, _ in new]
+    p = [m.margin(m.logits(toxicity.words_of(t))) > -0.85 for t, _ in new]
     assert np.mean([a == bool(y) for a, (_, y) in zip(p, new, strict=True)]) > 0.95
 
 
@@ -232,11 +260,52 @@ def test_toxicity_query_shape_and_edges(spark):
     assert toxicity.score(docs.limit(0), none).count() == 0
 
 
-def test_toxicity_windows():
-    m = toxicity.train([t for t, _ in toxic_corpus(1)], [y for _, y in toxic_corpus(1)], window=3, epochs=40)
-    hot = m.margin(m.logits("w1x w2x grumfling grumfer w3x".split()))
-    cold = m.margin(m.logits("w1x w2x w5x w6x w3x".split()))
-    assert hot > cold
+def plain_margin(m, text):
+    """The model's margin by its definition: vectors averaged step by step, then the linear softmax."""
+    vectors = []
+    for w in toxicity.words_of(text):
+        ids, _ = toxicity.subwords([w], m.sizes, len(m.embeddings))
+        vectors.append(np.mean([m.embeddings[i].astype(float) for i in ids], axis=0))
+    if not vectors:
+        return float(m.bias[1] - m.bias[0])
+    k = min(m.window, len(vectors))
+    windows = [np.mean(vectors[i : i + k], axis=0) for i in range(len(vectors) - k + 1)]
+    own = [float(v @ m.softmax[:, 1] - v @ m.softmax[:, 0]) for v in windows]
+    a = np.exp(m.sharp * (np.array(own) - max(own)))
+    mean = (a[:, None] * np.array(windows)).sum(0) / a.sum()
+    logits = mean @ m.softmax + m.bias
+    return float(logits[1] - logits[0])
+
+
+def test_toxicity_scores_against_plain(spark):
+    data = toxic_corpus(1)
+    m = toxicity.train([t for t, _ in data], [y for _, y in data], epochs=20)
+    texts = [data[0][0], data[1][0], "", None, "grumfling", "a b", "x" * 200 + " grumfoid"]
+    got = {r.doc_id: r.toxicity for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), DOCS), m).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-plain_margin(m, t))), abs=1e-5)
+
+
+def test_toxicity_gradient_lowers_loss():
+    data = toxic_corpus(1, 120)
+    loss = []
+    for epochs in (1, 10, 40):
+        m = toxicity.train([t for t, _ in data], [y for _, y in data], epochs=epochs)
+        p = [1 / (1 + np.exp(-m.margin(m.logits(toxicity.words_of(t))))) for t, _ in data]
+        loss.append(-np.mean([np.log(max(q if y else 1 - q, 1e-9)) for q, (_, y) in zip(p, data, strict=True)]))
+    assert loss[0] > loss[1] > loss[2]
+
+
+def test_toxicity_sample_is_bounded_and_whole(spark):
+    rows = [(i, ("w " * (5 if i % 7 else 4000)).strip()) for i in range(60)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, labels, F.lit(True), max_rows=20, max_chars=1000)
+    whole = dict(rows)
+    assert all(whole[i] == t for i, t in zip(got.doc_id, got.text, strict=True))
+    assert all(0 < got[got.y == c].text.str.len().sum() <= 1000 and len(got[got.y == c]) > 10 for c in (0, 1))  # long ones are skipped
+    only = toxicity.labelled_sample(docs.where("doc_id % 7 = 0"), labels, F.lit(True), max_rows=20, max_chars=1000)
+    assert sorted(only.y) == [0, 1]  # the shortest of each class
 
 
 # -- WARC --------------------------------------------------------------------------
@@ -307,7 +376,7 @@ def test_warc_empty(spark, tmp_path):
 
 # -- URL rules -----------------------------------------------------------------------
 
-RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("b.c", "", "block"), ("b.c", "/x", "allow"), ("a.b.c", "/", "allow"), (None, "/", "block")]
+RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("b.c", "", "block"), ("b.c", "/x", "allow"), ("a.b.c", "/", "allow"), ("a.com", "/a/b", "block"), ("b.a.com", "/a", "allow"), (None, "/", "block")]
 
 
 def plain_judge(url):
@@ -319,16 +388,16 @@ def plain_judge(url):
     path = path[: min([path.find(c) for c in "?#" if c in path] or [len(path)])]
     best = None
     for h, p, v in RULES:
-        if h and (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[0])):
-            best = (h + p, v)
-    return host, path, best and best[0], best[1] if best else "allow"
+        if h and (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or (len(h + p), len(h)) > best[0]):
+            best = ((len(h + p), len(h)), h + p, v)
+    return host, path, best and best[1], best[2] if best else "allow"
 
 
 @pytest.mark.parametrize("limit", [1000, 2])
 def test_urls_against_brute_force(spark, limit):
     rng = random.Random(6)
-    hosts = ["com", "example.com", "www.example.com", "xexample.com", "WWW.Example.COM", "q.net", "net", "b.c", "a.b.c", "z.a.b.c", "c", "", "com.", "a..com", "example.com:80"]
-    paths = ["", "/", "/en/", "/en", "/en/x?y=/es/", "/es/1#t", "/x", "?a", "#b", "/EN/"]
+    hosts = ["com", "example.com", "www.example.com", "xexample.com", "WWW.Example.COM", "q.net", "net", "b.c", "a.b.c", "z.a.b.c", "c", "", "com.", "a..com", "example.com:80", "b.a.com", "x.b.a.com", "a.com"]
+    paths = ["", "/", "/en/", "/en", "/en/x?y=/es/", "/es/1#t", "/x", "?a", "#b", "/EN/", "/a/b", "/a/bc"]
     urls = [f"{rng.choice(['http', 'https', ''])}://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(300)] + [None, "", "nothing", "://", "a://b://com/"]
     d = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, host string").repartition(5)
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
@@ -517,6 +586,10 @@ def test_bpe_equals_library(spark):
         assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, e.ids)).encode()).hexdigest() and got[i].n_tokens == len(e.ids)
     one = bpe.load(p.path("word_bpe_49k.json"))
     assert one.decode(one.encode("Hello world")) == lib.decode(lib.encode("Hello world", add_special_tokens=False).ids, skip_special_tokens=False)
+    long = "".join(rng.choice("abcdefghij") for _ in range(1 << 20))  # one word of a megabyte
+    e = lib.encode(long[:200_000], add_special_tokens=False)
+    assert one.encode(long[:200_000]) == e.ids
+    assert sum(map(len, (lib.id_to_token(i).removesuffix("</w>") for i in one.encode(long)))) == 1 << 20
     one.encode(" ".join(t for t in texts if t))
     assert 0 < one.stats["merged"] < one.stats["words"]
 
