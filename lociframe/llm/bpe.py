@@ -49,7 +49,7 @@ def _byte_symbols() -> list[str]:
 class WordBpe:
     """A tokenizer read from ``path``; keeps what it has learnt of pairs and at most ``memo`` words."""
 
-    def __init__(self, path: str, memo: int = 120_000):
+    def __init__(self, path: str, memo: int = 160_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -281,6 +281,11 @@ class WordBpe:
         for w, ids in zip(new, self.encode_words(new), strict=True):
             self.memo[w] = (len(ids), " ".join(map(str, ids)), " ".join(show[i] for i in ids))
 
+    def forget(self) -> None:
+        """Empty what has been learnt of words and pairs."""
+        self.memo = {}
+        self.seen, self.seen_fits = np.zeros(0, np.int64), np.zeros(0, bool)
+
     def cut(self, text: str | None) -> list[str]:
         """The text's words; special tokens found in it are kept as they are (no word equals one)."""
         text = text or ""
@@ -341,6 +346,7 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
                 cols += [pa.array([[int(x) for x in i.split()] for _, i, _ in got], pa.list_(pa.int32())), pa.array([d for _, _, d in got], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names)
+        bpe.forget()  # the worker lives on
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
     return with_columns(docs, doc_id="long", text="string").mapInArrow(tidy(run), schema)

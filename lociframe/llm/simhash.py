@@ -230,16 +230,26 @@ def _wide_variants(nodes: DataFrame) -> DataFrame:
     return nodes.select(*nodes.columns, F.explode(F.expr(f"concat({', '.join(one(w, f) for w, f in enumerate(_FP))})")).alias("key"))
 
 
+def _number(key: str) -> str:
+    return f"shiftrightunsigned({key}, 32)"
+
+
+def _segment_of(side: str) -> str:
+    """SQL of the whole segment (deleted bit included) under which a row (f0, f1, key) is listed; its bits stay in place."""
+    word = f"case {' '.join(f'when {_number(side + 'key')} < {64 * w + 64} then {side}{f}' for w, f in enumerate(_FP))} end"
+    at = f"{_number(side + 'key')} & 63"
+    return f"(({word}) & case when {at} < 21 then 2097151L when {at} < 42 then shiftleft(2097151L, 21) else shiftleft(4194303L, 42) end)"
+
+
+def _first_variant(key: str) -> str:
+    """Whether a variant is the first of its segment: there pairs of equal segments are listed, elsewhere not."""
+    return f"({_number(key)} & 63) in (0, 21, 42)"
+
+
 def _listed(within: int) -> Column:
     """Whether members a and b of a variant are a pair to be listed there (once for each segment)."""
-    number = F.shiftrightunsigned(F.col("a.key"), 32)
-    k = number.bitwiseAND(F.lit(63))
-    off = F.when(k < 21, 0).when(k < 42, 21).otherwise(42)
-    bits = F.when(k < 42, F.lit((1 << 21) - 1)).otherwise(F.lit((1 << 22) - 1))
-    word = lambda s: f"case {' '.join(f'when shiftrightunsigned({s}.key, 32) < {64 * w + 64} then {s}.{f}' for w, f in enumerate(_FP))} end"
-    at = "shiftrightunsigned(a.key, 32) & 63"
-    differs = F.expr(f"shiftrightunsigned(({word('a')}) ^ ({word('b')}), case when {at} < 21 then 0 when {at} < 42 then 21 else 42 end)").bitwiseAND(bits.cast("long")) != 0
-    return (F.col("a.node") < F.col("b.node")) & (_distance() <= within) & (differs | (k == off))
+    once = F.expr(f"{_first_variant('a.key')} or {_segment_of('a.')} != {_segment_of('b.')}")
+    return (F.col("a.node") < F.col("b.node")) & (_distance() <= within) & once
 
 
 def candidate_pairs(nodes: DataFrame, within: int = 28, crowd: int = 16) -> tuple[DataFrame, DataFrame | None]:
@@ -261,11 +271,15 @@ def candidate_pairs(nodes: DataFrame, within: int = 28, crowd: int = 16) -> tupl
         hot = crowded.select(F.explode(F.expr(f"transform(sequence(0, {width}), i -> shiftleft({number} + i, 32) | (segment & 4294967295L & ~shiftleft(1L, cast(i as int))))")).alias("key")).distinct()
         company = segments.join(crowded, "segment").groupBy("node").agg(F.sum("count").alias("company"))
         keyed = _wide_variants(nodes.join(company, "node", "left").select("node", *_FP, F.coalesce("company", F.lit(0)).alias("company")))
-        members = durable(keyed.join(hot, "key", "left_semi").select("key", "node", *_FP, "company"), "crowded-members")
-        hubs = members.groupBy("key").agg(F.max(F.struct("company", "node", *_FP)).alias("hub"))
+        every = durable(keyed.join(hot, "key", "left_semi").select("key", "node", *_FP, "company"), "crowded-members")
+        segment = F.expr(_segment_of(""))
+        hubs = every.groupBy("key").agg(F.max(F.struct("company", "node", *_FP)).alias("hub"), F.min(segment).alias("low"), F.max(segment).alias("high"))
+        hubs = hubs.where(F.expr(f"low != high or {_first_variant('key')}")).drop("low", "high")  # other variants list no pair
+        members = durable(every.join(hubs, "key"), "crowded-listed")
+        drop_durable(every)
         near = F.expr(" + ".join(f"bit_count({f} ^ hub.{f})" for f in _FP)) <= within
-        stars = members.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & near).select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"))
-        members = _same_path(members, members.drop("company"))
+        stars = members.where((F.col("node") != F.col("hub.node")) & near).select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"))
+        members = _same_path(members, members.drop("company", "hub"))
         keyed = keyed.select("node", *_FP, "key").join(hot, "key", "left_anti")
     else:
         keyed = _wide_variants(nodes)
@@ -318,7 +332,7 @@ def _may_be_similar(similarity: float) -> Column:
     return shared * (1 + similarity) >= similarity * (F.col("a.size") + F.col("b.size")) - 1e-6
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, fingerprint_shingle: int = 2, within: int = 28, crowd: int = 16) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, fingerprint_shingle: int = 2, within: int = 28, crowd: int = 16, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, component_id): groups of texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
 
     Fingerprints of two 64-bit words, cut into six segments with one wildcard
@@ -331,8 +345,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
     their pairs that are not yet in one group and that no sketch proves
     dissimilar.
 
-    Texts are read once, in Python; what follows moves ids, fingerprints and
-    hashes.  component_id is the smallest doc_id of the group.  Null texts
+    Texts are read once, in Python; what follows moves ids, fingerprints and,
+    of the proposed texts only, hashes (their ids, longs, are broadcast up to
+    ``broadcast_rows``, shuffled beyond).  component_id is the smallest doc_id of the group.  Null texts
     count as empty; empty texts are one group; rows with a null doc_id take
     part and keep the null; repeated rows are one node; bytes of any encoding
     and texts of any length are read whole; an empty table gives an empty one;
@@ -343,14 +358,15 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
 
     def similar(pairs):
         """Those of the pairs whose shingle sets are similar."""
-        wanted = pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct()
-        sets = durable(sig.select("row", "hashes").join(wanted, "row", "left_semi"), "sets")
+        wanted = durable(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "wanted")
+        few = wanted.count() <= broadcast_rows
+        sets = durable(sig.select("row", "hashes").join(F.broadcast(wanted) if few else wanted, "row", "left_semi"), "sets")
         one, two = sets.withColumnsRenamed({"row": "u", "hashes": "a"}), sets.withColumnsRenamed({"row": "v", "hashes": "b"})
         # sizes first: sets of very unequal size cannot be similar
         both = pairs.join(one, "u").join(two, "v").where(F.least(F.size("a"), F.size("b")) >= similarity * F.greatest(F.size("a"), F.size("b")) - 1e-6)
         both = both.withColumn("shared", F.size(F.array_intersect("a", "b")))
         out = durable(both.where(F.col("shared") >= similarity * (F.size("a") + F.size("b") - F.col("shared")) - 1e-9).select("u", "v"), "near")
-        drop_durable(sets)
+        drop_durable(sets, wanted)
         return out
 
     pairs, members = candidate_pairs(nodes.select("node", *_FP), within, crowd)
