@@ -708,7 +708,71 @@ def test_html_containers_and_entities():
     <article><header><h2>Head &amp; line</h2></header><p>First <b>bo</b>ld&nbsp;&lt;tag&gt;\n  text<br>second line<p>a | b
     <aside>See also</aside><div id="comments"><p>{GOOD}</p></div><form>Name <input></form><p hidden>no</p><p>Last &am</article>
     <div class="ad">{GOOD}</div><footer>&copy; me</footer>"""
-    assert htmltext.main_text(page) == "Head & line\n\nFirst bold <tag> text\n\nsecond line\n\na | b\n\nLast &am"
+    assert htmltext.main_text(page) == "Head & line\n\nFirst bold <tag> text second line\n\na | b\n\nLast &am"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p title=it's>Hello</p><p>Don't go</p></article>", "Hello\n\nDon't go"),
+        ("<article><p a==b c= >x<p d=>y</article>", "x\n\ny"),
+        ("<article><p>foo <svg><path/></svg>bar <script>x</script>baz</p></article>", "foo bar baz"),
+        ("<article><p>o<script>var t='</p>'</script>ne <canvas>no<p>no</p></canvas>two</p></article>", "one two"),
+        ("<article><p>One.</p><form><button>Label</form><p>Two.</p></article>", "One.\n\nTwo."),
+        ("<article><p>A <button>Label</p><p>Two.</p></article>", "A\n\nTwo."),
+        ("<article><button>A<p>One.</p><button>B</button>tail</article>", "One.\n\ntail"),
+        ("<head><title>T</title><body><article>x</article>", "x"),
+        ("<article>a<br>b<br> <br/>c</article>", "a b\n\nc"),
+        ("<article>x<!--> y --> z<!-- no", "x y --> z"),
+        ("<article>x</article><script>never closed <p>no", "x"),
+        ("<article>x <a href='", "x"),
+        ("<article><p><a href=x>Only a link</a></p><ul><li><a href=y>menu</a></ul>end</article>", "Only a link\n\nend"),
+    ],
+)
+def test_html_tags_as_browsers_read_them(page, want):
+    assert htmltext.main_text(page) == want
+
+
+def test_html_compound_classes_yield_and_whole_ones_do_not():
+    good = f"<p>{GOOD}</p>"
+    assert htmltext.main_text(f'<div class="content has-sidebar">{good}</div>') == GOOD
+    assert htmltext.main_text(f'<div class="social-article">{good}</div>') == GOOD
+    assert htmltext.main_text(f'<div class="promo-box">{good}</div>') == GOOD  # nothing else is left
+    assert htmltext.main_text(f'<div class="promo-box">{good}</div><div>{good}</div>') == GOOD
+    assert htmltext.main_text(f'<div class="ad">{good}</div>') == ""
+
+
+def test_html_other_scripts():
+    body = "これは日本語の文章です。とても長い文章なので本文として扱われます。" * 4
+    assert htmltext.main_text(f"<div><a href=x>メニュー</a></div><div><p>{body}</p></div>") == body
+    greek = "Αυτό είναι ένα κείμενο στα ελληνικά, που είναι αρκετά μεγάλο. " * 6
+    assert htmltext.main_text(f"<ul><li><a href=x>μενού</a></li></ul><p>{greek}</p>") == greek.strip()
+
+
+def test_html_against_pages_of_known_text():
+    """Random pages put together from article paragraphs and everything that is not the article."""
+    rng = random.Random(17)
+    inline = [lambda t: (f"<b>{t}</b>", t), lambda t: (f"<a href=x>{t}</a> {t}", f"{t} {t}"), lambda t: (t + "<script>if (a<b) x('</p>')</script>", t), lambda t: (t + " &amp; &#x41;&eacute;", t + " & Aé"), lambda t: (f"{t}<!-- <p>no</p> -->", t), lambda t: (f"{t}<br>{t}", f"{t} {t}"), lambda t: (f"<em title=\"a>b\">{t}</em>", t)]
+    noise = ["<nav><ul><li><a href=/>{t}</a></ul></nav>", "<div class=ad>{t}</div>", "<aside><p>{t}</p></aside>", "<footer>{t}</footer>", "<form><input value='x'><button>{t}</button></form>", "<section id=comments><p>{t}</p></section>", "<style>p {{ }}</style>", "<div hidden><p>{t}</p></div>", "<div class='cookie'>{t}<div>{t}</div></div>", "<noscript><p>{t}</p></noscript>"]
+    for _ in range(150):
+        parts, want = [], []
+        for _ in range(rng.randrange(1, 8)):
+            if rng.random() < 0.4:
+                parts.append(rng.choice(noise).format(t=" ".join(words(rng, 8))))
+            bits = [rng.choice(inline)(" ".join(words(rng, rng.randrange(1, 9)))) for _ in range(rng.randrange(1, 4))]
+            tag = rng.choice(["p", "h2", "blockquote", "div"])
+            parts.append(f"<{tag}>\n  {' '.join(a for a, _ in bits)}</{tag}>")
+            want.append(" ".join(b for _, b in bits))
+        around = [n.format(t=GOOD) for n in rng.sample(noise, 4)]
+        page = f"<!DOCTYPE html><html><head><title>t</title></head><body>{around[0]}{around[1]}<article>{''.join(parts)}</article>{around[2]}{around[3]}</body></html>"
+        assert htmltext.main_text(page) == "\n\n".join(want)
+
+
+def test_html_very_long_and_hostile_pages():
+    body = "the text of a very long page. " * 40_000
+    assert htmltext.main_text(f"<article>{body}</article>") == body.strip()
+    for page in ('a<b x="' * 200_000, "<noscript>" * 50_000, "<!--" * 100_000, "<div>" * 20_000 + "x", "<a b='" * 50_000 + ">"):
+        htmltext.main_text(page)
 
 
 def test_html_words_of_other_attributes_are_not_evidence():
