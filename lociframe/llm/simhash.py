@@ -255,9 +255,9 @@ def _listed(within: int) -> Column:
 def candidate_pairs(nodes: DataFrame, within: int = 28, crowd: int = 16) -> tuple[DataFrame, DataFrame | None]:
     """Pairs (u, v) of nodes whose fingerprints share a variant of a segment and differ in at most ``within`` of their bits.
 
-    ``nodes`` has the longs ``node`` (distinct) and the fingerprint words.  In
-    a variant of a crowded segment only the pairs with one hub are listed, the
-    member whose segments are the most crowded; the second result holds all
+    ``nodes`` has the longs ``node`` (distinct) and the fingerprint words.  Of
+    a crowded segment only the pairs with one hub are listed, the member whose
+    segments are the most crowded; the second result holds all
     members (node, f0, f1, key) of such variants for :func:`open_members`, or
     None.
     """
@@ -278,7 +278,7 @@ def candidate_pairs(nodes: DataFrame, within: int = 28, crowd: int = 16) -> tupl
         members = durable(every.join(hubs, "key"), "crowded-listed")
         drop_durable(every)
         near = F.expr(" + ".join(f"bit_count({f} ^ hub.{f})" for f in _FP)) <= within
-        stars = members.where((F.col("node") != F.col("hub.node")) & near).select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"))
+        stars = members.where(F.expr(_first_variant("key")) & (F.col("node") != F.col("hub.node")) & near).select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"))
         members = _same_path(members, members.drop("company", "hub"))
         keyed = keyed.select("node", *_FP, "key").join(hot, "key", "left_anti")
     else:
@@ -358,7 +358,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
 
     def similar(pairs):
         """Those of the pairs whose shingle sets are similar."""
-        wanted = durable(pairs.select(F.explode(F.array("u", "v")).alias("row")).distinct(), "wanted")
+        wanted = durable(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct(), "wanted")
         few = wanted.count() <= broadcast_rows
         sets = durable(sig.select("row", "hashes").join(F.broadcast(wanted) if few else wanted, "row", "left_semi"), "sets")
         one, two = sets.withColumnsRenamed({"row": "u", "hashes": "a"}), sets.withColumnsRenamed({"row": "v", "hashes": "b"})
@@ -393,17 +393,18 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
     return out
 
 
-def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def deduplicate(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``docs`` with one document for each near-duplicate group: the one of smallest doc_id.
 
     Repeated rows of that doc_id are the same document given twice: one of
     them stays.  Rows without a doc_id cannot be told apart and all stay.
     Null, empty and very long texts as in :func:`similar_groups`; an empty
-    table gives an empty one; all columns of ``docs`` are kept.
+    table gives an empty one; all columns of ``docs`` are kept.  The ids to
+    drop, longs, are broadcast up to ``broadcast_rows``, shuffled beyond.
     """
     group = similar_groups(docs, similarity, shingle)
     drop = durable(group.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct(), "drop")
-    kept = docs.join(drop, docs.doc_id == drop.doc_id, "left_anti")
+    kept = docs.join(F.broadcast(drop) if drop.count() <= broadcast_rows else drop, docs.doc_id == drop.doc_id, "left_anti")
     twice = durable(group.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     drop_durable(group)
     if not twice.take(1):
