@@ -346,8 +346,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
     dissimilar.
 
     Texts are read once, in Python; what follows moves ids, fingerprints and,
-    of the proposed texts only, hashes (their ids, longs, are broadcast up to
-    ``broadcast_rows``, shuffled beyond).  component_id is the smallest doc_id of the group.  Null texts
+    of the proposed texts only, hashes (their ids and pairs, longs, are
+    broadcast up to ``broadcast_rows``, shuffled beyond).  component_id is the smallest doc_id of the group.  Null texts
     count as empty; empty texts are one group; rows with a null doc_id take
     part and keep the null; repeated rows are one node; bytes of any encoding
     and texts of any length are read whole; an empty table gives an empty one;
@@ -363,7 +363,8 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
         sets = durable(sig.select("row", "hashes").join(F.broadcast(wanted) if few else wanted, "row", "left_semi"), "sets")
         one, two = sets.withColumnsRenamed({"row": "u", "hashes": "a"}), sets.withColumnsRenamed({"row": "v", "hashes": "b"})
         # sizes first: sets of very unequal size cannot be similar
-        both = pairs.join(one, "u").join(two, "v").where(F.least(F.size("a"), F.size("b")) >= similarity * F.greatest(F.size("a"), F.size("b")) - 1e-6)
+        near = F.broadcast(pairs) if pairs.count() <= broadcast_rows else pairs
+        both = one.join(near, "u").join(two, "v").where(F.least(F.size("a"), F.size("b")) >= similarity * F.greatest(F.size("a"), F.size("b")) - 1e-6)
         both = both.withColumn("shared", F.size(F.array_intersect("a", "b")))
         out = durable(both.where(F.col("shared") >= similarity * (F.size("a") + F.size("b") - F.col("shared")) - 1e-9).select("u", "v"), "near")
         drop_durable(sets, wanted)
