@@ -104,62 +104,74 @@ def weighted_median(df: DataFrame, keys: list[str], values: list[str], weight: s
     return out
 
 
-def p_adjust(df: DataFrame, p: str, method: str = "BH", out: str = "p_adj", by: list[str] | None = None, n: int | None = None) -> DataFrame:
-    """``df`` with adjusted p-values (BH = fdr, BY, holm, hochberg, hommel, bonferroni, none); null and NaN stay null and do not count."""
-    by = by or []
-    ok = F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double"))
-    total = F.count(F.when(ok, 1)).over(Window.partitionBy(*by)).cast("double")
-    low = Window.partitionBy(*by, F.when(ok, 0).otherwise(1)).orderBy(F.col(p))
-    high = Window.partitionBy(*by, F.when(ok, 0).otherwise(1)).orderBy(F.col(p).desc())
-    d = df.withColumn("_n", total).withColumn("_i", F.row_number().over(low).cast("double")).withColumn("_harmonic", F.lit(1.0))
-    pv = F.col(p)
-    if method in ("BH", "fdr", "BY"):
-        if method == "BY":
-            d = d.withColumn("_harmonic", F.sum(F.when(ok, 1 / F.col("_i"))).over(Window.partitionBy(*by)))
-        raw = F.col("_harmonic") * F.col("_n") / F.col("_i") * pv
-        adj = F.min(raw).over(high.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    elif method == "holm":
-        adj = F.max((F.col("_n") - F.col("_i") + 1) * pv).over(low.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    elif method == "hochberg":
-        adj = F.min((F.col("_n") - F.col("_i") + 1) * pv).over(high.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    elif method == "bonferroni":
-        adj = F.col("_n") * pv
-    elif method == "none":
-        adj = pv
-    elif method == "hommel":
-        return _hommel(df, p, out, by)
-    else:
+def p_adjust(df: DataFrame, p: str, method: str = "BH", out: str = "p_adj", by: list[str] | None = None) -> DataFrame:
+    """``df`` with adjusted p-values (BH = fdr, BY, holm, hochberg, hommel, bonferroni, none); null and NaN stay null and do not count.
+
+    Ranks are taken over distinct values with their counts, in two steps:
+    inside buckets of like values, and over the buckets' totals (some
+    thousands of rows for each family), so no task ever holds a family.
+    """
+    if method == "hommel":
+        return _hommel(df, p, out, by or [])
+    if method not in ("BH", "fdr", "BY", "holm", "hochberg", "bonferroni", "none"):
         raise ValueError(f"unknown method {method!r}")
-    return d.withColumn(out, F.when(ok, F.least(F.lit(1.0), adj))).drop("_n", "_i", "_harmonic")
+    value = F.col(p).cast("double")
+    ok = value.isNotNull() & ~F.isnan(value)
+    if method == "none":
+        return df.withColumn(out, F.when(ok, F.least(F.lit(1.0), value)))
+    family = F.struct(*[F.col(b).alias(f"b{i}") for i, b in enumerate(by)]) if by else F.lit(0)
+    # buckets in descending order of p: equal steps of its logarithm
+    bucket = F.when(value <= 0, 1_000_000).otherwise(F.least(F.lit(999_999), F.floor(-F.log(F.greatest(value, F.lit(1e-300))) * 64))).cast("int")
+    each = df.where(ok).groupBy(family.alias("_f"), value.alias("_p"), bucket.alias("_b")).agg(F.count(F.lit(1)).cast("double").alias("_c"))
+    least = Window.partitionBy("_f").orderBy(F.desc("_b"))  # from the smallest p on
+    totals = each.groupBy("_f", "_b").agg(F.sum("_c").alias("_t"))
+    totals = totals.withColumns({"_before": F.sum("_t").over(least) - F.col("_t"), "_n": F.sum("_t").over(Window.partitionBy("_f"))}).drop("_t")
+    inside = Window.partitionBy("_f", "_b").orderBy("_p")
+    d = each.join(totals, ["_f", "_b"]).withColumn("_hi", F.col("_before") + F.sum("_c").over(inside))  # rank of the last of equal values
+    n, hi, lo, pv = F.col("_n"), F.col("_hi"), F.col("_hi") - F.col("_c") + 1, F.col("_p")
+    if method == "bonferroni":
+        d = d.withColumn("_adj", n * pv)
+    else:
+        harmonic = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(1000.0)).cast("int")), F.lit(0.0), lambda t, i: t + 1 / i)
+        tail = F.when(n > 1000, F.log(n / 1000) + 1 / (2 * n) - 1 / 2000.0 - 1 / (12 * n * n) + 1 / 12e6).otherwise(0.0)  # Euler-Maclaurin
+        raw = {"holm": (n - lo + 1) * pv, "hochberg": (n - hi + 1) * pv, "BY": (harmonic + tail) * n / hi * pv}.get(method, n / hi * pv)
+        up = method == "holm"  # the largest so far from below, else the smallest so far from above
+        pick, run = (F.max, inside) if up else (F.min, Window.partitionBy("_f", "_b").orderBy(F.desc("_p")))
+        d = d.withColumn("_raw", raw)
+        ends = d.groupBy("_f", "_b").agg(pick("_raw").alias("_end"))
+        side = (least if up else Window.partitionBy("_f").orderBy("_b")).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.withColumn("_other", pick("_end").over(side)).drop("_end")
+        d = d.withColumn("_own", pick("_raw").over(run)).join(ends, ["_f", "_b"])
+        d = d.withColumn("_adj", (F.greatest if up else F.least)("_own", F.coalesce("_other", "_own")))
+    d = d.select(F.col("_f").alias("_family"), F.col("_p").alias("_value"), F.least(F.lit(1.0), F.col("_adj")).alias("_adjusted"))
+    x = df.withColumns({"_k": F.when(ok, value), "_fam": family})
+    got = x.join(d, (F.col("_k") == F.col("_value")) & F.col("_fam").eqNullSafe(F.col("_family")), "left")
+    return got.withColumn(out, F.col("_adjusted")).drop("_k", "_fam", "_family", "_value", "_adjusted")
 
 
 def _hommel(df: DataFrame, p: str, out: str, by: list[str]) -> DataFrame:
-    """Hommel's method is sequential over a family: one family a task, in numpy."""
+    """Hommel's method by closed testing: one family a task, in numpy.
+
+    A hypothesis falls at level a if every set of hypotheses that holds it
+    fails Simes' test at a.  Of the sets of m others and it, the hardest to
+    reject has the m largest p-values, or it and m - 1 of them; so the
+    adjusted value is the maximum over m of the smaller of Simes' p of the m
+    largest and m times the own p.
+    """
     import numpy as np
 
     schema = df.schema.add(out, "double")
 
     def run(pdf):
         v = pdf[p].to_numpy(float)
-        ok = ~np.isnan(v)
-        adj = np.full(len(v), np.nan)
-        x, n = v[ok], int(ok.sum())
-        if n:
-            order = np.argsort(x, kind="stable")
-            s = x[order]
-            i = np.arange(1, n + 1)
-            q = np.full(n, float((n * s / i).min()))
-            best = q.copy()
-            for m in range(n - 1, 1, -1):
-                head, tail = np.arange(n - m + 1), np.arange(n - m + 1, n)
-                limit = float((m * s[tail] / np.arange(2, m + 1)).min())
-                q[head] = np.minimum(m * s[head], limit)
-                q[tail] = q[n - m]
-                best = np.maximum(best, q)
-            res = np.empty(n)
-            res[order] = np.minimum(1.0, np.maximum(best, s))
-            adj[ok] = res
-        return pdf.assign(**{out: adj})
+        known = v[~np.isnan(v)]
+        largest_first = np.sort(known)[::-1]
+        adj = np.array(v)
+        for m in range(1, len(known) + 1):
+            top = largest_first[:m][::-1]
+            simes = (m * top / np.arange(1, m + 1)).min()
+            adj = np.maximum(adj, np.minimum(simes, m * v))
+        return pdf.assign(**{out: np.minimum(adj, 1.0)})
 
     keyed = df.withColumn("_family", F.struct(*by) if by else F.lit(1)).groupBy("_family")
     return keyed.applyInPandas(lambda pdf: run(pdf.drop(columns="_family")), schema)

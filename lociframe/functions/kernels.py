@@ -39,6 +39,15 @@ def binomial_pmf(k: float, n: float, p: np.ndarray) -> np.ndarray:
     return out
 
 
+def binomial_pmf_rows(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """:func:`binomial_pmf` of every row: k and n for each row of the matrix p."""
+    p = np.clip(p, 0.0, 1.0)
+    k, rest = np.asarray(k, float)[:, None], (np.asarray(n, float) - k)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore", under="ignore"):
+        log = (lgamma(np.asarray(n, float) + 1) - lgamma(k[:, 0] + 1) - lgamma(rest[:, 0] + 1))[:, None]
+        return np.exp(log + np.where(k != 0, k * np.log(p), 0.0) + np.where(rest != 0, rest * np.log1p(-p), 0.0))
+
+
 def poisson_pmf(k, rate):
     k, rate = np.asarray(k, float), np.asarray(rate, float)
     with np.errstate(divide="ignore", invalid="ignore", under="ignore"):
@@ -79,6 +88,24 @@ def highest_density(pmf: np.ndarray, grid: np.ndarray, alpha: float = 0.05, clon
     return float(chosen[0]), float(chosen[np.argmax(x[inside])]), float(chosen[-1]), float(share[:cut].sum()), float(share[cut:].sum())
 
 
+def highest_density_rows(pmf: np.ndarray, grid: np.ndarray, alpha: float = 0.05, clonal_from: int | None = None) -> np.ndarray:
+    """:func:`highest_density` of every row of a matrix of likelihoods, as rows of five numbers."""
+    x = pmf.copy()
+    bad = ~np.isfinite(x).all(axis=1)
+    x[bad] = 1.0
+    x[x.min(axis=1) == 0, -1] = 1.0
+    share = x / x.sum(axis=1, keepdims=True)
+    ordered = np.sort(share, axis=1)[:, ::-1]
+    last = np.minimum(len(grid) - 1, (np.cumsum(ordered, axis=1) < 1 - alpha).sum(axis=1))
+    inside = share >= ordered[np.arange(len(x)), last][:, None]
+    cut = clonal_from if clonal_from is not None else (len(grid) * 9) // 10
+    low, high = inside.argmax(axis=1), len(grid) - 1 - inside[:, ::-1].argmax(axis=1)
+    best = np.where(inside, x, -np.inf).argmax(axis=1)
+    out = np.stack([grid[low], grid[best], grid[high], share[:, :cut].sum(axis=1), share[:, cut:].sum(axis=1)], axis=1)
+    out[bad] = np.nan
+    return out
+
+
 def descending_or_ascending(a: int, b: int) -> range:
     """a, a+1, .. b, or a, a-1, .. b if b < a."""
     return range(a, b + 1) if b >= a else range(a, b - 1, -1)

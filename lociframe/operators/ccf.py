@@ -20,14 +20,15 @@ GRID = np.linspace(0.01, 1.0, 100)
 
 
 def _abs_ccf(alt: pd.Series, ref: pd.Series, total: pd.Series, purity: pd.Series, normal: pd.Series) -> pd.DataFrame:
-    rows = []
-    for a, r, t, p, n in zip(*(s.to_numpy(float) for s in (alt, ref, total, purity, normal)), strict=True):
-        if np.isnan([a, r, t, p, n]).any() or a + r <= 0:
-            rows.append((np.nan,) * 5)
-            continue
-        vaf = np.minimum(p * GRID / (n * (1 - p) + p * t), 1.0) if n * (1 - p) + p * t else np.full(100, np.nan)
-        rows.append(kernels.highest_density(kernels.binomial_pmf(a, a + r, vaf), GRID))
-    return pd.DataFrame(rows, columns=["lower", "est", "higher", "prob_subclonal", "prob_clonal"])
+    a, r, t, p, n = (s.to_numpy(float) for s in (alt, ref, total, purity, normal))
+    out = np.full((len(a), 5), np.nan)
+    base = n * (1 - p) + p * t
+    ok = np.flatnonzero(~np.isnan(a + r + t + p + n) & (a + r > 0) & (base != 0))
+    for at in range(0, len(ok), 4096):  # rows x 100 candidates at a time
+        k = ok[at : at + 4096]
+        vaf = np.minimum(p[k, None] * GRID[None, :] / base[k, None], 1.0)
+        out[k] = kernels.highest_density_rows(kernels.binomial_pmf_rows(a[k], (a + r)[k], vaf), GRID)
+    return pd.DataFrame(out, columns=["lower", "est", "higher", "prob_subclonal", "prob_clonal"])
 
 
 def abs_ccf(alt, ref, total_cn, purity, normal_cn) -> Column:

@@ -97,16 +97,23 @@ def identify_mut_cn(mut: DataFrame, cnv: DataFrame, on_patient=None, on_sample=N
     """Each mutation with the copy-number segment that holds it.
 
     Keys are names or (mutation name, segment name) pairs.  Mutations without
-    a segment are dropped, or kept with nulls if ``nomatch`` is "NA".  Several
-    segments for one mutation fail the query (``on_multi`` "error"), give
-    nulls ("null") or stay ("keep").  Null keys or bounds in ``cnv`` match
-    nothing.  ``mut_id`` names a unique column; else rows are numbered.
+    a segment are dropped, or kept with nulls if ``nomatch`` is "NA"
+    (:func:`unmatched` counts them).  Several segments for one mutation fail
+    the query (``on_multi`` "error"), give nulls ("null") or stay ("keep").
+    Null keys or bounds in ``cnv`` match nothing.  ``mut_id`` names a unique
+    column; else rows are numbered.
+
+    Only where segments of one key overlap can a mutation have several: that
+    is looked up once in ``cnv``, the small side, and without overlaps the
+    join is all there is.
     """
     check.choice(on_multi, ("error", "null", "keep"), "on_multi")
     keys = [k for k in (check.key_pair(on_patient), check.key_pair(on_sample), check.key_pair(on_chr)) if k]
     how = "inner" if nomatch is None and on_multi != "null" else "left"
-    if on_multi == "keep":
-        return point_join(mut, cnv, keys, mut_pos, start_field, end_field, how, bin_width)
+    group = [b for _, b in keys]
+    bounded = cnv.select(*dict.fromkeys([*group, start_field, end_field])).dropna()
+    if on_multi == "keep" or not overlaps_within(bounded, group, start_field, end_field).take(1):
+        return point_join(mut, cnv, keys, mut_pos, start_field, end_field, "inner" if nomatch is None else "left", bin_width)
     row = mut_id or "_row"
     m = mut if mut_id else mut.withColumn("_row", F.monotonically_increasing_id())
     out = point_join(m, cnv.withColumn("_seg", F.lit(1)), keys, mut_pos, start_field, end_field, how, bin_width)
@@ -121,3 +128,16 @@ def identify_mut_cn(mut: DataFrame, cnv: DataFrame, on_patient=None, on_sample=N
         if nomatch is None:
             out = out.where("_seg is not null")
     return out.drop("_seg", "_n", *([] if mut_id else ["_row"]))
+
+
+def unmatched(mut: DataFrame, cnv: DataFrame, on_patient=None, on_sample=None, on_chr="chr", mut_pos: str = "pos", start_field: str = "start", end_field: str = "end", bin_width: int | None = None) -> DataFrame:
+    """The mutations that no segment holds, with all their columns."""
+    keys = [k for k in (check.key_pair(on_patient), check.key_pair(on_sample), check.key_pair(on_chr)) if k]
+    p, r = mut.alias("p"), cnv.select(*dict.fromkeys([*[b for _, b in keys], start_field, end_field])).alias("r")
+    at = F.col(f"p.`{mut_pos}`")
+    cond = _on("p", "r", keys) & (F.col(f"r.`{start_field}`") <= at) & (F.col(f"r.`{end_field}`") >= at)
+    if bin_width:
+        p = mut.withColumn("_bin", F.floor(F.col(mut_pos) / bin_width).cast("long")).alias("p")
+        r = cnv.withColumn("_bin", F.explode(bins(F.col(start_field), F.col(end_field), bin_width))).alias("r")
+        cond = cond & (F.col("p._bin") == F.col("r._bin"))
+    return p.join(r, cond, "left_anti").select(*mut.columns)

@@ -32,18 +32,22 @@ def run_ccf(mut: DataFrame, cnv: DataFrame, ccf_type: tuple[str, ...] = ("phyloC
     d = identify_mut_cn(mut, seg, on_patient, on_sample, on_chr, mut_pos, start_field, end_field, nomatch, mut_id=mut_id)
     sample = check.key_pair(on_sample)[1] if on_sample else None
     patient = check.key_pair(on_patient)[1] if on_patient else None
+    of_cnv = lambda c: c in seg.columns
+    # checks read the table that holds the column, the segments if both do, and never the join
+    own = lambda c: [check.key_pair(k)[1 if of_cnv(c) else 0] for k in (on_patient, on_sample) if k]
     chrom = check.key_pair(on_chr)[1]
     check.columns(d, ["purity", "alt_counts", "ref_counts"], "mut or cnv")
     if validate:
-        check.empty(d.where((F.col("purity") < 0) | (F.col("purity") > 1)).select("purity"), "purity must be in [0, 1]")
-        check.determines(d.where("purity is not null"), [x for x in (patient, sample) if x], ["purity"])
+        holder = cnv if of_cnv("purity") else mut
+        check.empty(holder.where((F.col("purity") < 0) | (F.col("purity") > 1)).select("purity"), "purity must be in [0, 1]")
+        check.determines(holder.where("purity is not null"), own("purity"), ["purity"])
     if contigs:
         d = d.where(bare_chr(F.col(chrom)).isin(*[c.removeprefix("chr") for c in contigs]))
     if normal_cn is None:
         if not gender_field:
             raise ValueError("gender_field is needed to define normal_cn")
         if validate:
-            check.empty(d.where(F.coalesce(~F.col(gender_field).isin("male", "female"), F.lit(True))).select(gender_field), "gender must be male or female")
+            check.empty((cnv if of_cnv(gender_field) else mut).where(F.coalesce(~F.col(gender_field).isin("male", "female"), F.lit(True))).select(gender_field), "gender must be male or female")
         d = d.withColumn("normal_cn", normal_copies(gender_field, chrom))
     else:
         d = d.withColumn("normal_cn", F.col(normal_cn) if isinstance(normal_cn, str) else F.lit(normal_cn))
