@@ -303,23 +303,27 @@ def open_members(members: DataFrame, comp: DataFrame) -> DataFrame:
     return out
 
 
-def rest_pairs(members: DataFrame, within: int = 28, block: int = 256, possible: Column | None = None) -> DataFrame:
+def rest_pairs(members: DataFrame, within: int = 28, block: int = 1024, possible: Column | None = None) -> DataFrame:
     """All pairs (u, v) of members of crowded variants in different components.
 
-    Every member meets every other: a variant's members are dealt into blocks
-    of about ``block`` and each pair of blocks is one join key, so that no
+    Every member meets every other.  Variants of up to ``block`` members are
+    joined with themselves; the members of larger ones are dealt into blocks
+    of about that size and each pair of blocks is one join key, so that no
     task holds a whole variant.  ``possible`` is a further condition on the
     members a and b.
     """
     names = [c for c in members.columns if c != "n"]
-    of = members.select(*names, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & _listed(within)
+    near = near if possible is None else near & possible
+    found = lambda x: x.select(F.col("b.node").alias("u"), F.col("a.node").alias("v"))
+    small = members.where(F.col("n") <= block).select(names)
+    pairs = found(small.alias("a").join(small.alias("b"), near))
+    of = members.where(F.col("n") > block).select(*names, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     own, every = F.expr("cast(pmod(xxhash64(node), blocks) as int)"), F.expr("explode(sequence(0, blocks - 1))")
     a = of.select(*names, own.alias("i"), every.alias("j")).alias("a")
     b = of.select(*names, every.alias("i"), own.alias("j")).alias("b")
-    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
-    near = same & (F.col("a.component") != F.col("b.component")) & _listed(within)
-    pairs = a.join(b, near if possible is None else near & possible)
-    return pairs.select(F.col("b.node").alias("u"), F.col("a.node").alias("v")).distinct()
+    same = (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    return pairs.union(found(a.join(b, near & same))).distinct()
 
 
 def _may_be_similar(similarity: float) -> Column:
@@ -378,8 +382,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
     if members is not None:
         left = open_members(members, comp)
         sketch = sig.join(left.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("node"), "size", *(f"w{k}" for k in range(_SKETCH)))
-        rest = durable(rest_pairs(left.join(sketch, "node"), within, possible=_may_be_similar(similarity)), "rest-pairs")
-        drop_durable(left, members)
+        known = durable(left.join(sketch, "node"), "crowded-sketched")
+        rest = durable(rest_pairs(known, within, possible=_may_be_similar(similarity)), "rest-pairs")
+        drop_durable(left, members, known)
         if rest.take(1):
             more = similar(rest)
             drop_durable(comp)
