@@ -49,3 +49,24 @@ def determines(df: DataFrame, child: Sequence[str], parent: Sequence[str], arg:
     key = [F.col(c) for c in child] or [F.lit(1)]
     n = df.groupBy(*key).agg(F.count_distinct(F.struct(*parent)).alias("n")).where("n > 1")
     empty(n, f"{arg}: {list(child)} must determine {list(parent)}")
+
+
+def integer_indices(use, names: Sequence[str], arg: str = "use", bool_ok: bool = True) -> list[int]:
+    """1-based places in ``names`` chosen by True (all), False (none), names or numbers (one or several)."""
+    if isinstance(use, bool):
+        if not bool_ok:
+            raise ValueError(f"{arg} must be names or numbers")
+        return list(range(1, len(names) + 1)) if use else []
+    items = [use] if isinstance(use, str | int | float) else list(use)
+    if any(x is None or x != x for x in items):
+        raise ValueError(f"{arg} cannot contain missing values")
+    if items and all(isinstance(x, str) for x in items):
+        place = {n: i for i, n in reversed(list(enumerate(names, 1)))}
+        if unknown := [x for x in items if x not in place]:
+            raise ValueError(f"{arg} contains invalid values {unknown}")
+        return [place[x] for x in items]
+    if any(isinstance(x, bool | str) or not isinstance(x, int | float) for x in items):
+        raise ValueError(f"{arg} must be {'one bool, ' if bool_ok else ''}names or numbers")
+    if any(not 1 <= x <= len(names) for x in items):
+        raise ValueError(f"{arg} contains out-of-bounds places")
+    return [int(x) for x in items]

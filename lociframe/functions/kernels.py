@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 
+TIE = 1e-9  # likelihoods that differ by less are equal but for rounding
 ONE_BELOW = 1 - 2.0**-53  # the largest double that still counts as a proper fraction
 
 _erfc = np.frompyfunc(math.erfc, 1, 1)
@@ -82,10 +83,10 @@ def highest_density(pmf: np.ndarray, grid: np.ndarray, alpha: float = 0.05, clon
         x[-1] = 1.0
     share = x / x.sum()
     ordered = np.sort(share)[::-1]
-    inside = share >= ordered[min(len(ordered) - 1, int((np.cumsum(ordered) < 1 - alpha).sum()))]
+    inside = share >= ordered[min(len(ordered) - 1, int((np.cumsum(ordered) < 1 - alpha).sum()))] * (1 - TIE)
     cut = clonal_from if clonal_from is not None else (len(grid) * 9) // 10
     chosen = grid[inside]
-    return float(chosen[0]), float(chosen[np.argmax(x[inside])]), float(chosen[-1]), float(share[:cut].sum()), float(share[cut:].sum())
+    return float(chosen[0]), float(chosen[np.argmax(x[inside] >= x[inside].max() * (1 - TIE))]), float(chosen[-1]), float(share[:cut].sum()), float(share[cut:].sum())
 
 
 def highest_density_rows(pmf: np.ndarray, grid: np.ndarray, alpha: float = 0.05, clonal_from: int | None = None) -> np.ndarray:
@@ -97,10 +98,10 @@ def highest_density_rows(pmf: np.ndarray, grid: np.ndarray, alpha: float = 0.05,
     share = x / x.sum(axis=1, keepdims=True)
     ordered = np.sort(share, axis=1)[:, ::-1]
     last = np.minimum(len(grid) - 1, (np.cumsum(ordered, axis=1) < 1 - alpha).sum(axis=1))
-    inside = share >= ordered[np.arange(len(x)), last][:, None]
+    inside = share >= ordered[np.arange(len(x)), last][:, None] * (1 - TIE)
     cut = clonal_from if clonal_from is not None else (len(grid) * 9) // 10
     low, high = inside.argmax(axis=1), len(grid) - 1 - inside[:, ::-1].argmax(axis=1)
-    best = np.where(inside, x, -np.inf).argmax(axis=1)
+    best = (x >= np.where(inside, x, -np.inf).max(axis=1)[:, None] * (1 - TIE)).argmax(axis=1)
     out = np.stack([grid[low], grid[best], grid[high], share[:, :cut].sum(axis=1), share[:, cut:].sum(axis=1)], axis=1)
     out[bad] = np.nan
     return out

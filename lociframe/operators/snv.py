@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,11 +47,23 @@ def substitution_contexts(extension: int = 1, standard: bool = True) -> list[str
 
 
 def chunk_genome(seq: DataFrame, width: int = 10_000, margin: int = 25) -> DataFrame:
-    """(chr, chunk, chunk_start, seq, length) from (chr, seq): chunks of ``width`` bases with ``margin`` more at either end."""
-    d = seq.select("chr", "seq", F.length("seq").alias("length")).where("length > 0")
-    d = d.withColumn("chunk", F.explode(F.sequence(F.lit(0), ((F.col("length") - 1) / width).cast("int"))))
-    first = F.greatest(F.lit(1), F.col("chunk") * width + 1 - margin)
-    return d.select("chr", F.col("chunk").cast("long").alias("chunk"), first.alias("chunk_start"), F.substring("seq", first, (F.col("chunk") + 1) * width + margin - first + 1).alias("seq"), "length")
+    """(chr, chunk, chunk_start, seq, length) from (chr, seq): chunks of ``width`` bases with ``margin`` more at either end.
+
+    A sequence is cut in one pass; the chunks, not the sequence, travel on.
+    """
+
+    def run(batches):
+        for b in batches:
+            for chrom, text in zip(b.column("chr").to_pylist(), b.column("seq").to_pylist(), strict=True):
+                n = len(text)
+                firsts = [max(0, at - margin) for at in range(0, n, width)]
+                for at in range(0, len(firsts), 1000):
+                    part = range(at, min(at + 1000, len(firsts)))
+                    cut = [text[firsts[k] : (k + 1) * width + margin] for k in part]
+                    yield pa.RecordBatch.from_arrays([pa.array([chrom] * len(cut), pa.string()), pa.array(part, pa.int64()), pa.array([firsts[k] + 1 for k in part], pa.int64()), pa.array(cut, pa.string()), pa.array([n] * len(cut), pa.int64())], names)
+
+    names = ["chr", "chunk", "chunk_start", "seq", "length"]
+    return seq.select(F.col("chr").cast("string").alias("chr"), "seq").where(F.length("seq") > 0).mapInArrow(run, "chr string, chunk long, chunk_start long, seq string, length long")
 
 
 def with_context(mut: DataFrame, genome: DataFrame, extension: int = 1, background: int | None = None, width: int = 10_000, chr_field: str = "chr", pos_field: str = "pos", ref_field: str = "ref", alt_field: str = "alt") -> DataFrame:
@@ -93,17 +107,50 @@ def snv_signature(mut: DataFrame, genome: DataFrame, sample_field: str | None =
     return out
 
 
+def prepare_snv_signature(mut: DataFrame, genome: DataFrame, sample_field: str | None = None, extension: int = 1, method: str | None = None, contigs: list[str] | None = None, exome: DataFrame | None = None, **fields) -> DataFrame:
+    """:func:`snv_signature` with the size factors of ``method`` (genome, exome, exome2genome, genome2exome; None: counts only), computed here."""
+    if method is None:
+        return snv_signature(mut, genome, sample_field, extension, **fields)
+    middle = contexts(["T", "C"], extension)
+    return snv_signature(mut, genome, sample_field, extension, context_sizefactor(middle, genome, exome, method, contigs), **fields)
+
+
+def _chunk_kmers(k: int, width: int):
+    """Arrow kernel: (context, n) of the k-mers that start in each chunk's own part, added up by batch."""
+
+    def run(batches):
+        code = np.full(256, -1, np.int64)
+        code[list(BASES.encode())] = range(4)
+        for b in batches:
+            total: dict[int, int] = {}
+            for chunk, start, seq, length in zip(*(b.column(c).to_pylist() for c in ("chunk", "chunk_start", "seq", "length")), strict=True):
+                at = chunk * width + 1 - start
+                x = code[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)[at : at + min(width, length - chunk * width - k + 1) + k - 1]] if length - chunk * width >= k else np.zeros(0, np.int64)
+                if len(x) < k:
+                    continue
+                word = sum(x[i : len(x) - k + 1 + i] << 2 * (k - 1 - i) for i in range(k))
+                ok = np.logical_and.reduce([x[i : len(x) - k + 1 + i] >= 0 for i in range(k)])
+                for w, c in zip(*(y.tolist() for y in np.unique(word[ok], return_counts=True)), strict=True):
+                    total[w] = total.get(w, 0) + c
+            names = ["".join(BASES[w >> 2 * (k - 1 - i) & 3] for i in range(k)) for w in total]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(total.values()), pa.int64())], ["context", "n"])
+
+    return run
+
+
 def kmer_counts(genome: DataFrame, k: int, width: int = 10_000, strands: tuple[str, ...] = ("+", "-"), regions: DataFrame | None = None) -> DataFrame:
     """(context, n): k-mers that start in each chunk's own part, over the strands; ``regions`` (chr, start, end) counts only k-mers inside (merged) regions."""
-    own_from, own_to = F.col("chunk") * width + 1, F.least((F.col("chunk") + 1) * width, F.col("length") - k + 1)
-    d = genome.where(own_to >= own_from).withColumn("pos", F.explode(F.sequence(own_from, own_to)))
-    d = d.select("chr", "pos", F.substring(F.col("seq"), (F.col("pos") - F.col("chunk_start") + 1).cast("int"), F.lit(k)).alias("context"))
-    if regions is not None:
+    if regions is None:
+        n = genome.select("chunk", "chunk_start", "seq", "length").mapInArrow(_chunk_kmers(k, width), "context string, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    else:
         from .intervals import point_join, reduce_ranges
 
+        own_from, own_to = F.col("chunk") * width + 1, F.least((F.col("chunk") + 1) * width, F.col("length") - k + 1)
+        d = genome.where(own_to >= own_from).withColumn("pos", F.explode(F.sequence(own_from, own_to)))
+        d = d.select("chr", "pos", F.substring(F.col("seq"), (F.col("pos") - F.col("chunk_start") + 1).cast("int"), F.lit(k)).alias("context"))
         r = reduce_ranges(regions.select(F.col("chr").alias("r_chr"), F.col("start").alias("r_start"), F.col("end").alias("r_end")), ["r_chr"], "r_start", "r_end")
         d = point_join(d, r, [("chr", "r_chr")], "pos", "r_start", "r_end", "inner", bin_width=width).where(F.col("pos") + k - 1 <= F.col("r_end"))
-    n = d.where(F.col("context").rlike(f"^[ACGT]{{{k}}}$")).groupBy("context").agg(F.count(F.lit(1)).alias("n"))
+        n = d.where(F.col("context").rlike(f"^[ACGT]{{{k}}}$")).groupBy("context").agg(F.count(F.lit(1)).alias("n"))
     parts = [n if s == "+" else n.select(reverse_complement(F.col("context")).alias("context"), "n") for s in strands]
     out = parts[0]
     for p in parts[1:]:

@@ -33,6 +33,7 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(F.col(n), digits) for n in names})
 
 
+LOGC = lambda n, k: f"(LGAMMA({n} + 1E0) - LGAMMA({k} + 1E0) - LGAMMA({n} - ({k}) + 1E0))"
 MUT, SEG, BAND = f"mut AS ({A.MUTATIONS})", f"seg AS ({A.SEGMENTS})", f"band AS ({A.CYTOBANDS})"
 JOINED = "jm AS (SELECT mut.*, seg.startpos, seg.endpos, seg.nMajor, seg.nMinor, seg.nAraw, seg.nBraw, seg.purity FROM mut JOIN seg ON mut.sample = seg.sample AND mut.chr = seg.chr AND seg.startpos <= mut.pos AND seg.endpos >= mut.pos)"
 ON = dict(on_sample="sample", start_field="startpos", end_field="endpos", mut_id="mut_id")
@@ -126,13 +127,25 @@ def bootstrap_ccf_analytic(s, d):
 
 @query()
 def bootstrap_ccf(s, d):
-    return ccf.bootstrap_ccf(_joined(s, d), times=200, key=["mut_id"]).select("mut_id", "CCF", "CCF_btstr_lower", "CCF_btstr_higher")
+    return ccf.bootstrap_ccf(_joined(s, d), key=["mut_id"]).select("mut_id", "CCF", "CCF_btstr_lower", "CCF_btstr_higher")
 
 
-@query()
+ABS = """vf AS (SELECT mut_id, alt_counts AS a, ref_counts AS r, g, LEAST(purity * (g / 100E0) / (2 * (1 - purity) + purity * (nAraw + nBraw)), 1E0) AS f FROM jm, UNNEST(RANGE(1, 101)) AS u(g) WHERE alt_counts + ref_counts > 0),
+ lk AS (SELECT mut_id, g, CASE WHEN f >= 1 AND r > 0 THEN 0E0 ELSE EXP(LGAMMA(a + r + 1E0) - LGAMMA(a + 1E0) - LGAMMA(r + 1E0) + CASE WHEN a > 0 THEN a * LN(f) ELSE 0 END + CASE WHEN r > 0 THEN r * LN(1 - f) ELSE 0 END) END AS x FROM vf),
+ lx AS (SELECT mut_id, g, CASE WHEN g = 100 AND MIN(x) OVER (PARTITION BY mut_id) = 0 THEN 1E0 ELSE x END AS x FROM lk),
+ sh AS (SELECT *, x / SUM(x) OVER (PARTITION BY mut_id) AS s, MAX(x) OVER (PARTITION BY mut_id) * (1 - 1E-9) AS top FROM lx),
+ cu AS (SELECT *, SUM(s) OVER w AS c, ROW_NUMBER() OVER w AS k FROM sh WINDOW w AS (PARTITION BY mut_id ORDER BY s DESC, g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ th AS (SELECT mut_id, LEAST(99, SUM(CASE WHEN c < 0.95E0 THEN 1 ELSE 0 END)) + 1 AS k FROM cu GROUP BY mut_id),
+ cut AS (SELECT cu.mut_id, cu.s * (1 - 1E-9) AS least FROM cu JOIN th ON cu.mut_id = th.mut_id AND cu.k = th.k)"""
+
+
+@query(
+    f"""WITH {MUT}, {SEG}, {JOINED}, {ABS} SELECT cu.mut_id, ROUND(MIN(CASE WHEN s >= least THEN g END) / 100E0, 6) AS lower, ROUND(MIN(CASE WHEN x >= top THEN g END) / 100E0, 6) AS est, ROUND(MAX(CASE WHEN s >= least THEN g END) / 100E0, 6) AS higher,
+ ROUND(SUM(CASE WHEN g <= 90 THEN s ELSE 0 END), 6) AS prob_subclonal, ROUND(SUM(CASE WHEN g > 90 THEN s ELSE 0 END), 6) AS prob_clonal FROM cu JOIN cut ON cu.mut_id = cut.mut_id GROUP BY cu.mut_id"""
+)
 def abs_ccf(s, d):
     j = _joined(s, d).withColumn("a", ccf.abs_ccf("alt_counts", "ref_counts", F.col("nAraw") + F.col("nBraw"), "purity", "normal_cn"))
-    return j.select("mut_id", "a.*")
+    return rounded(j.select("mut_id", "a.*"), "lower", "est", "higher", "prob_subclonal", "prob_clonal")
 
 
 @query()
@@ -206,7 +219,7 @@ def wgd_arm_ploidy(s, d):
 
 @query()
 def wgd_test(s, d):
-    return arm.wgd_test(*seg_band(s, d), "sample", perm_times=2000, major_cn_field="nMajor", minor_cn_field="nMinor")
+    return arm.wgd_test(*seg_band(s, d), "sample", major_cn_field="nMajor", minor_cn_field="nMinor")
 
 
 @query(f"WITH {BAND}, o AS (SELECT *, MAX(\"end\") OVER (PARTITION BY chr ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM band WHERE \"gieStain\" <> 'gneg'), p AS (SELECT *, SUM(CASE WHEN r IS NULL OR start > r + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY start, \"end\") AS k FROM o) SELECT chr, MIN(start) AS start_pos, MAX(\"end\") AS end_pos FROM p GROUP BY chr, k")
@@ -254,8 +267,11 @@ CNT = lambda m: f"(LENGTH(c41) - LENGTH(REPLACE(c41, '{m}', '')))"
 CNT3 = lambda m: f"LEN(LIST_FILTER(RANGE(1, 40), lambda i: SUBSTRING(c41, CAST(i AS BIGINT), 3) = '{m}'))"
 
 
+MOTIF = f"""bg AS (SELECT sample, c3 IN ('TCA', 'TCT', 'TGA', 'AGA') AS sig, {CNT('C')} + {CNT('G')} AS bn, {CNT3('TCA')} + {CNT3('TCT')} + {CNT3('TGA')} + {CNT3('AGA')} AS sn FROM st WHERE wide AND sub IN ('C>T', 'C>G'))"""
+
+
 @query(
-    f"""WITH {CTX}, bg AS (SELECT sample, c3 IN ('TCA', 'TCT', 'TGA', 'AGA') AS sig, {CNT('C')} + {CNT('G')} AS bn, {CNT3('TCA')} + {CNT3('TCT')} + {CNT3('TGA')} + {CNT3('AGA')} AS sn FROM st WHERE wide AND sub IN ('C>T', 'C>G'))
+    f"""WITH {CTX}, {MOTIF}
  SELECT sample, CAST(SUM(CASE WHEN sig THEN 1 ELSE 0 END) AS BIGINT) AS signature_mut_freq, COUNT(*) AS background_mut_freq, CAST(SUM(sn) AS BIGINT) AS signature_context, CAST(SUM(bn) AS BIGINT) AS background_context,
  ROUND(CAST(SUM(CASE WHEN sig THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) / (CAST(SUM(sn) AS DOUBLE) / SUM(bn)), 6) AS enrichment FROM bg GROUP BY sample"""
 )
@@ -264,6 +280,17 @@ def motif_enrichment(s, d):
     return rounded(x, "enrichment").select("sample", "signature_mut_freq", "background_mut_freq", "signature_context", "background_context", "enrichment")
 
 
+@query(
+    f"""WITH {CTX}, {MOTIF}, ct AS (SELECT sample, CAST(SUM(CASE WHEN sig THEN 1 ELSE 0 END) AS BIGINT) AS a, CAST(SUM(sn) AS BIGINT) AS b, CAST(COUNT(*) - SUM(CASE WHEN sig THEN 1 ELSE 0 END) AS BIGINT) AS c, CAST(SUM(bn) - SUM(sn) AS BIGINT) AS e FROM bg GROUP BY sample),
+ xs AS (SELECT *, UNNEST(RANGE(a, LEAST(a + b, a + c) + 1)) AS x FROM ct),
+ ls AS (SELECT sample, {LOGC("a + b", "x")} + {LOGC("c + e", "a + c - x")} - {LOGC("a + b + c + e", "a + c")} AS l FROM xs WHERE a + c - x <= c + e),
+ mx AS (SELECT sample, MAX(l) AS m FROM ls GROUP BY sample)
+ SELECT ls.sample, ROUND(EXP(LEAST(0E0, ANY_VALUE(m) + LN(SUM(EXP(l - m))))), 6) AS fisher_pvalue FROM ls JOIN mx ON ls.sample = mx.sample GROUP BY ls.sample"""
+)
+def motif_fisher_pvalue(s, d):
+    return rounded(snv.motif_fisher(A.load(s, d, A.SNVS), genome(s, d)).select("sample", "fisher_pvalue"), "fisher_pvalue")
+
+
 @query()
 def motif_fisher(s, d):
     return snv.motif_fisher(A.load(s, d, A.SNVS), genome(s, d))
@@ -273,7 +300,6 @@ def motif_fisher(s, d):
 
 RANKS = f"li AS ({A.LISTS}), rk AS (SELECT item, v1, v2, ROW_NUMBER() OVER (ORDER BY v1 DESC, item) AS r1, ROW_NUMBER() OVER (ORDER BY v2 DESC, item) AS r2 FROM li), nn AS (SELECT COUNT(*) AS n, CAST(FLOOR(COUNT(*) / 20) AS BIGINT) AS step FROM li)"
 CELLS = "ce AS (SELECT a.k * step AS i, b.k * step AS j, n, (SELECT COUNT(*) FROM rk WHERE r1 <= a.k * step AND r2 <= b.k * step) AS overlap FROM nn, UNNEST(RANGE(1, 21)) AS a(k), UNNEST(RANGE(1, 21)) AS b(k))"
-LOGC = lambda n, k: f"(LGAMMA({n} + 1E0) - LGAMMA({k} + 1E0) - LGAMMA({n} - ({k}) + 1E0))"
 TAIL = f"""ta AS (SELECT i, j, n, overlap, overlap > CAST(j AS DOUBLE) / n * i AS over_, UNNEST(CASE WHEN overlap > CAST(j AS DOUBLE) / n * i THEN RANGE(overlap, LEAST(i, j) + 1) ELSE RANGE(GREATEST(0, i + j - n), overlap + 1) END) AS x FROM ce),
  tl AS (SELECT i, j, overlap, over_, {LOGC("j", "x")} + {LOGC("n - j", "i - x")} - {LOGC("n", "i")} AS l FROM ta WHERE x <= j AND i - x <= n - j),
  tm AS (SELECT i, j, MAX(l) AS m FROM tl GROUP BY i, j),
@@ -313,7 +339,13 @@ def rrho_sig_spot(s, d):
     return rrho.sig_spot(overlap(s, d)).selectExpr("round(metric, 4) as metric", "dir1", "dir2")
 
 
-@query()
+@query(
+    f"""WITH {RANKS}, {CELLS}, {TAIL}, ms AS (SELECT tp.i, tp.j, overlap, CASE WHEN over_ THEN 1 ELSE -1 END * ABS(lp) / LN(10E0) AS metric, CASE WHEN a.v1 <= 0 THEN 'down' ELSE 'up' END AS d1, CASE WHEN b.v2 <= 0 THEN 'down' ELSE 'up' END AS d2 FROM tp JOIN rk a ON a.r1 = tp.i JOIN rk b ON b.r2 = tp.j),
+ qs AS (SELECT *, CONCAT(d1, '-', d2) AS quadrant, CASE WHEN d1 = d2 THEN metric ELSE -metric END AS s FROM ms),
+ bc AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY quadrant ORDER BY s DESC, overlap DESC, j, i) AS k FROM qs WHERE s > 0) t WHERE k = 1),
+ it AS (SELECT quadrant, item, CASE WHEN d1 = 'up' THEN r1 <= i ELSE r1 >= i END AS in_list1, CASE WHEN d2 = 'up' THEN r2 <= j ELSE r2 >= j END AS in_list2 FROM rk CROSS JOIN bc)
+ SELECT quadrant, item, in_list1, in_list2, in_list1 AND in_list2 AS common FROM it WHERE in_list1 OR in_list2"""
+)
 def rrho_sig_items(s, d):
     return rrho.sig_items(overlap(s, d))
 
@@ -333,7 +365,13 @@ def rrho_heatmap(s, d):
 
 @query()
 def rrho_permutation(s, d):
-    return rrho.permutation_pvalue(overlap(s, d), perm=20)["permuted"]
+    return rrho.permutation_pvalue(overlap(s, d))["permuted"]
+
+
+@query()
+def rrho_permutation_pvalue(s, d):
+    r = rrho.permutation_pvalue(overlap(s, d))
+    return s.createDataFrame([(r["statistic"], r["pvalue"])], "statistic double, pvalue double")
 
 
 EX = f"ex AS ({A.EXPRESSION}), gs AS ({A.GENE_SETS})"
@@ -443,7 +481,7 @@ class _Shares:
 
 @query()
 def hdp_chains(s, d):
-    return decomposition.run_hdp(A.load(s, d, A.HDP_COUNTS), _Shares(), n_posterior=3)
+    return decomposition.run_hdp(A.load(s, d, A.HDP_COUNTS), _Shares())
 
 
 @query()
@@ -456,10 +494,19 @@ def gene_bins(s, d):
     return rounded(decomposition.mean_bins(A.load(s, d, A.EXPRESSION), 4), "mean")
 
 
-@query()
+CUTS25 = ", ".join(f"{i}E0 / 25" for i in range(1, 25))
+
+
+@query(
+    f"""WITH {EX}, me AS (SELECT gene, AVG(value) AS mean FROM ex GROUP BY gene), q AS (SELECT QUANTILE_CONT(mean, [{CUTS25}]) AS br FROM me),
+ bi AS (SELECT gene, 1 + LEN(LIST_FILTER(br, lambda b: mean > b)) AS bin FROM me CROSS JOIN q),
+ nd AS (SELECT bin, COUNT(*) AS k FROM bi WHERE gene IN (SELECT item FROM gs WHERE set = 'Brand#11') GROUP BY bin),
+ dr AS (SELECT draw, gene, k, ROW_NUMBER() OVER (PARTITION BY draw, bi.bin ORDER BY MD5(CONCAT_WS('|', CAST(draw AS STRING), gene, '1')), gene) AS i FROM bi JOIN nd ON bi.bin = nd.bin, UNNEST(RANGE(0, 1000)) AS u(draw))
+ SELECT CAST(draw AS INT) AS draw, gene FROM dr WHERE i <= k"""
+)
 def sample_sim(s, d):
     f = A.load(s, d, A.GENE_SETS).where("set = 'Brand#11'").selectExpr("item as gene")
-    return decomposition.sample_sim(A.load(s, d, A.EXPRESSION), f, size=20, nbin=4)
+    return decomposition.sample_sim(A.load(s, d, A.EXPRESSION), f)
 
 
 @query()
@@ -528,12 +575,25 @@ def absolute_seg_normalize(s, d):
     return x.selectExpr("Sample as sample_name", "Chromosome as chromosome", "Start as start_pos", "Segment_Mean as segment_mean")
 
 
+@query(f"WITH mu AS ({A.SNVS}) SELECT sample AS sample_name, chr AS chromosome, pos AS start_pos, alt AS gene FROM mu WHERE chr IN ({', '.join(repr(str(i)) for i in range(1, 24))})")
+def absolute_maf_normalize(s, d):
+    m = A.load(s, d, A.SNVS)
+    chrom = F.when(F.col("chr") == "23", "chrX").otherwise(F.concat(F.lit("Chr"), "chr"))
+    x = absolute_io.normalize_mutations(m.select(F.col("sample").alias("Tumor_Sample_Barcode"), chrom.alias("Chromosome"), F.col("alt").alias("Hugo_Symbol"), F.lit("").alias("dbSNP_Val_Status"), F.col("pos").alias("Start_Position"), F.lit(1).alias("i_t_ref_count"), F.lit(2).alias("t_alt_count")))
+    return x.selectExpr("Tumor_Sample_Barcode as sample_name", "Chromosome as chromosome", "Start_position as start_pos", "Hugo_Symbol as gene")
+
+
+@query(f"WITH {MUT}, {SEG}, {JOINED} SELECT mut_id, sample, chr FROM mut WHERE mut_id NOT IN (SELECT mut_id FROM jm)")
+def unmatched_mutations(s, d):
+    return intervals.unmatched(*mut_seg(s, d), on_sample="sample", start_field="startpos", end_field="endpos").select("mut_id", "sample", "chr")
+
+
 P = "pp AS (SELECT s_suppkey AS k, (s_suppkey * 37 % 101 + 1) / 102E0 / 8 AS p FROM supplier), pr AS (SELECT *, ROW_NUMBER() OVER (ORDER BY p, k) AS i, COUNT(*) OVER () AS n FROM pp)"
 
 
 @query(f"WITH {P} SELECT k, ROUND(LEAST(1, MIN(p * n / i) OVER (ORDER BY p DESC)), 6) AS bh, ROUND(LEAST(1, MAX((n - i + 1) * p) OVER (ORDER BY p)), 6) AS holm, ROUND(LEAST(1, MIN((n - i + 1) * p) OVER (ORDER BY p DESC)), 6) AS hochberg, ROUND(LEAST(1, n * p), 6) AS bonferroni FROM pr")
 def p_adjusted(s, d):
-    x = A.load(s, d, "SELECT s_suppkey AS k, (s_suppkey * 37 % 101 + 1) / 102E0 / 8 AS p FROM {supplier}") if "supplier" in A.TABLES else None
+    x = A.load(s, d, "SELECT s_suppkey AS k, (s_suppkey * 37 % 101 + 1) / 102E0 / 8 AS p FROM {supplier}")
     for m in ("BH", "holm", "hochberg", "bonferroni"):
         x = p_adjust(x, "p", m, m.lower())
     return rounded(x.select("k", "bh", "holm", "hochberg", "bonferroni"), "bh", "holm", "hochberg", "bonferroni")

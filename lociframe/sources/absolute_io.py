@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import _validate as check
+
 SEG = ["Sample", "Chromosome", "Start", "End", "Num_Probes", "Segment_Mean"]
 # fixed values: accepted names of each mutation column
 MAF = {
@@ -52,6 +54,13 @@ def normalize_mutations(maf: DataFrame) -> DataFrame:
     return _chromosomes(maf.select(cols))
 
 
+def disease_map(table: DataFrame, disease: str = "disease", code: str = "code") -> DataFrame:
+    """(disease, code) of the purity caller's disease map from a table of the caller's; each disease must have one code.  None is shipped."""
+    out = table.select(F.trim(F.col(disease).cast("string")).alias("disease"), F.col(code).cast("string").alias("code")).where("disease is not null and code is not null").distinct()
+    check.determines(out, ["disease"], ["code"], "table")
+    return out
+
+
 def write_by_sample(df: DataFrame, path: str, sample: str) -> None:
     """Tab-separated files, one folder for each sample."""
     df.withColumn("_sample", F.col(sample)).repartition("_sample").write.partitionBy("_sample").option("sep", "\t").option("header", True).mode("overwrite").csv(path)
@@ -70,9 +79,10 @@ def run_absolute(seg: DataFrame, maf: DataFrame | None, results_dir: str, caller
     if caller:
         with_maf = {r[0] for r in m.select("Tumor_Sample_Barcode").distinct().collect()} if m is not None else set()
         for (name,) in s.select("Sample").distinct().collect():  # an external program for each sample
-            at = f"{results_dir}/seg/_sample={name}"
+            folder = "_sample=" + seg.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)  # as the writer names it
+            at = f"{results_dir}/seg/{folder}"
             try:
-                caller(name, at, f"{results_dir}/maf/_sample={name}" if name in with_maf else None)
+                caller(name, at, f"{results_dir}/maf/{folder}" if name in with_maf else None)
             except Exception:
                 if name not in with_maf:
                     raise

@@ -51,7 +51,7 @@ def parse_netmhcpan(spark: SparkSession, path: str, ids: list[str] | None = None
     first = {r._at for r in numbered.limit(2).collect()}
     body = numbered.where(~F.col("_at").isin(*first)).select("_at", F.split("value", "\t").alias("_v"))
     d = body.select("_at", *[F.col("_v")[i].alias(c) for i, c in enumerate(cols)])
-    d = sequence_runs(d, "_at", f"`{names[1]}`" if False else names[1], names[2])
+    d = sequence_runs(d, "_at", names[1], names[2])
     if ids:
         d = d.withColumn("identifiers", F.element_at(F.create_map(*chain.from_iterable((F.lit(i + 1), F.lit(x)) for i, x in enumerate(ids))), F.col("identifiers")))
     return long_predictions(d, hla, measures, [*names[:3], "identifiers"], rth, rlt)

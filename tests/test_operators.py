@@ -345,3 +345,103 @@ def test_imports_without_optional_parts():
     import __spark_entry__ as e
 
     assert len(e.queries()) >= 50 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_integer_indices():
+    from lociframe._validate import integer_indices
+
+    names = ["a", "b", "b"]
+    assert integer_indices(True, names) == [1, 2, 3] and integer_indices(False, names) == []
+    assert integer_indices(["b", "a"], names) == [2, 1] and integer_indices([3, 1], names) == [3, 1] and integer_indices("a", names) == [1]
+    for bad in (["c"], [0], [4], [None], [True, False], [["a"]], ["a", 1]):
+        with pytest.raises(ValueError):
+            integer_indices(bad, names)
+    with pytest.raises(ValueError):
+        integer_indices(True, names, bool_ok=False)
+
+
+def test_disease_map(spark):
+    from lociframe.sources.absolute_io import disease_map
+
+    t = spark.createDataFrame([("x ", "A"), ("x", "A"), ("y", "B"), (None, "C")], "disease string, code string")
+    assert sorted(map(tuple, disease_map(t).collect())) == [("x", "A"), ("y", "B")]
+    with pytest.raises(ValueError):
+        disease_map(t.union(spark.createDataFrame([("y", "C")], "disease string, code string")))
+
+
+def test_unmatched_and_overlapping_segments(spark):
+    from lociframe.operators import intervals
+
+    mut = spark.createDataFrame([(1, "s", "1", 5), (2, "s", "1", 50), (3, "s", "2", 5), (4, None, "1", 5)], "mut_id int, sample string, chr string, pos int")
+    seg = spark.createDataFrame([("s", "1", 1, 10), ("s", "1", 11, 20), ("s", "2", 1, None)], "sample string, chr string, start int, end int")
+    for width in (None, 7):
+        assert sorted(r.mut_id for r in intervals.unmatched(mut, seg, on_sample="sample", bin_width=width).collect()) == [2, 3, 4]
+    assert [r.mut_id for r in intervals.identify_mut_cn(mut, seg, on_sample="sample").collect()] == [1]
+    over = seg.union(spark.createDataFrame([("s", "1", 4, 6)], seg.schema))
+    with pytest.raises(Exception, match="several segments"):
+        intervals.identify_mut_cn(mut, over, on_sample="sample").collect()
+
+
+@pytest.mark.parametrize("method", ["BH", "BY", "holm", "hochberg", "bonferroni", "hommel"])
+def test_p_adjust_against_definitions(spark, method):
+    import random
+
+    from lociframe.functions.columns import p_adjust
+
+    rng = random.Random(3)
+    rows = [(k, "ab"[k % 2], rng.choice([0.0, 1.0, 1e-12, 0.02, 0.02, None, float("nan"), rng.random(), rng.random() ** 6])) for k in range(160)]
+    got = {r.k: r.p_adj for r in p_adjust(spark.createDataFrame(rows, "k int, f string, p double").repartition(5), "p", method, by=["f"]).collect()}
+    assert len(got) == len(rows)
+    for f in "ab":
+        own = sorted((p, k) for k, g, p in rows if g == f and p is not None and p == p)
+        n, p = len(own), [x for x, _ in own]
+        harmonic = sum(1 / i for i in range(1, n + 1))
+        for i, (x, k) in enumerate(own, 1):
+            if method == "hommel":  # closed testing: every set's Simes p, by its hardest member of each size
+                want = max(min(min(m * y / j for j, y in enumerate(p[n - m :], 1)), m * x) for m in range(1, n + 1))
+            else:
+                want = {
+                    "BH": lambda: min(n / j * p[j - 1] for j in range(i, n + 1)),
+                    "BY": lambda: min(harmonic * n / j * p[j - 1] for j in range(i, n + 1)),
+                    "holm": lambda: max((n - j + 1) * p[j - 1] for j in range(1, i + 1)),
+                    "hochberg": lambda: min((n - j + 1) * p[j - 1] for j in range(i, n + 1)),
+                    "bonferroni": lambda: n * x,
+                }[method]()
+            assert got[k] == pytest.approx(min(1.0, want), rel=1e-12, abs=1e-300), (f, i)
+    assert all(got[k] is None or got[k] != got[k] for k, _, p in rows if p is None or p != p)
+
+
+def test_hommel_against_closed_testing(spark):
+    from itertools import combinations
+
+    from lociframe.functions.columns import p_adjust
+
+    p = [0.001, 0.012, 0.02, 0.021, 0.3, 0.8]
+    got = [r.p_adj for r in p_adjust(spark.createDataFrame(list(enumerate(p)), "k int, p double"), "p", "hommel").orderBy("k").collect()]
+    sets = [c for m in range(1, 7) for c in combinations(range(6), m)]
+    simes = {c: min(len(c) * x / j for j, x in enumerate(sorted(p[i] for i in c), 1)) for c in sets}
+    assert got == pytest.approx([max(v for c, v in simes.items() if i in c) for i in range(6)])
+
+
+def test_snv_signature_with_size_factors(spark):
+    from lociframe.operators import snv
+
+    seq = "ACGTNACGTTACGATTACA" * 40
+    g = snv.chunk_genome(spark.createDataFrame([("1", seq), ("2", "AC"), ("3", None)], "chr string, seq string"), width=50)
+    want = {}
+    rc = str.maketrans("ACGT", "TGCA")
+    for i in range(len(seq) - 2):
+        w = seq[i : i + 3]
+        if "N" not in w:
+            for x in (w, w.translate(rc)[::-1]):
+                want[x] = want.get(x, 0) + 1
+    assert {r.context: r.n for r in snv.kmer_counts(g, 3, width=50).collect()} == want
+    at = [i + 1 for i in range(1, len(seq) - 1) if seq[i] == "C"][:30]
+    mut = spark.createDataFrame([("s", "1", p, "C", "T") for p in at], "sample string, chr string, pos int, ref string, alt string")
+    got = {r.snv_class: (r.n, r.value) for r in snv.snv_signature(mut, g, "sample", factors=snv.context_sizefactor(snv.contexts(["T", "C"]), g, width=50), width=50).collect()}
+    wide = snv.chunk_genome(spark.createDataFrame([("1", seq)], "chr string, seq string"))
+    assert {r.snv_class: (r.n, r.value) for r in snv.prepare_snv_signature(mut, wide, "sample", method="genome").collect()} == got
+    assert sum(n for n, _ in got.values()) == len([p for p in at if "N" not in seq[p - 2 : p + 1]])
+    for c, (n, v) in got.items():
+        if n:
+            assert v == pytest.approx(n / want[c[0] + c[2] + c[-1]])
