@@ -105,7 +105,8 @@ def small_batches(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2
 
 
 def use_small_arrow_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
-    """Arrow batches of texts: so few rows and bytes that long documents fit a worker's memory."""
+    """Batches of texts, Arrow's and the Parquet reader's: so few rows and bytes that long documents fit a worker's and an executor's memory."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 

@@ -361,17 +361,22 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
     nodes = durable(sig.groupBy(*_FP, "digest").agg(F.min("doc_id").alias("first_doc"), F.min("row").alias("node")), "nodes")
 
     def similar(pairs):
-        """Those of the pairs whose shingle sets are similar."""
-        wanted = durable(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct(), "wanted")
-        few = wanted.count() <= broadcast_rows
-        sets = durable(sig.select("row", "hashes").join(F.broadcast(wanted) if few else wanted, "row", "left_semi"), "sets")
+        """Those of the pairs whose shingle sets are similar: sketches first, sets of what they leave."""
+        held = lambda x: F.broadcast(x) if x.count() <= broadcast_rows else x
+        both_ends = lambda x: x.select(F.col("u").alias("row")).union(x.select("v")).distinct()
+        wanted = durable(both_ends(pairs), "wanted")
+        sketch = durable(sig.select("row", "size", *(f"w{k}" for k in range(_SKETCH))).join(held(wanted), "row", "left_semi"), "sketches")
+        one, two = sketch.alias("a"), sketch.alias("b")
+        of = held(pairs).alias("p")
+        possible = one.join(of, F.col("a.row") == F.col("p.u")).join(two, F.col("b.row") == F.col("p.v")).where(_may_be_similar(similarity)).select("p.u", "p.v")
+        possible = durable(possible, "possible")
+        drop_durable(wanted, sketch)
+        wanted = durable(both_ends(possible), "wanted")
+        sets = durable(sig.select("row", "hashes").join(held(wanted), "row", "left_semi"), "sets")
         one, two = sets.withColumnsRenamed({"row": "u", "hashes": "a"}), sets.withColumnsRenamed({"row": "v", "hashes": "b"})
-        # sizes first: sets of very unequal size cannot be similar
-        near = F.broadcast(pairs) if pairs.count() <= broadcast_rows else pairs
-        both = one.join(near, "u").join(two, "v").where(F.least(F.size("a"), F.size("b")) >= similarity * F.greatest(F.size("a"), F.size("b")) - 1e-6)
-        both = both.withColumn("shared", F.size(F.array_intersect("a", "b")))
+        both = one.join(held(possible), "u").join(two, "v").withColumn("shared", F.size(F.array_intersect("a", "b")))
         out = durable(both.where(F.col("shared") >= similarity * (F.size("a") + F.size("b") - F.col("shared")) - 1e-9).select("u", "v"), "near")
-        drop_durable(sets, wanted)
+        drop_durable(wanted, possible, sets)
         return out
 
     pairs, members = candidate_pairs(nodes.select("node", *_FP), within, crowd)
