@@ -252,7 +252,7 @@ def _listed(within: int) -> Column:
     return (F.col("a.node") < F.col("b.node")) & (_distance() <= within) & once
 
 
-def candidate_pairs(nodes: DataFrame, within: int = 28, crowd: int = 16) -> tuple[DataFrame, DataFrame | None]:
+def candidate_pairs(nodes: DataFrame, within: int = 28, crowd: int = 8) -> tuple[DataFrame, DataFrame | None]:
     """Pairs (u, v) of nodes whose fingerprints share a variant of a segment and differ in at most ``within`` of their bits.
 
     ``nodes`` has the longs ``node`` (distinct) and the fingerprint words.  Of
@@ -336,7 +336,7 @@ def _may_be_similar(similarity: float) -> Column:
     return shared * (1 + similarity) >= similarity * (F.col("a.size") + F.col("b.size")) - 1e-6
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, fingerprint_shingle: int = 2, within: int = 28, crowd: int = 16, broadcast_rows: int = 1_000_000) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, fingerprint_shingle: int = 2, within: int = 28, crowd: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, component_id): groups of texts whose sets of word shingles have a Jaccard similarity of at least ``similarity``.
 
     Fingerprints of two 64-bit words, cut into six segments with one wildcard
