@@ -18,12 +18,14 @@ star.  No pair is lost and none is listed quadratically.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import drop_durable, durable, small_batches, tidy, utf8, with_columns
@@ -222,12 +224,47 @@ def _distance() -> Column:
     return F.expr(" + ".join(f"bit_count(a.{f} ^ b.{f})" for f in _FP))
 
 
-def _wide_variants(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with key: one-wildcard variants of three segments of each word; the variant's number is the deleted bit."""
-    off = "case when k < 21 then 0 when k < 42 then 21 else 42 end"
-    mask = "case when k < 42 then 2097151L else 4194303L end"
-    one = lambda w, f: f"transform(sequence(0, 63), k -> shiftleft(cast({64 * w} + k as bigint), 32) | (shiftrightunsigned({f} & ~shiftleft(1L, k), {off}) & {mask}))"
-    return nodes.select(*nodes.columns, F.explode(F.expr(f"concat({', '.join(one(w, f) for w, f in enumerate(_FP))})")).alias("key"))
+def _segments(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with segment: three segments of each word; number of the first bit * 2^32 + bits."""
+    one = (f"shiftleft({64 * w + a}L, 32) | (shiftrightunsigned({f}, {a}) & {(1 << (b - a)) - 1}L)" for w, f in enumerate(_FP) for a, b in _CUTS)
+    return nodes.select(*nodes.columns, F.explode(F.expr(f"array({', '.join(one)})")).alias("segment"))
+
+
+_PART = "if({p} < 14, 127L, 255L)"  # a segment's three parts begin at its bits 0, 7 and 14
+
+
+def _routes(segments: DataFrame) -> DataFrame:
+    """Rows of :func:`_segments` with route instead: the segment without one of its three parts; number of the part's first bit * 2^32 + the rest.
+
+    All variants that delete a bit of that part agree in the rest, so the rows
+    are dealt out by route (18 a node) and make their variants (128) in place.
+    """
+    one = f"shiftleft(shiftrightunsigned(segment, 32) + p, 32) | (segment & 4294967295L & ~shiftleft({_PART.format(p='p')}, p))"
+    return segments.select(*segments.columns, F.explode(F.expr(f"transform(array(0, 7, 14), p -> {one})")).alias("route")).drop("segment")
+
+
+def _variants_of(routes: DataFrame) -> DataFrame:
+    """Rows of :func:`_routes` with key: their one-wildcard segment variants; number of the deleted bit * 2^32 + segment without that bit."""
+    number = "shiftrightunsigned(route, 32)"
+    word = f"case {' '.join(f'when {number} < {64 * w + 64} then {f}' for w, f in enumerate(_FP))} end"
+    at = f"cast({number} & 63 as int)"
+    begin = f"case when {at} < 21 then 0 when {at} < 42 then 21 else 42 end"
+    mask = f"case when {at} < 42 then 2097151L else 4194303L end"
+    of = routes.select(*routes.columns, F.expr(number).alias("_n"), F.expr(f"{at} - {begin}").alias("_p"), F.expr(f"shiftrightunsigned({word}, {begin}) & {mask}").alias("_s"), F.expr(f"if({at} = 56, 7, 6)").alias("_last"))
+    one = "shiftleft(_n + i, 32) | (_s & ~shiftleft(1L, _p + i))"
+    return of.select(*routes.columns, F.explode(F.expr(f"transform(sequence(0, _last), i -> {one})")).alias("key"))
+
+
+@contextmanager
+def _co_partitioned(spark: SparkSession) -> Iterator[None]:
+    """In here a join on (route, key) does with rows that are dealt out by route."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def _number(key: str) -> str:
@@ -252,26 +289,36 @@ def _listed(within: int) -> Column:
     return (F.col("a.node") < F.col("b.node")) & (_distance() <= within) & once
 
 
-def candidate_pairs(nodes: DataFrame, within: int = 28, crowd: int = 16) -> tuple[DataFrame, DataFrame | None]:
+def candidate_pairs(nodes: DataFrame, within: int = 28, crowd: int = 16, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame | None]:
     """Pairs (u, v) of nodes whose fingerprints share a variant of a segment and differ in at most ``within`` of their bits.
 
     ``nodes`` has the longs ``node`` (distinct) and the fingerprint words.  Of
     a crowded segment only the pairs with one hub are listed, the member whose
     segments are the most crowded; the second result holds all
     members (node, f0, f1, key) of such variants for :func:`open_members`, or
-    None.
+    None.  Crowded segments and their variants, longs, are broadcast up to
+    ``broadcast_rows``, shuffled beyond.
     """
-    seg = "array(" + ", ".join(f"shiftleft({64 * w + a}L, 32) | (shiftrightunsigned({f}, {a}) & {(1 << (b - a)) - 1}L)" for w, f in enumerate(_FP) for a, b in _CUTS) + ")"
-    segments = nodes.select("node", F.explode(F.expr(seg)).alias("segment"))
-    crowded = durable(segments.groupBy("segment").count().where(F.col("count") > crowd), "crowded")
-    stars = members = None
-    if crowded.take(1):
-        number = "shiftrightunsigned(segment, 32)"
+    spark = nodes.sparkSession
+    nodes = nodes.select("node", *_FP)
+    crowded = durable(_segments(nodes).groupBy("segment").count().where(F.col("count") > crowd), "crowded")
+    n_crowded = crowded.count()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // 8192))  # about a million variants each
+    dealt = lambda routes: _variants_of(routes.repartition(tasks, "route"))
+    with _co_partitioned(spark):
+        if not n_crowded:
+            return durable(_within_variants(dealt(_routes(_segments(nodes))), within).distinct(), "pairs"), None
+        number, bits = "shiftrightunsigned(segment, 32)", "(segment & 4294967295L)"
         width = f"case when {number} & 63 < 42 then 20 else 21 end"
-        hot = crowded.select(F.explode(F.expr(f"transform(sequence(0, {width}), i -> shiftleft({number} + i, 32) | (segment & 4294967295L & ~shiftleft(1L, cast(i as int))))")).alias("key")).distinct()
-        company = segments.join(crowded, "segment").groupBy("node").agg(F.sum("count").alias("company"))
-        keyed = _wide_variants(nodes.join(company, "node", "left").select("node", *_FP, F.coalesce("company", F.lit(0)).alias("company")))
-        every = durable(keyed.join(hot, "key", "left_semi").select("key", "node", *_FP, "company"), "crowded-members")
+        part = "least(i div 7, 2) * 7"
+        route = f"shiftleft({number} + {part}, 32) | ({bits} & ~shiftleft({_PART.format(p=part)}, cast({part} as int)))"
+        key = f"shiftleft({number} + i, 32) | ({bits} & ~shiftleft(1L, cast(i as int)))"
+        hot = durable(crowded.select(F.inline(F.expr(f"transform(sequence(0, {width}), i -> struct({route} as route, {key} as key))"))).distinct(), "hot")
+        few = hot.count() <= broadcast_rows
+        held = F.broadcast if few else (lambda x: x)
+        company = _segments(nodes).join(held(crowded), "segment").groupBy("node").agg(F.sum("count").alias("company"))
+        ranked = _routes(_segments(nodes.join(company, "node", "left").select("node", *_FP, F.coalesce("company", F.lit(0)).alias("company"))))
+        every = durable((_variants_of(ranked) if few else dealt(ranked)).join(held(hot), ["route", "key"], "left_semi").select("key", "node", *_FP, "company"), "crowded-members")
         segment = F.expr(_segment_of(""))
         hubs = every.groupBy("key").agg(F.max(F.struct("company", "node", *_FP)).alias("hub"), F.min(segment).alias("low"), F.max(segment).alias("high"))
         hubs = hubs.where(F.expr(f"low != high or {_first_variant('key')}")).drop("low", "high")  # other variants list no pair
@@ -280,12 +327,19 @@ def candidate_pairs(nodes: DataFrame, within: int = 28, crowd: int = 16) -> tupl
         near = F.expr(" + ".join(f"bit_count({f} ^ hub.{f})" for f in _FP)) <= within
         stars = members.where(F.expr(_first_variant("key")) & (F.col("node") != F.col("hub.node")) & near).select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"))
         members = _same_path(members, members.drop("company", "hub"))
-        keyed = keyed.select("node", *_FP, "key").join(hot, "key", "left_anti")
-    else:
-        keyed = _wide_variants(nodes)
+        # all variants of a crowded segment are hot: such rows need not travel; then the variants that others share with one
+        open_routes = _routes(_segments(nodes).join(held(crowded), "segment", "left_anti"))
+        keyed = dealt(open_routes).join(held(hot), ["route", "key"], "left_anti")
+        pairs = durable(_within_variants(keyed, within).union(stars).distinct(), "pairs")
+    drop_durable(crowded, hot)
+    return pairs, members
+
+
+def _within_variants(keyed: DataFrame, within: int) -> DataFrame:
+    """Pairs (u, v) of the rows (node, f0, f1, route, key) of one key."""
     a, b = keyed.alias("a"), keyed.alias("b")
-    out = a.join(b, (F.col("a.key") == F.col("b.key")) & _listed(within)).select(F.col("b.node").alias("u"), F.col("a.node").alias("v"))
-    return (out.union(stars) if stars is not None else out).distinct(), members
+    same = (F.col("a.route") == F.col("b.route")) & (F.col("a.key") == F.col("b.key"))
+    return a.join(b, same & _listed(within)).select(F.col("b.node").alias("u"), F.col("a.node").alias("v"))
 
 
 def _same_path(table: DataFrame, view: DataFrame) -> DataFrame:
@@ -379,8 +433,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
         drop_durable(wanted, possible, sets)
         return out
 
-    pairs, members = candidate_pairs(nodes.select("node", *_FP), within, crowd)
-    pairs = durable(pairs, "pairs")
+    pairs, members = candidate_pairs(nodes, within, crowd, broadcast_rows)
     near = similar(pairs)
     drop_durable(pairs)
     comp = durable(connected_components(near), "component")
