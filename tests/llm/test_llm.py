@@ -178,6 +178,35 @@ def test_crowded_segments_lose_no_pair(spark):
     assert none is None and got == {tuple(r) for r in every.collect()}  # blocks list every pair
 
 
+@pytest.mark.parametrize("crowd,broadcast_rows", [(10**6, 10**6), (3, 10**6), (3, 0)])
+def test_candidate_pairs_by_route_against_brute_force(spark, crowd, broadcast_rows):
+    rng = random.Random(1)
+    signed = lambda x: (x + 2**63) % 2**64 - 2**63
+    fps = set()
+    for size in [1, 2, 40] * 8:  # clusters of fingerprints up to nine flips from their base
+        base = [rng.getrandbits(64) for _ in range(2)]
+        for _ in range(size):
+            f = base[:]
+            for _ in range(rng.randrange(10)):
+                f[rng.randrange(2)] ^= 1 << rng.randrange(64)
+            fps.add(tuple(map(signed, f)))
+    rows = [(n, *f) for n, f in enumerate(sorted(fps))]
+
+    def near(a, b):
+        x = [(p ^ q) & (2**64 - 1) for p, q in zip(a, b, strict=True)]
+        return sum(y.bit_count() for y in x) <= 28 and any(((y >> lo) & ((1 << hi - lo) - 1)).bit_count() <= 1 for y in x for lo, hi in simhash._CUTS)
+
+    want = {(u, v) for u, *a in rows for v, *b in rows[:u] if near(a, b)}
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    pairs, members = simhash.candidate_pairs(spark.createDataFrame(rows, "node long, f0 long, f1 long"), crowd=crowd, broadcast_rows=broadcast_rows)
+    if members is not None:
+        alone = spark.createDataFrame([], "node long, component long")
+        pairs = pairs.union(simhash.rest_pairs(simhash.open_members(members, alone), block=16))
+    assert (members is None) == (crowd > 3)
+    assert {tuple(r) for r in pairs.collect()} == want
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+
+
 def test_similar_pairs_are_found_in_every_band(spark):
     rng = random.Random(21)
     docs, pairs, n = [], [], 0
