@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chatformat, decontam, htmltext, repair, simhash, tokencount, toxicity, urlrules, warc
+from . import ann, bpe, chatformat, decontam, htmltext, mixing, repair, simhash, tokencount, toxicity, urlrules, warc
 from ._util import use_small_arrow_batches
 
 
@@ -92,6 +92,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(table(spark, sf_dir, "conversations")), dropped="dropped")
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [k for k in globals() if k.startswith("op") and k[2].isdigit()]
     return {k: globals()[k] for k in sorted(named, key=lambda k: int(k[2:].split("_")[0]))}
