@@ -51,6 +51,15 @@ WITH RECURSIVE tb AS (SELECT LIST_TRANSFORM(RANGE(256), lambda i: LIST_REDUCE(RA
 SELECT au.conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal, cost, audit, SHA256(COALESCE(body, '')) AS repaired_sha256
 FROM au LEFT JOIN ct ON au.conv_id = ct.conv_id LEFT JOIN tx ON au.conv_id = tx.conv_id"""
 
+OP11 = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS l, LIST_TRANSFORM(embedding, lambda x: FLOOR(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND LEN(LIST_FILTER(embedding, lambda x: x IS NULL OR NOT ISFINITE(x))) = 0),
+ s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.l = b.l AS same, CAST(LIST_DOT_PRODUCT(a.q, b.q) AS BIGINT) AS s FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+ p AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY anchor_id ORDER BY s DESC, vec_id) AS k FROM s WHERE same) t WHERE k <= 5),
+ n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.s AS positive_score, s.s AS negative_score, ROW_NUMBER() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.s DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": OP3, "op4_urlrules": OP4, "op12_repair": OP12}
+    return {"op3_warc": OP3, "op4_urlrules": OP4, "op11_hardneg": OP11, "op12_repair": OP12}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chatformat, decontam, htmltext, mixing, repair, simhash, tokencount, toxicity, urlrules, warc
+from . import ann, bpe, chatformat, decontam, hardneg, htmltext, mixing, repair, simhash, tokencount, toxicity, urlrules, warc
 from ._util import use_small_arrow_batches
 
 
@@ -88,6 +88,12 @@ def op10_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = rows.select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hardneg.mine(moved, F.col("vec_id") % 50 == 0)
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(repair.damage(table(spark, sf_dir, "conversations")), dropped="dropped")
 
