@@ -63,23 +63,32 @@ def choose(blocks: list[tuple[int, int]], room: float) -> dict[int, int]:
     """What a last pass takes to come near ``room`` words: blocks are (number, words) in permuted order.
 
     Maps block numbers to -1 (the whole block) or to the words that a block
-    taken in part may hold.  After all blocks that fit, one more is taken
-    whole if that comes nearer; else the smallest left is taken in part.
+    taken in part may hold.  Blocks that fit are taken in order; then a block
+    is added, given back or exchanged for another as long as that comes
+    nearer; at last the smallest left over is taken in part.
     """
-    taken: dict[int, int] = {}
-    left = []
-    for b, w in blocks:
-        if w <= room:
-            taken[b] = -1
-            room -= w
-        else:
-            left.append((w, b))
-    if left:
-        w, b = min(left)
-        if w - room < room:
-            taken[b] = -1
-        elif room >= 1:
-            taken[b] = int(room)
+    words_of = np.array([0, *(w for _, w in blocks)], np.int64)  # place 0: no block
+    inside = np.zeros(len(words_of), bool)
+    for i, w in enumerate(words_of[1:].tolist(), 1):
+        if 0 < w <= room:
+            inside[i], room = True, room - w
+    while True:
+        give = np.append(0, np.flatnonzero(inside))
+        take = np.flatnonzero(~inside)
+        take = take[np.argsort(words_of[take], kind="stable")]
+        want = words_of[give] + room  # of the block taken in exchange
+        near = np.searchsorted(words_of[take], want).clip(0, len(take) - 1)
+        pairs = [(abs(room - float(words_of[take[k]] - words_of[g])), int(g), int(take[k])) for g, n in zip(give, near, strict=True) for k in {n, max(0, n - 1)}]
+        off, g, t = min(pairs)
+        if off >= abs(room):
+            break
+        inside[[i for i in (g,) if i]], inside[[i for i in (t,) if i]] = False, True
+        room -= float(words_of[t] - words_of[g])
+    taken = {blocks[i - 1][0]: -1 for i in np.flatnonzero(inside).tolist()}
+    left = np.flatnonzero(~inside)[1:]
+    left = left[words_of[left] > 0]
+    if room >= 1 and len(left):
+        taken[blocks[int(left[words_of[left].argmin()]) - 1][0]] = int(room)
     return taken
 
 
