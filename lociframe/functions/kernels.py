@@ -49,6 +49,15 @@ def binomial_pmf_rows(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray
         return np.exp(log + np.where(k != 0, k * np.log(p), 0.0) + np.where(rest != 0, rest * np.log1p(-p), 0.0))
 
 
+def bootstrap_bounds(x: int, n: int, u: np.ndarray) -> tuple[float, float]:
+    """Normal bootstrap bounds of a proportion x / n from uniform draws: binomial replicates by inversion."""
+    below = np.cumsum(binomial_pmf_rows(np.arange(n), np.full(n, n), np.full((n, 1), x / n))[:, 0])  # P(X <= k), k < n
+    k = np.searchsorted(below, u, side="right")
+    s1, s2, times = int(k.sum()), int((k * k).sum()), len(u)
+    mid, sd = 2 * x / n - s1 / times / n, math.sqrt(max(0.0, s2 - s1 * s1 / times) / (times - 1)) / n
+    return mid - 1.959963984540054 * sd, mid + 1.959963984540054 * sd
+
+
 def poisson_pmf(k, rate):
     k, rate = np.asarray(k, float), np.asarray(rate, float)
     with np.errstate(divide="ignore", invalid="ignore", under="ignore"):

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import _validate as check
 from ..functions.columns import bare_chr, weighted_median
+from ..functions.draws import spread, uniform
 from .intervals import overlap_join, overlaps_within, reduce_ranges
 
 ARMS = ("p", "q")
@@ -123,38 +123,26 @@ def wgd_state(p, ploidy):
 def wgd_test(seg: DataFrame, bands: DataFrame, sample_field: str, perm_times: int = 10_000, seed: int = 1, **options) -> DataFrame:
     """(sample, ploidy, pvalue, total_aber, wgd_event, wGD): is the share of arms with two major copies larger than by chance?
 
-    A permutation draws int(total_aber) events over the arms' alleles in
-    proportion to |A| and |B| over total_aber (renormalised); a drawn slot has
-    1 + sign * count copies, one not drawn keeps its sign.  One task a sample
-    (at most 50 arms); seeded by sample, so independent of partitioning.
+    A permutation draws int(total_aber) events, uniformly over the arms'
+    alleles that are aberrant (A or B not 0).  A drawn allele has 1 + sign *
+    count copies, one not drawn keeps its sign: so an arm reaches two copies
+    if any of its gained alleles is drawn.  Events are draws of (seed, sample,
+    permutation, event); permutations of a sample run in parallel chunks.
     """
     arms = wgd_arms(seg, bands, sample_field, **options)
-
-    def run(pdf):
-        major, total = pdf["arm_major_ploidy"].to_numpy(float), float(pdf["total_aber"].iloc[0])
-        a, b = pdf["A"].to_numpy(float), pdf["B"].to_numpy(float)
-        event = float((major >= 2).mean())
-        if total == 0:
-            p = 1.0
-        elif event == 1:
-            p = 0.0
-        else:
-            import zlib
-
-            order = np.lexsort((pdf["arm"], pdf["chr"]))
-            geno = np.concatenate([a[order], b[order]])
-            rng = np.random.Generator(np.random.Philox([seed, zlib.crc32(str(pdf[sample_field].iloc[0]).encode())]))
-            prob = np.abs(geno) / np.abs(geno).sum()
-            hits = 0
-            for at in range(0, perm_times, 1000):
-                n = min(1000, perm_times - at)
-                drawn = rng.multinomial(int(total), prob, size=n)
-                g = np.where(drawn > 0, 1 + geno * drawn, geno)
-                k = len(a)
-                hits += int(((np.maximum(g[:, :k], g[:, k:]) >= 2).mean(axis=1) >= event).sum())
-            p = hits / perm_times
-        return pdf.iloc[:1][[sample_field, "ploidy"]].assign(pvalue=p, total_aber=total, wgd_event=event)
-
-    kind = dict(arms.dtypes)
-    out = arms.groupBy(sample_field, "ploidy").applyInPandas(run, f"`{sample_field}` {kind[sample_field]}, ploidy {kind['ploidy']}, pvalue double, total_aber double, wgd_event double")
+    listed = F.array_sort(F.collect_list(F.struct("chr", "arm", "A", "B")))  # at most some fifty arms
+    d = arms.groupBy(sample_field, "ploidy").agg(F.first("total_aber").alias("total_aber"), F.avg((F.col("arm_major_ploidy") >= 2).cast("double")).alias("wgd_event"), listed.alias("arms"))
+    side = lambda x: F.filter(F.transform("arms", lambda a, i: F.when(a[x] > 0, i).when(a[x] < 0, -1)), lambda k: k.isNotNull())
+    d = d.withColumn("slots", F.concat(side("A"), side("B")))  # number of the arm, -1 for a loss
+    chunk = 250
+    each = spread(d.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-perm_times // chunk) - 1)))), sample_field, "chunk")
+    slot = lambda perm, e: F.element_at("slots", F.floor(uniform(seed, F.col(sample_field), perm, e) * F.size("slots")).cast("int") + 1)
+    events = F.sequence(F.lit(1), F.floor("total_aber").cast("int"))
+    gained = lambda perm: F.size(F.array_distinct(F.filter(F.transform(events, lambda e: slot(perm, e)), lambda k: k >= 0)))
+    reached = lambda perm: gained(perm) / F.size("arms") >= F.col("wgd_event")
+    perms = F.sequence(F.col("chunk") * chunk + 1, F.least((F.col("chunk") + 1) * chunk, F.lit(perm_times)))
+    drawn = (F.col("wgd_event") < 1) & (F.col("total_aber") >= 1) & (F.size("slots") > 0)
+    each = each.withColumn("hits", F.when(drawn, F.size(F.filter(perms, reached))))
+    p = F.when(F.first("total_aber") == 0, 1.0).when(F.first("wgd_event") == 1, 0.0).otherwise(F.coalesce(F.sum("hits"), F.lit(perm_times)) / perm_times)
+    out = each.groupBy(sample_field, "ploidy").agg(p.alias("pvalue"), F.first("total_aber").alias("total_aber"), F.first("wgd_event").alias("wgd_event"))
     return out.withColumn("wGD", wgd_state(F.col("pvalue"), F.col("ploidy").cast("double")))

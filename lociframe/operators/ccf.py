@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import _validate as check
 from ..functions import kernels
+from ..functions.draws import spread, uniform
 from ..functions.columns import expected_vaf, is_indel, mutation_copies, p_adjust, proportion_ci, trim
 
 GRID = np.linspace(0.01, 1.0, 100)
@@ -191,14 +192,16 @@ def mutation_types(d: DataFrame) -> DataFrame:
     return d.withColumn("Mt", F.when(ok, (-F.array_max(score)["minus"]).cast("double")))
 
 
-def bootstrap_ccf(d: DataFrame, times: int = 1000, seed: int = 1, key: list[str] | None = None, analytic: bool = False) -> DataFrame:
+def bootstrap_ccf(d: DataFrame, times: int = 1000, seed: int = 1, analytic: bool = False) -> DataFrame:
     """mut_multi and CCF with test and bootstrap bounds.
 
-    The bootstrap of Bernoulli reads is a binomial draw; bounds are the normal
-    ones, 2 t0 - mean(t*) -/+ 1.96 sd(t*), seeded by the values of ``key``
-    (default: the counts) and so independent of partitioning.  ``analytic``
-    takes the exact moments instead.  Without reference reads the bounds of
-    the proportion test hold.
+    The bootstrap of Bernoulli reads is a binomial draw, by the inverse of its
+    distribution function at the draw of (seed, alt_counts, ref_counts,
+    replicate): mutations of equal counts have equal bootstrap distributions
+    and share the draws, which are made once for each pair of counts.  Bounds
+    are the normal ones, 2 t0 - mean(t*) -/+ 1.96 sd(t*).  ``analytic`` takes
+    the exact moments instead.  Without reference reads the bounds of the
+    proportion test hold.
     """
     d = mutation_types(d.withColumn("obsVAF", F.col("alt_counts") / F.nullif(F.col("alt_counts") + F.col("ref_counts"), F.lit(0))))
     total, alt, ref = F.col("major_cn") + F.col("minor_cn"), F.col("alt_counts"), F.col("ref_counts")
@@ -212,18 +215,13 @@ def bootstrap_ccf(d: DataFrame, times: int = 1000, seed: int = 1, key: list[str]
     else:
 
         @F.pandas_udf("lo double, hi double")
-        def draw(a: pd.Series, r: pd.Series, h: pd.Series) -> pd.DataFrame:
-            out = np.full((len(a), 2), np.nan)
-            for i, (x, y, s) in enumerate(zip(a, r, h, strict=True)):
-                n = x + y
-                if not n > 0:
-                    continue
-                t = np.random.Generator(np.random.Philox([seed, int(s) & 0xFFFFFFFF])).binomial(int(n), x / n, times) / n
-                mid, sd = 2 * x / n - t.mean(), t.std(ddof=1)
-                out[i] = mid - 1.959963984540054 * sd, mid + 1.959963984540054 * sd
-            return pd.DataFrame(out, columns=["lo", "hi"])
-
-        d = d.withColumn("_b", draw(alt.cast("double"), ref.cast("double"), F.xxhash64(*(key or ["alt_counts", "ref_counts"]))))
+        def bounds(a: pd.Series, r: pd.Series, u: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([kernels.bootstrap_bounds(int(x), int(x + y), np.asarray(draws)) for x, y, draws in zip(a, r, u, strict=True)], columns=["lo", "hi"])
+
+        pairs = d.select(alt.alias("_alt"), ref.alias("_ref")).where((alt + ref > 0) & (alt >= 0) & (ref >= 0)).distinct()
+        u = F.transform(F.sequence(F.lit(1), F.lit(times)), lambda k: uniform(seed, F.col("_alt"), F.col("_ref"), k))
+        pairs = spread(pairs, "_alt", "_ref").withColumn("_b", bounds(F.col("_alt").cast("double"), F.col("_ref").cast("double"), u))
+        d = d.join(pairs, (alt == F.col("_alt")) & (ref == F.col("_ref")), "left").drop("_alt", "_ref")
         b_lo, b_hi = F.col("_b.lo"), F.col("_b.hi")
     none = ref == 0
     d = d.withColumns({"mut_multi_btstr_lower": F.when(none, F.col("mut_multi_lower")).otherwise(copies(b_lo)), "mut_multi_btstr_higher": F.when(none, F.col("mut_multi_higher")).otherwise(copies(b_hi))})

@@ -54,7 +54,7 @@ def run_ccf(mut: DataFrame, cnv: DataFrame, ccf_type: tuple[str, ...] = ("phyloC
     if "phyloCCF" in ccf_type:
         d = phylo_ccf(d, patient, sample, chrom, mut_pos, ref_field, alt_field, indel_field, min_vaf_to_explain, conipher, **options)
     if "bootstrapCCF" in ccf_type:
-        d = bootstrap_ccf(d, key=[x for x in (sample, chrom, mut_pos) if x])
+        d = bootstrap_ccf(d)
     keep = [mut_id, patient, sample, "purity", start_field, end_field, chrom, mut_pos, "alt_counts", "ref_counts", ref_field, alt_field, *OUT, *kept_cols]
     return d.select([c for c in dict.fromkeys(keep) if c and c in d.columns])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import adapters as A
 from .functions.columns import p_adjust, proportion_ci
+from .functions.draws import uniform_sql
 from .operators import arm, ccf, decomposition, ids, intervals, nmf_consensus, rrho, snv, ssgsea
 from .operators.cnv_signature import cnv_classes, cnv_signature
 from .operators.subclone import subclone_cn
@@ -125,9 +127,19 @@ def bootstrap_ccf_analytic(s, d):
     return rounded(x, "ccf", "ccf_low")
 
 
-@query()
+@query(
+    f"""WITH {MUT}, {SEG}, {JOINED}, {MT}, best AS (SELECT mut_id, ARG_MAX(k, x * LN(rate) - rate) AS mt FROM mk GROUP BY mut_id),
+ pc AS (SELECT DISTINCT alt_counts AS a, ref_counts AS r, alt_counts + ref_counts AS n FROM jm WHERE alt_counts + ref_counts > 0),
+ pm AS (SELECT a, r, k, SUM(CASE WHEN a = 0 THEN CASE WHEN k = 0 THEN 1E0 ELSE 0E0 END WHEN r = 0 THEN 0E0 ELSE EXP({LOGC("n", "k")} + k * LN(a / CAST(n AS DOUBLE)) + (n - k) * LN(1 - a / CAST(n AS DOUBLE))) END) OVER (PARTITION BY a, r ORDER BY k) AS c FROM pc, UNNEST(RANGE(0, CAST(n AS BIGINT))) AS u(k)),
+ dr AS (SELECT a, r, n, {uniform_sql(1, 'a', 'r', 'i')} AS u FROM pc, UNNEST(RANGE(1, 1001)) AS v(i)),
+ dk AS (SELECT dr.a, dr.r, dr.n, COALESCE(pm.k + 1, 0) AS k FROM dr ASOF LEFT JOIN pm ON dr.a = pm.a AND dr.r = pm.r AND dr.u >= pm.c),
+ bt AS (SELECT a, r, 2E0 * a / n - SUM(k) / 1000E0 / n AS mid, SQRT(GREATEST(0, SUM(k * k) - SUM(k) * SUM(k) / 1000E0) / 999) / n AS sd FROM dk GROUP BY a, r, n),
+ wl AS (SELECT jm.mut_id, mt, purity, ref_counts, nMajor + nMinor AS t, alt_counts / CAST(alt_counts + ref_counts AS DOUBLE) AS f, mid - {Z} * sd AS lo, mid + {Z} * sd AS hi FROM jm LEFT JOIN best ON jm.mut_id = best.mut_id LEFT JOIN bt ON bt.a = alt_counts AND bt.r = ref_counts)
+ SELECT mut_id, ROUND(f / purity * (purity * t + 2 * (1 - purity)) / mt, 6) AS ccf, ROUND(lo / purity * (purity * t + 2 * (1 - purity)) / mt, 6) AS ccf_low, ROUND(hi / purity * (purity * t + 2 * (1 - purity)) / mt, 6) AS ccf_high FROM wl"""
+)
 def bootstrap_ccf(s, d):
-    return ccf.bootstrap_ccf(_joined(s, d), key=["mut_id"]).select("mut_id", "CCF", "CCF_btstr_lower", "CCF_btstr_higher")
+    x = ccf.bootstrap_ccf(_joined(s, d)).selectExpr("mut_id", "CCF as ccf", "CCF_btstr_lower as ccf_low", "CCF_btstr_higher as ccf_high")
+    return rounded(x, "ccf", "ccf_low", "ccf_high")
 
 
 ABS = """vf AS (SELECT mut_id, alt_counts AS a, ref_counts AS r, g, LEAST(purity * (g / 100E0) / (2 * (1 - purity) + purity * (nAraw + nBraw)), 1E0) AS f FROM jm, UNNEST(RANGE(1, 101)) AS u(g) WHERE alt_counts + ref_counts > 0),
@@ -217,9 +229,24 @@ def wgd_arm_ploidy(s, d):
     return rounded(x.select("sample", "chr", "arm", "arm_minor_ploidy"), "arm_minor_ploidy")
 
 
-@query()
+def _other(sql: str) -> str:
+    """A weighted median's CTEs under other names."""
+    return re.sub(r"\bw([vcbm])\b", r"x\1", sql)
+
+
+@query(
+    f"""WITH {SEG}, {BAND}, {ARM}, {HIT}, {_wmedian('hit', 'nMinor', 'sample, ploidy, chr, arm')}, {_other(_wmedian('hit', 'nMajor + nMinor', 'sample, ploidy, chr, arm'))},
+ ar AS (SELECT wm.sample, wm.ploidy, wm.chr, wm.arm, wm.med AS mi, xm.med - wm.med AS ma FROM wm JOIN xm ON wm.sample = xm.sample AND wm.chr = xm.chr AND wm.arm = xm.arm),
+ tt AS (SELECT sample, ploidy, SUM(ABS(mi - 1)) + SUM(ABS(ma - 1)) AS total, AVG(CASE WHEN ma >= 2 THEN 1E0 ELSE 0E0 END) AS event, COUNT(*) AS arms FROM ar GROUP BY sample, ploidy),
+ sl AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sample ORDER BY side, chr, arm) - 1 AS k, COUNT(*) OVER (PARTITION BY sample) AS slots FROM (SELECT sample, 0 AS side, chr, arm, SIGN(ma - 1) AS s FROM ar UNION ALL SELECT sample, 1, chr, arm, SIGN(mi - 1) FROM ar) t WHERE s <> 0),
+ dr AS (SELECT tt.sample, perm, CAST(FLOOR({uniform_sql(1, 'tt.sample', 'perm', 'ev')} * z.slots) AS BIGINT) AS k FROM tt JOIN (SELECT DISTINCT sample, slots FROM sl) z ON z.sample = tt.sample, UNNEST(RANGE(1, 10001)) AS a(perm), UNNEST(RANGE(1, CAST(FLOOR(total) AS BIGINT) + 1)) AS b(ev)),
+ gn AS (SELECT dr.sample, perm, COUNT(DISTINCT chr || arm) FILTER (s > 0) AS n FROM dr JOIN sl ON dr.sample = sl.sample AND dr.k = sl.k GROUP BY dr.sample, perm),
+ pv AS (SELECT tt.*, CASE WHEN total = 0 THEN 1E0 WHEN event = 1 THEN 0E0 ELSE (SELECT COUNT(*) FROM gn WHERE gn.sample = tt.sample AND CAST(n AS DOUBLE) / arms >= event) / 10000E0 END AS p, ROUND_EVEN(ploidy, 0) AS r FROM tt)
+ SELECT sample, ploidy, ROUND(p, 6) AS pvalue, ROUND(total, 6) AS total_aber, ROUND(event, 6) AS wgd_event, CASE WHEN r >= 6 AND p <= 1 OR r = 5 AND p <= 0.5E0 OR r = 4 AND p <= 0.05E0 OR r <= 3 AND p <= 0.001E0 THEN 'GD' ELSE 'nGD' END AS wgd FROM pv"""
+)
 def wgd_test(s, d):
-    return arm.wgd_test(*seg_band(s, d), "sample", major_cn_field="nMajor", minor_cn_field="nMinor")
+    x = arm.wgd_test(*seg_band(s, d), "sample", major_cn_field="nMajor", minor_cn_field="nMinor")
+    return rounded(x.withColumnRenamed("wGD", "wgd"), "pvalue", "total_aber", "wgd_event")
 
 
 @query(f"WITH {BAND}, o AS (SELECT *, MAX(\"end\") OVER (PARTITION BY chr ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM band WHERE \"gieStain\" <> 'gneg'), p AS (SELECT *, SUM(CASE WHEN r IS NULL OR start > r + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY start, \"end\") AS k FROM o) SELECT chr, MIN(start) AS start_pos, MAX(\"end\") AS end_pos FROM p GROUP BY chr, k")
