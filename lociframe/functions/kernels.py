@@ -171,6 +171,18 @@ def hypergeometric_log_p(count, m, k, n: int, lf: LogFactorial):
     return out, sign
 
 
+def hypergeometric_tails(count: np.ndarray, m: int, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`hypergeometric_log_p` of many overlaps of one set of m and one of k out of n, from one table of its distribution."""
+    lo, hi = max(0, m + k - n), min(m, k)
+    x = np.arange(lo, hi + 1)
+    term = lambda a, b: lgamma(a + 1.0) - lgamma(b + 1.0) - lgamma(a - b + 1.0)
+    log = term(float(m), x) + term(float(n - m), k - x) - term(float(n), float(k))
+    low, high = np.logaddexp.accumulate(log), np.logaddexp.accumulate(log[::-1])[::-1]
+    sign = np.where(count <= m / n * k, -1, 1)
+    at = np.clip(count - lo, 0, len(x) - 1)
+    return np.minimum(0.0, np.where(sign < 0, low[at], high[at])), sign
+
+
 def fisher_greater(a: int, b: int, c: int, d: int, level: float = 0.95) -> tuple[float, float, float, float]:
     """One-sided Fisher test of the table [[a, c], [b, d]]: (p, conditional odds ratio, lower bound, inf)."""
     m, n, k = a + b, c + d, a + c

@@ -8,6 +8,7 @@ lists for each cell.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,15 +18,18 @@ from pyspark.sql import functions as F
 
 from .. import _validate as check
 from ..functions import kernels
-from ..functions.columns import average_rank, p_adjust
+from ..functions.columns import p_adjust
+from ..functions.draws import spread, uniform
+from .scan import average_ranks, ordered_scan
 
 
 def shared_ranks(list1: DataFrame, list2: DataFrame, item: str = "item", value: str = "value") -> DataFrame:
     """(item, value1, value2, rank1, rank2) of the items in both lists; nulls are left out, ranks are by descending value, ties by item."""
     one, two = (d.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(item).alias("item"), F.col(value).cast("double").alias(v)).dropDuplicates(["item"]) for d, v in ((list1, "value1"), (list2, "value2")))
     d = one.join(two, "item")
-    # one global order each: the lists are genes, tens of thousands of items at most
-    return d.withColumns({f"rank{k}": F.row_number().over(Window.orderBy(F.desc(f"value{k}"), "item")) for k in (1, 2)})
+    for k in (1, 2):
+        d = ordered_scan(d, [-F.col(f"value{k}"), F.col("item")], place=f"rank{k}")
+    return d
 
 
 @dataclass
@@ -48,17 +52,33 @@ def default_step(n: int) -> int:
     return 1 if n <= 5000 else int(n / 100)
 
 
-def overlap_counts(ranks: DataFrame, n: int, step: int) -> DataFrame:
-    """(i, j, overlap) for i, j = step, 2 step, .. <= n: items among the first i of list 1 and the first j of list 2."""
+def overlap_counts(ranks: DataFrame, n: int, step: int, by: str | None = None, values: DataFrame | None = None) -> DataFrame:
+    """([by,] i, j, overlap) for i, j = step, 2 step, .. <= n: items among the first i of list 1 and the first j of list 2.
+
+    With ``by`` there is a grid for each of its ``values``, a table of that column alone.
+    """
     g = n // step
+    own = [by] if by else []
     bucket = lambda r: F.ceil(F.col(r) / step).cast("int")
-    hits = ranks.select(bucket("rank1").alias("a"), bucket("rank2").alias("b")).where((F.col("a") <= g) & (F.col("b") <= g)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    axis = ranks.sparkSession.range(1, g + 1)
-    grid = axis.select(F.col("id").cast("int").alias("a")).crossJoin(F.broadcast(axis.select(F.col("id").cast("int").alias("b"))))  # the cells are the result
-    d = grid.join(hits, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
-    along = d.withColumn("n", F.sum("n").over(Window.partitionBy("a").orderBy("b")))
-    both = along.withColumn("n", F.sum("n").over(Window.partitionBy("b").orderBy("a")))
-    return both.select((F.col("a") * step).alias("i"), (F.col("b") * step).alias("j"), F.col("n").cast("long").alias("overlap"))
+    hits = ranks.select(*own, bucket("rank1").alias("a"), bucket("rank2").alias("b")).where((F.col("a") <= g) & (F.col("b") <= g)).groupBy(*own, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    axis = F.sequence(F.lit(1), F.lit(g))
+    grid = (values if by else ranks.sparkSession.range(1).select()).withColumn("a", F.explode(axis)).withColumn("b", F.explode(axis))  # the cells are the result
+    d = grid.join(hits, [*own, "a", "b"], "left").select(*own, "a", "b", F.coalesce("n", F.lit(0)).alias("n"))
+    along = d.withColumn("n", F.sum("n").over(Window.partitionBy(*own, "a").orderBy("b")))
+    both = along.withColumn("n", F.sum("n").over(Window.partitionBy(*own, "b").orderBy("a")))
+    return both.select(*own, (F.col("a") * step).alias("i"), (F.col("b") * step).alias("j"), F.col("n").cast("long").alias("overlap"))
+
+
+def metrics(cells: DataFrame, n: int, log_base: float) -> DataFrame:
+    """``cells`` (i, j, overlap, ..) with sign, log_p and metric: each cell of the grid tabulates its distribution once for all its rows."""
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in cells.dtypes), "sign int, log_p double"])
+
+    def run(key, pdf):
+        log_p, sign = kernels.hypergeometric_tails(pdf["overlap"].to_numpy(), int(key[1]), int(key[0]), n)
+        return pdf.assign(sign=sign.astype("int32"), log_p=log_p)
+
+    d = cells.groupBy("i", "j").applyInPandas(run, schema)
+    return d.withColumn("metric", F.col("sign") * F.abs("log_p") / float(np.log(log_base)))
 
 
 def run_rrho(list1: DataFrame, list2: DataFrame, stepsize: int | None = None, log_base: float = 10.0, item: str = "item", value: str = "value") -> Rrho:
@@ -129,59 +149,63 @@ def correct_pvalues(r: Rrho, method: str = "BY") -> DataFrame:
     return p_adjust(r.cells, "pvalue", method, "pvalue_adj")
 
 
-def _statistic(metric: np.ndarray, up1: np.ndarray, up2: np.ndarray, quadrants) -> float:
+def _strongest(cells: DataFrame, quadrants, by: Sequence[str] = ()) -> DataFrame:
+    """([by,] statistic): the largest |metric|, or the sum of the quadrants' largest metrics of their sign."""
     if quadrants == "all":
-        return float(np.nanmax(np.abs(metric)))
+        return cells.groupBy(*by).agg(F.max(F.abs("metric")).alias("statistic"))
     sign = 1 if all(q in ("up-up", "down-down") for q in quadrants) else -1
-    out = 0.0
-    for q in quadrants:
-        a, b = _quadrant(q)
-        part = metric[np.ix_(up1 if a == "up" else ~up1, up2 if b == "up" else ~up2)]
-        out += float(np.nanmax(part * sign)) if part.size else 0.0
-    return out
+    best = cells.where(F.concat_ws("-", "dir1", "dir2").isin(*quadrants)).groupBy(*by, "dir1", "dir2").agg(F.max(F.col("metric") * sign).alias("m"))
+    return best.groupBy(*by).agg(F.sum("m").alias("statistic"))
 
 
-def _grid_metric(rank2_of_1: np.ndarray, n: int, step: int, log_base: float, lf) -> np.ndarray:
-    """Metric matrix for items given as list 2's rank of list 1's items in order."""
-    g = n // step
-    a, b = np.arange(n) // step, (rank2_of_1 - 1) // step
-    ok = (a < g) & (b < g)
-    count = np.zeros((g, g), np.int64)
-    np.add.at(count, (a[ok], b[ok]), 1)
-    count = count.cumsum(0).cumsum(1)
-    i, j = np.meshgrid(np.arange(1, g + 1) * step, np.arange(1, g + 1) * step, indexing="ij")
-    log_p, sign = kernels.hypergeometric_log_p(count.ravel(), j.ravel(), i.ravel(), n, lf)
-    return (sign * np.abs(log_p) / np.log(log_base)).reshape(g, g)
+def permuted_ranks(r: Rrho, perm: int, seed: int = 1, rows_per_task: int = 50_000) -> DataFrame:
+    """(perm_id, rank1, rank2): list 1 against ``perm`` random orders of list 2.
+
+    A permutation orders the items by the draws of (seed, permutation, item).
+    Draws are uniform, so equal slices of [0, 1) hold about ``rows_per_task``
+    items each; a slice is ordered by itself and starts where the counts of
+    those below end.
+    """
+    slices = max(1, -(-r.n // rows_per_task))
+    d = spread(r.ranks.select("item", F.col("rank1")), "item").withColumn("perm_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(perm - 1).cast("long"))))
+    d = d.withColumn("u", uniform(seed, F.col("perm_id"), F.col("item"))).withColumn("slice", F.floor(F.col("u") * slices).cast("int"))
+    place = F.row_number().over(Window.partitionBy("perm_id", "slice").orderBy("u", "item"))
+    if slices == 1:
+        return d.select("perm_id", "rank1", place.alias("rank2"))
+    n = d.groupBy("perm_id", "slice").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("perm_id").orderBy("slice")
+    before = n.select("perm_id", "slice", (F.sum("n").over(upto) - F.col("n")).alias("before"))
+    d = d.withColumn("place", place).join(before, ["perm_id", "slice"])
+    return d.select("perm_id", "rank1", (F.col("place") + F.col("before")).alias("rank2"))
 
 
 def permutation_pvalue(r: Rrho, perm: int = 200, quadrants=("up-up", "down-down"), seed: int = 1) -> dict:
-    """{statistic, pvalue, permuted}: sum of the quadrants' maxima against ``perm`` random orders.
+    """{statistic, pvalue, permuted} of :func:`permutation_test`, the first two as numbers."""
+    summary, permuted = permutation_test(r, perm, quadrants, seed)
+    row = summary.first()
+    return {"statistic": row["statistic"], "pvalue": row["pvalue"], "permuted": permuted}
+
+
+def permutation_test(r: Rrho, perm: int = 200, quadrants=("up-up", "down-down"), seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """((statistic, pvalue), (perm_id, statistic)): sum of the quadrants' maxima against ``perm`` random orders.
 
-    ``permuted`` is a DataFrame (perm_id, statistic).  One task a permutation,
-    seeded by its number; p = 1 - min(ecdf(statistic) + 1 / perm, 1).
+    Directions of a cell stay those of the lists at its ranks; p = 1 -
+    min(ecdf(statistic) + 1 / perm, 1).  Both tables are lazy and nothing
+    passes the driver.
     """
-    n, step, base = r.n, r.step, r.log_base
+    if quadrants != "all":
+        for q in quadrants:
+            _quadrant(q)
     if quadrants != "all" and not (all(q in ("up-up", "down-down") for q in quadrants) or all(q in ("up-down", "down-up") for q in quadrants)):
         raise ValueError("quadrants must be all, or agree in direction, or differ in direction")
-    v = r.ranks.orderBy("rank1").select("rank2", "value1").toPandas()  # two numbers an item
-    v2 = r.ranks.orderBy("rank2").select("value2").toPandas()["value2"].to_numpy()
-    at = np.arange(step, n + 1, step) - 1
-    up1, up2 = v["value1"].to_numpy()[at] > 0, v2[at] > 0
-    lf = kernels.LogFactorial(n)
-    actual = _statistic(_grid_metric(v["rank2"].to_numpy(np.int64), n, step, base, lf), up1, up2, quadrants)
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for p in b["id"]:
-                rng = np.random.Generator(np.random.Philox([seed, int(p)]))
-                out.append(_statistic(_grid_metric(rng.permutation(n) + 1, n, step, base, kernels.LogFactorial(n)), up1, up2, quadrants))
-            yield pd.DataFrame({"perm_id": b["id"], "statistic": out})
-
-    spark = r.ranks.sparkSession
-    permuted = spark.range(0, perm, numPartitions=min(perm, 64)).mapInPandas(run, "perm_id long, statistic double")
-    below = permuted.agg(F.avg((F.col("statistic") <= actual).cast("double"))).first()[0]
-    return {"statistic": actual, "pvalue": 1 - min(below + 1 / perm, 1.0), "permuted": permuted}
+    ids = r.ranks.sparkSession.range(perm).select(F.col("id").alias("perm_id"))
+    cells = metrics(overlap_counts(permuted_ranks(r, perm, seed), r.n, r.step, "perm_id", ids), r.n, r.log_base)
+    permuted = _strongest(cells.join(r.cells.select("i", "j", "dir1", "dir2"), ["i", "j"]), quadrants, ["perm_id"])
+    # a quadrant without cells adds nothing; without any, every statistic is 0
+    permuted = ids.join(permuted, "perm_id", "left").select("perm_id", F.coalesce("statistic", F.lit(0.0)).alias("statistic"))
+    actual = _strongest(r.cells, quadrants).select(F.coalesce("statistic", F.lit(0.0)).alias("actual"))
+    below = permuted.crossJoin(F.broadcast(actual)).agg(F.first("actual").alias("statistic"), F.avg((F.col("statistic") <= F.col("actual") + 1e-9).cast("double")).alias("below"))  # one row
+    return below.select("statistic", (1 - F.least(F.col("below") + 1 / perm, F.lit(1.0))).alias("pvalue")), permuted
 
 
 def heatmap(r: Rrho) -> DataFrame:
@@ -194,4 +218,5 @@ def dots(r: Rrho, type: str = "normal") -> DataFrame:
     check.choice(type, ("normal", "rank"), "type")
     if type == "normal":
         return r.ranks.select("item", F.col("value1").alias("list1"), F.col("value2").alias("list2"))
-    return r.ranks.select("item", average_rank("value1").alias("list1"), average_rank("value2").alias("list2"))
+    d = average_ranks(average_ranks(r.ranks, "value1", "list1"), "value2", "list2")
+    return d.select("item", "list1", "list2")

@@ -1,14 +1,14 @@
-"""Single-sample enrichment: scores in closed form by windows and joins, permutations in Arrow batches."""
+"""Single-sample enrichment: scores in closed form and permutations by windows and joins."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import _validate as check
 from ..functions.columns import average_rank
+from ..functions.draws import spread, uniform
+from .scan import ordered_scan
 
 
 def normalize(expr: DataFrame, how: str = "rank") -> DataFrame:
@@ -50,10 +50,15 @@ def enrichment_scores(expr: DataFrame, gene_sets: DataFrame, weight: float = 0.7
 def run_ssgsea(expr: DataFrame, gene_sets: DataFrame, perm: int = 0, sample_norm_type: str = "rank", weight: float = 0.75, min_sz: int = 1, max_sz: int | None = None, pvalue_basis: str = "nes", seed: int = 1) -> DataFrame:
     """(set, sample, ES[, NES, pvalue]).
 
-    With ``perm`` the members' places are redrawn for each set and sample;
-    NES is the score over the mean of permuted scores of its sign.  The
-    p-value compares permuted scores with NES ("nes") or with ES ("es").  One
-    group holds one sample's values: as many numbers as there are genes.
+    With ``perm`` the members' places are redrawn; NES is the score over the
+    mean of permuted scores of its sign.  The p-value compares permuted scores
+    with NES ("nes") or with ES ("es").
+
+    Permutation p orders the places of a list by the draws of (seed, p,
+    place); a set of k members takes the first k places that its sample has.
+    So one order serves all sets and samples, and a sample that lacks the last
+    few places looks that much further: of each order only the first max(k) +
+    (longest - shortest list) places are ever needed.
     """
     check.choice(pvalue_basis, ("nes", "es"), "pvalue_basis")
     e = normalize(expr, sample_norm_type)
@@ -63,32 +68,40 @@ def run_ssgsea(expr: DataFrame, gene_sets: DataFrame, perm: int = 0, sample_norm
         return es
     size = sets.groupBy("set").agg(F.count(F.lit(1)).alias("k"))
     todo = es.join(size, "set")
-
-    def run(key, scores: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
-        import zlib
-
-        if not len(scores) or not len(values):
-            return pd.DataFrame(columns=["set", "sample", "ES", "NES", "pvalue"])
-        v = np.abs(np.sort(values["value"].to_numpy(float))[::-1]) ** weight
-        n = len(v)
-        back = np.arange(n, 0, -1.0)
-        rows = []
-        for s, obs, k in zip(scores["set"], scores["ES"], scores["k"], strict=True):
-            rng = np.random.Generator(np.random.Philox([seed, zlib.crc32(f"{key[0]}\0{s}".encode())]))
-            null = np.empty(perm)
-            for i in range(perm):
-                idx = rng.choice(n, int(k), replace=False)
-                null[i] = (v[idx] * back[idx]).sum() / v[idx].sum() - (n * (n + 1) / 2 - back[idx].sum()) / (n - k) if n > k else np.nan
-            side = null[null >= 0] if obs >= 0 else null[null < 0]
-            nes = obs / abs(side.mean()) if len(side) and obs == obs else np.nan
-            t = nes if pvalue_basis == "nes" else obs
-            p = np.nan if nes != nes else ((null >= t).sum() + 1) / ((null >= 0).sum() + 1) if nes >= 0 else ((null <= t).sum() + 1) / ((null < 0).sum() + 1)
-            rows.append((s, key[0], obs, nes, p))
-        return pd.DataFrame(rows, columns=["set", "sample", "ES", "NES", "pvalue"])
-
-    kind = {**dict(es.dtypes)}
-    values = e.select("gene", F.col("sample").alias("_sample"), "value")
-    return todo.groupBy("sample").cogroup(values.groupBy("_sample")).applyInPandas(run, f"set {kind['set']}, sample {kind['sample']}, ES double, NES double, pvalue double")
+    null = null_scores(e, size.select("k").distinct(), perm, weight, seed)
+    # three passes over (set, sample, permutation): the mean of each side, then the counts beyond
+    both = todo.join(null, ["sample", "k"])
+    up = F.col("null") >= 0
+    side = both.groupBy("set", "sample").agg(F.avg(F.when(up == (F.col("ES") >= 0), F.col("null"))).alias("mean"), F.count(F.when(up, 1)).alias("n_up"), F.count(F.when(~up, 1)).alias("n_down"))
+    scored = todo.join(side, ["set", "sample"], "left").withColumn("NES", F.col("ES") / F.nullif(F.abs("mean"), F.lit(0.0)))
+    beyond = scored.join(null, ["sample", "k"]).groupBy("set", "sample").agg(F.count(F.when(F.when(F.col("NES") >= 0, F.col("null") >= _basis(pvalue_basis)).otherwise(F.col("null") <= _basis(pvalue_basis)), 1)).alias("n"))
+    out = scored.join(beyond, ["set", "sample"], "left")
+    p = (F.coalesce("n", F.lit(0)) + 1) / (F.when(F.col("NES") >= 0, F.col("n_up")).otherwise(F.col("n_down")) + 1)
+    return out.select("set", "sample", "ES", "NES", F.when(F.col("NES").isNotNull(), p).alias("pvalue"))
+
+
+def _basis(name: str) -> Column:
+    return F.col("NES" if name == "nes" else "ES")
+
+
+def null_scores(expr: DataFrame, sizes: DataFrame, perm: int, weight: float = 0.75, seed: int = 1) -> DataFrame:
+    """(sample, k, perm_id, null): scores of random sets of each size, from one order of places a permutation."""
+    bounds = expr.groupBy("sample").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("longest"), F.min("n").alias("shortest")).crossJoin(sizes.agg(F.max("k").alias("k"))).first()  # one row
+    if bounds["longest"] is None or bounds["k"] is None:
+        return expr.select("sample", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("perm_id"), F.lit(0.0).alias("null")).limit(0)
+    longest, most = bounds["longest"], bounds["k"] + bounds["longest"] - bounds["shortest"]
+    places = spread(expr.sparkSession.range(perm).select(F.col("id").alias("perm_id")), "perm_id").withColumn("pos", F.explode(F.sequence(F.lit(1), F.lit(longest))))
+    places = places.withColumn("u", uniform(seed, F.col("perm_id"), F.col("pos")))
+    order = Window.partitionBy("perm_id").orderBy("u", "pos")
+    first = places.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most).select("perm_id", "pos", "i")
+    w, back = F.pow(F.abs(F.col("value")), F.lit(weight)), F.col("n") - F.col("pos") + 1
+    values = ranked(expr).select("sample", "pos", "n", w.alias("w"), back.cast("double").alias("back"))
+    d = first.join(values, "pos")
+    own = Window.partitionBy("sample", "perm_id").orderBy("i")
+    upto = own.rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({"k": F.row_number().over(own).cast("long"), "swb": F.sum(F.col("w") * F.col("back")).over(upto), "sw": F.sum("w").over(upto), "sb": F.sum("back").over(upto)})
+    score = F.col("swb") / F.nullif(F.col("sw"), F.lit(0.0)) - (F.col("n") * (F.col("n") + 1) / 2 - F.col("sb")) / F.nullif(F.col("n") - F.col("k"), F.lit(0))
+    return d.join(F.broadcast(sizes), "k").select("sample", "k", "perm_id", score.alias("null"))  # as many rows as there are set sizes
 
 
 def running_score(values: DataFrame, members: DataFrame, exponent: float = 1.0) -> DataFrame:
@@ -97,15 +110,11 @@ def running_score(values: DataFrame, members: DataFrame, exponent: float = 1.0)
     ``values`` is (item, value), ``members`` has item.  colour: 1 to 10 for the
     bar under the curve, by the share of members still to come.
     """
-    w = Window.orderBy(F.desc("value"), "item")
     d = values.join(members.select("item").distinct().withColumn("_m", F.lit(1)), "item", "left").withColumn("position", F.coalesce("_m", F.lit(0)))
-    d = d.withColumn("x", F.row_number().over(w))
-    tot = Window.partitionBy()
     hit = F.when(F.col("position") == 1, F.pow(F.abs("value"), F.lit(exponent))).otherwise(0.0)
     miss = F.when(F.col("position") == 0, 1.0).otherwise(0.0)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    score = F.sum(hit).over(run) / F.sum(hit).over(tot) - F.sum(miss).over(run) / F.sum(miss).over(tot)
-    n_members = F.sum("position").over(tot)
-    left = F.sum("position").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    colour = F.width_bucket(left.cast("double"), F.lit(1.0), F.greatest(n_members.cast("double"), F.lit(2.0)), F.lit(8))
-    return d.select("item", "value", "x", "position", score.alias("running_score"), (F.when(left == n_members, 9).otherwise(colour) + 1).cast("int").alias("colour"))
+    d = ordered_scan(d, [-F.col("value"), F.col("item")], {"_hit": hit, "_miss": miss, "_in": F.col("position").cast("long")}, place="x")
+    score = F.try_divide(F.col("_hit"), F.col("_hit_total")) - F.try_divide(F.col("_miss"), F.col("_miss_total"))
+    left = F.col("_in_total") - F.col("_in") + F.col("position")
+    colour = F.width_bucket(left.cast("double"), F.lit(1.0), F.greatest(F.col("_in_total").cast("double"), F.lit(2.0)), F.lit(8))
+    return d.select("item", "value", F.col("x").cast("int").alias("x"), "position", score.alias("running_score"), (F.when(left == F.col("_in_total"), 9).otherwise(colour) + 1).cast("int").alias("colour"))

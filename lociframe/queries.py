@@ -326,7 +326,7 @@ def motif_fisher(s, d):
 # -- ranks ------------------------------------------------------------------------------
 
 RANKS = f"li AS ({A.LISTS}), rk AS (SELECT item, v1, v2, ROW_NUMBER() OVER (ORDER BY v1 DESC, item) AS r1, ROW_NUMBER() OVER (ORDER BY v2 DESC, item) AS r2 FROM li), nn AS (SELECT COUNT(*) AS n, CAST(FLOOR(COUNT(*) / 20) AS BIGINT) AS step FROM li)"
-CELLS = "ce AS (SELECT a.k * step AS i, b.k * step AS j, n, (SELECT COUNT(*) FROM rk WHERE r1 <= a.k * step AND r2 <= b.k * step) AS overlap FROM nn, UNNEST(RANGE(1, 21)) AS a(k), UNNEST(RANGE(1, 21)) AS b(k))"
+CELLS = "ce AS (SELECT a.k * step AS i, b.k * step AS j, n, (SELECT COUNT(*) FROM rk WHERE r1 <= a.k * step AND r2 <= b.k * step) AS overlap FROM nn, UNNEST(RANGE(1, n // step + 1)) AS a(k), UNNEST(RANGE(1, n // step + 1)) AS b(k))"
 TAIL = f"""ta AS (SELECT i, j, n, overlap, overlap > CAST(j AS DOUBLE) / n * i AS over_, UNNEST(CASE WHEN overlap > CAST(j AS DOUBLE) / n * i THEN RANGE(overlap, LEAST(i, j) + 1) ELSE RANGE(GREATEST(0, i + j - n), overlap + 1) END) AS x FROM ce),
  tl AS (SELECT i, j, overlap, over_, {LOGC("j", "x")} + {LOGC("n - j", "i - x")} - {LOGC("n", "i")} AS l FROM ta WHERE x <= j AND i - x <= n - j),
  tm AS (SELECT i, j, MAX(l) AS m FROM tl GROUP BY i, j),
@@ -382,23 +382,35 @@ def rrho_dots(s, d):
     return rrho.dots(rrho.Rrho(rrho.shared_ranks(*lists(s, d)), None, 0, 1, 10.0), "rank")
 
 
-@query(f"WITH {RANKS}, {CELLS}, {TAIL} SELECT CAST(i / step AS INT) AS x, CAST(21 - j / step AS INT) AS y, ROUND(CASE WHEN over_ THEN 1 ELSE -1 END * ABS(lp) / LN(10E0), 4) AS metric FROM tp CROSS JOIN nn")
+@query(f"WITH {RANKS}, {CELLS}, {TAIL} SELECT CAST(i / step AS INT) AS x, CAST(nn.n // step + 1 - j / step AS INT) AS y, ROUND(CASE WHEN over_ THEN 1 ELSE -1 END * ABS(lp) / LN(10E0), 4) AS metric FROM tp CROSS JOIN nn")
 def rrho_heatmap(s, d):
-    a, b = lists(s, d)
-    n = a.count()
-    r = rrho.run_rrho(a, b, stepsize=n // 20)
-    return rrho.heatmap(r).where(F.col("x") <= 20).withColumn("y", F.col("y") - (n // (n // 20) - 20)).where("y >= 1").selectExpr("x", "y", "round(metric, 4) as metric")
+    return rrho.heatmap(overlap(s, d)).selectExpr("x", "y", "round(metric, 4) as metric")
 
 
-@query()
+PERMUTED = f"""pr AS (SELECT perm, r1, ROW_NUMBER() OVER (PARTITION BY perm ORDER BY u, item) AS r2 FROM (SELECT perm, item, r1, {uniform_sql(1, "perm", "item")} AS u FROM rk, RANGE(200) AS a(perm)) t),
+ pc AS (SELECT perm, CEIL(r1 / CAST(step AS DOUBLE)) AS a, CEIL(r2 / CAST(step AS DOUBLE)) AS b, COUNT(*) AS c FROM pr CROSS JOIN nn GROUP BY 1, 2, 3),
+ pe AS (SELECT p.perm, ce.i, ce.j, ce.n, COALESCE(pc.c, 0) AS c FROM ce CROSS JOIN RANGE(200) AS p(perm) CROSS JOIN (SELECT step FROM nn) s LEFT JOIN pc ON pc.perm = p.perm AND pc.a * s.step = ce.i AND pc.b * s.step = ce.j),
+ pf AS (SELECT perm, i, j, n, SUM(c) OVER (PARTITION BY perm, i ORDER BY j) AS c FROM pe),
+ pg AS (SELECT perm, i, j, n, CAST(SUM(c) OVER (PARTITION BY perm, j ORDER BY i) AS BIGINT) AS c FROM pf),
+ hx AS (SELECT i, j, n, UNNEST(RANGE(GREATEST(0, i + j - n), LEAST(i, j) + 1)) AS x FROM ce),
+ hl AS (SELECT i, j, x, {LOGC("j", "x")} + {LOGC("n - j", "i - x")} - {LOGC("n", "i")} AS l FROM hx),
+ hm AS (SELECT *, MAX(l) OVER (PARTITION BY i, j) AS m FROM hl),
+ hc AS (SELECT i, j, x, m, SUM(EXP(l - m)) OVER (PARTITION BY i, j ORDER BY x) AS lo, SUM(EXP(l - m)) OVER (PARTITION BY i, j ORDER BY x DESC) AS hi FROM hm),
+ px AS (SELECT perm, pg.i, pg.j, CASE WHEN c > CAST(pg.j AS DOUBLE) / n * pg.i THEN 1 ELSE -1 END * ABS(LEAST(0E0, m + LN(CASE WHEN c > CAST(pg.j AS DOUBLE) / n * pg.i THEN hi ELSE lo END))) / LN(10E0) AS metric FROM pg JOIN hc ON hc.i = pg.i AND hc.j = pg.j AND hc.x = c),
+ dr AS (SELECT tp.i, tp.j, CASE WHEN over_ THEN 1 ELSE -1 END * ABS(lp) / LN(10E0) AS metric, CASE WHEN a.v1 <= 0 THEN 'down' ELSE 'up' END AS d1, CASE WHEN b.v2 <= 0 THEN 'down' ELSE 'up' END AS d2 FROM tp JOIN rk a ON a.r1 = tp.i JOIN rk b ON b.r2 = tp.j),
+ ps AS (SELECT perm, SUM(t) AS statistic FROM (SELECT perm, d1, MAX(px.metric) AS t FROM px JOIN dr ON px.i = dr.i AND px.j = dr.j WHERE d1 = d2 GROUP BY perm, d1) x GROUP BY perm),
+ ac AS (SELECT SUM(t) AS actual FROM (SELECT d1, MAX(metric) AS t FROM dr WHERE d1 = d2 GROUP BY d1) x)"""
+
+
+@query(f"WITH {RANKS}, {CELLS}, {TAIL}, {PERMUTED} SELECT perm AS perm_id, ROUND(statistic, 4) AS statistic FROM ps")
 def rrho_permutation(s, d):
-    return rrho.permutation_pvalue(overlap(s, d))["permuted"]
+    return rounded(rrho.permutation_test(overlap(s, d))[1], "statistic", digits=4)
 
 
-@query()
+@query(f"WITH {RANKS}, {CELLS}, {TAIL}, {PERMUTED} SELECT ROUND(ANY_VALUE(actual), 4) AS statistic, ROUND(1 - LEAST(1, AVG(CASE WHEN statistic <= actual + 1E-9 THEN 1E0 ELSE 0E0 END) + 1 / 200E0), 6) AS pvalue FROM ps CROSS JOIN ac")
 def rrho_permutation_pvalue(s, d):
-    r = rrho.permutation_pvalue(overlap(s, d))
-    return s.createDataFrame([(r["statistic"], r["pvalue"])], "statistic double, pvalue double")
+    x = rrho.permutation_test(overlap(s, d))[0]
+    return x.selectExpr("round(statistic, 4) as statistic", "round(pvalue, 6) as pvalue")
 
 
 EX = f"ex AS ({A.EXPRESSION}), gs AS ({A.GENE_SETS})"
@@ -420,9 +432,25 @@ def ssgsea_es(s, d):
     return x.selectExpr("set as gene_set", "sample", "round(ES, 4) as es")
 
 
-@query()
+@query(
+    f"""WITH {EX}, {NORM}, ps AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sample ORDER BY value DESC, gene) AS pos, COUNT(*) OVER (PARTITION BY sample) AS n FROM nm),
+ mm AS (SELECT set, sample, SUM(POW(ABS(value), 0.75) * (n - pos + 1)) AS wb, SUM(POW(ABS(value), 0.75)) AS w, SUM(n - pos + 1) AS b, COUNT(*) AS k, ANY_VALUE(n) AS n FROM ps JOIN gs ON gene = item GROUP BY set, sample),
+ es AS (SELECT set, sample, wb / w - (n * (n + 1) / 2E0 - b) / (n - k) AS es FROM mm),
+ kk AS (SELECT set, COUNT(DISTINCT item) AS k FROM gs WHERE item IN (SELECT gene FROM nm) GROUP BY set),
+ bd AS (SELECT MAX(n) AS longest, MAX(n) - MIN(n) AS spare FROM ps),
+ pl AS (SELECT perm, pos, ROW_NUMBER() OVER (PARTITION BY perm ORDER BY u, pos) AS i FROM (SELECT perm, pos, {uniform_sql(1, "perm", "pos")} AS u FROM bd, RANGE(1000) AS a(perm), UNNEST(RANGE(1, longest + 1)) AS b(pos)) t),
+ f1 AS (SELECT * FROM pl WHERE i <= (SELECT MAX(k) FROM kk) + (SELECT spare FROM bd)),
+ fj AS (SELECT sample, perm, i, POW(ABS(value), 0.75) AS w, n - ps.pos + 1 AS back, n FROM f1 JOIN ps ON ps.pos = f1.pos),
+ fc AS (SELECT sample, perm, n, ROW_NUMBER() OVER v AS k, SUM(w * back) OVER v AS swb, SUM(w) OVER v AS sw, SUM(back) OVER v AS sb FROM fj WINDOW v AS (PARTITION BY sample, perm ORDER BY i)),
+ nl AS (SELECT sample, k, swb / sw - (n * (n + 1) / 2E0 - sb) / (n - k) AS v FROM fc WHERE k IN (SELECT k FROM kk)),
+ sd AS (SELECT es.set, es.sample, es, kk.k, AVG(v) FILTER ((v >= 0) = (es >= 0)) AS m, COUNT(*) FILTER (v >= 0) AS up, COUNT(*) FILTER (v < 0) AS down FROM es JOIN kk ON es.set = kk.set LEFT JOIN nl ON nl.sample = es.sample AND nl.k = kk.k GROUP BY ALL),
+ ne AS (SELECT *, es / ABS(m) AS nes FROM sd)
+ SELECT ne.set AS gene_set, ne.sample, ROUND(es, 4) AS es, ROUND(nes, 4) AS nes, ROUND((COUNT(*) FILTER (CASE WHEN nes >= 0 THEN v >= nes ELSE v <= nes END) + 1) / CAST(CASE WHEN nes >= 0 THEN up ELSE down END + 1 AS DOUBLE), 6) AS pvalue
+ FROM ne LEFT JOIN nl ON nl.sample = ne.sample AND nl.k = ne.k GROUP BY ne.set, ne.sample, es, nes, up, down"""
+)
 def ssgsea_nes(s, d):
-    return ssgsea.run_ssgsea(A.load(s, d, A.EXPRESSION), A.load(s, d, A.GENE_SETS), perm=20)
+    x = ssgsea.run_ssgsea(A.load(s, d, A.EXPRESSION), A.load(s, d, A.GENE_SETS), perm=1000)
+    return x.selectExpr("set as gene_set", "sample", "round(ES, 4) as es", "round(NES, 4) as nes", "round(pvalue, 6) as pvalue")
 
 
 @query(f"WITH {RANKS}, gs AS ({A.GENE_SETS}), me AS (SELECT li.item, v1, CASE WHEN gs.item IS NULL THEN 0 ELSE 1 END AS m FROM li LEFT JOIN gs ON gs.item = li.item AND gs.set = 'Brand#11'), hs AS (SELECT *, CASE WHEN m = 1 THEN ABS(v1) ELSE 0 END AS h FROM me) SELECT item, m AS in_set, CAST(ROW_NUMBER() OVER w AS BIGINT) AS x, ROUND(SUM(h) OVER w / SUM(h) OVER () - CAST(SUM(1 - m) OVER w AS DOUBLE) / SUM(1 - m) OVER (), 6) AS running_score FROM hs WINDOW w AS (ORDER BY v1 DESC, item ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import _validate as check
+from ..operators.scan import ordered_scan
 
 
 def bind_level(rank, strong: float = 0.5, weak: float = 2.0):
@@ -20,9 +21,12 @@ def sequence_runs(df: DataFrame, order: str, peptide: str, seq_id: str) -> DataF
     A new one begins where the peptide is longer than the one before or the
     sequence id differs.  Rows are in the order of ``order``.
     """
-    w = Window.orderBy(order)
-    new = (F.length(peptide) > F.lag(F.length(peptide)).over(w)) | (F.col(seq_id) != F.lag(seq_id).over(w))
-    return df.withColumn("identifiers", (F.sum(F.when(new, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1).cast("int"))
+    d = ordered_scan(df.withColumns({"_len": F.length(peptide), "_of": F.col(seq_id)}), [F.col(order)], {"_runs": _begins("_len", "_of")}, previous=("_len", "_of"))
+    return d.withColumn("identifiers", (F.col("_runs") + 1).cast("int")).drop("_len", "_of", "prev__len", "prev__of", "place", "_runs", "_runs_total")
+
+
+def _begins(length: str, of: str):
+    return F.when((F.col(length) > F.col(f"prev_{length}")) | (F.col(of) != F.col(f"prev_{of}")), 1).otherwise(0).cast("long")
 
 
 def long_predictions(df: DataFrame, hla: list[str], measures: list[str], ids: list[str], strong: float = 0.5, weak: float = 2.0) -> DataFrame:
