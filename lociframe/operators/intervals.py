@@ -14,6 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import _validate as check
+from .sweep import sweep_join
+
+MANY = 256  # ranges of a key, beyond which every point would be compared with too many
 
 
 def _on(left: str, right: str, keys: Sequence[tuple[str, str]]) -> Column:
@@ -93,7 +96,15 @@ def overlaps_within(df: DataFrame, keys: Sequence[str], start: str = "start", en
     return df.withColumn("_reach", F.max(end).over(w)).where(F.col("_reach") >= F.col(start)).drop("_reach")
 
 
-def identify_mut_cn(mut: DataFrame, cnv: DataFrame, on_patient=None, on_sample=None, on_chr="chr", mut_pos: str = "pos", start_field: str = "start", end_field: str = "end", nomatch: str | None = None, on_multi: str = "error", mut_id: str | None = None, bin_width: int | None = None) -> DataFrame:
+def _crowding(ranges: DataFrame, keys: Sequence[str], start: str, end: str) -> tuple[bool, int]:
+    """(do ranges of one key overlap, how many has a key at most), in one pass."""
+    w = Window.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    got = ranges.withColumns({"_over": reach >= F.col(start), "_n": F.row_number().over(w)}).agg(F.max(F.coalesce("_over", F.lit(False))), F.max("_n")).first()
+    return bool(got[0]), got[1] or 0
+
+
+def identify_mut_cn(mut: DataFrame, cnv: DataFrame, on_patient=None, on_sample=None, on_chr="chr", mut_pos: str = "pos", start_field: str = "start", end_field: str = "end", nomatch: str | None = None, on_multi: str = "error", mut_id: str | None = None, bin_width: int | None = None, sweep: bool | None = None) -> DataFrame:
     """Each mutation with the copy-number segment that holds it.
 
     Keys are names or (mutation name, segment name) pairs.  Mutations without
@@ -105,14 +116,19 @@ def identify_mut_cn(mut: DataFrame, cnv: DataFrame, on_patient=None, on_sample=N
 
     Only where segments of one key overlap can a mutation have several: that
     is looked up once in ``cnv``, the small side, and without overlaps the
-    join is all there is.
+    join is all there is: a hash join on the keys, or where a key has more
+    than ``MANY`` segments a sorted sweep (``sweep`` says which; default: by
+    that count, read with the overlaps).
     """
     check.choice(on_multi, ("error", "null", "keep"), "on_multi")
     keys = [k for k in (check.key_pair(on_patient), check.key_pair(on_sample), check.key_pair(on_chr)) if k]
     how = "inner" if nomatch is None and on_multi != "null" else "left"
     group = [b for _, b in keys]
     bounded = cnv.select(*dict.fromkeys([*group, start_field, end_field])).dropna()
-    if on_multi == "keep" or not overlaps_within(bounded, group, start_field, end_field).take(1):
+    overlapping, most = _crowding(bounded, group, start_field, end_field)
+    if not overlapping and not bin_width and (most > MANY if sweep is None else sweep):
+        return sweep_join(mut, cnv, keys, mut_pos, start_field, end_field, "inner" if nomatch is None else "left")
+    if on_multi == "keep" or not overlapping:
         return point_join(mut, cnv, keys, mut_pos, start_field, end_field, "inner" if nomatch is None else "left", bin_width)
     row = mut_id or "_row"
     m = mut if mut_id else mut.withColumn("_row", F.monotonically_increasing_id())

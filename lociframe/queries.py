@@ -14,6 +14,7 @@ from .functions.draws import uniform_sql
 from .operators import arm, ccf, decomposition, ids, intervals, nmf_consensus, rrho, snv, ssgsea
 from .operators.cnv_signature import cnv_classes, cnv_signature
 from .operators.subclone import subclone_cn
+from .operators.sweep import sweep_join
 from .plans.ccf_pipeline import prepare_pyclone, run_ccf
 from .sources import absolute_io, netmhc
 
@@ -63,6 +64,11 @@ def identify_mut_cn_binned(s, d):
     return intervals.identify_mut_cn(*mut_seg(s, d), bin_width=100_000, **ON).select("mut_id", "startpos")
 
 
+@query(f"WITH {MUT}, {SEG} SELECT mut_id, mut.sample AS sample, mut.chr AS chr, pos, seg.startpos AS startpos, seg.endpos AS endpos FROM mut LEFT JOIN seg ON mut.sample = seg.sample AND mut.chr = seg.chr AND seg.startpos <= mut.pos AND seg.endpos >= mut.pos")
+def identify_mut_cn_swept(s, d):
+    return sweep_join(*mut_seg(s, d), [("sample", "sample"), ("chr", "chr")], "pos", "startpos", "endpos", "left", rows_per_cell=2000).select("mut_id", "sample", "chr", "pos", "startpos", "endpos")
+
+
 @query(f"WITH {MUT}, {SEG}, {JOINED} SELECT mut_id, ROUND(LEAST(purity / (2 * (1 - purity) + purity * (nAraw + nBraw)), 1.0), 6) AS exp_vaf, ROUND(CAST(alt_counts AS DOUBLE) / (alt_counts + ref_counts), 6) AS obs_vaf, ROUND(CAST(alt_counts AS DOUBLE) / (alt_counts + ref_counts) / purity * (purity * (nAraw + nBraw) + 2 * (1 - purity)), 6) AS mut_copies FROM jm")
 def ccf_observed(s, d):
     j = intervals.identify_mut_cn(*mut_seg(s, d), **ON).withColumnsRenamed({"nAraw": "major_raw", "nBraw": "minor_raw"}).withColumn("normal_cn", F.lit(2))
