@@ -44,8 +44,16 @@ SELECT CAST(l_partkey AS STRING) AS gene, CONCAT('S', CAST(l_suppkey % 10 AS STR
 FROM {lineitem} GROUP BY l_partkey, l_suppkey % 10"""
 
 DENSE_EXPRESSION = """
-SELECT CAST(l_suppkey AS STRING) AS gene, CONCAT('L', CAST(l_linenumber AS STRING)) AS sample, SUM(l_quantity) AS value
-FROM {lineitem} WHERE l_linenumber <= 3 GROUP BY l_suppkey, l_linenumber"""
+SELECT g.gene, s.sample, COALESCE(v.value, 0E0) AS value
+FROM (SELECT CAST(s_suppkey AS STRING) AS gene FROM {supplier}) g CROSS JOIN (SELECT DISTINCT CONCAT('L', CAST(l_linenumber AS STRING)) AS sample FROM {lineitem}) s
+LEFT JOIN (SELECT CAST(l_suppkey AS STRING) AS gene, CONCAT('L', CAST(l_linenumber AS STRING)) AS sample, SUM(l_quantity) AS value FROM {lineitem} GROUP BY l_suppkey, l_linenumber) v
+  ON v.gene = g.gene AND v.sample = s.sample"""
+
+CELL_TYPES = """
+SELECT g.gene, c.cell_type, COALESCE(v.value, 0E0) AS value
+FROM (SELECT CAST(s_suppkey AS STRING) AS gene FROM {supplier}) g CROSS JOIN (SELECT DISTINCT CONCAT('c', l_returnflag, l_linestatus) AS cell_type FROM {lineitem}) c
+LEFT JOIN (SELECT CAST(l_suppkey AS STRING) AS gene, CONCAT('c', l_returnflag, l_linestatus) AS cell_type, SUM(l_extendedprice) AS value FROM {lineitem} GROUP BY l_suppkey, l_returnflag, l_linestatus) v
+  ON v.gene = g.gene AND v.cell_type = c.cell_type"""
 
 GENE_SETS = "SELECT p_brand AS set, CAST(p_partkey AS STRING) AS item FROM {part}"
 

@@ -116,41 +116,6 @@ def highest_density_rows(pmf: np.ndarray, grid: np.ndarray, alpha: float = 0.05,
     return out
 
 
-def descending_or_ascending(a: int, b: int) -> range:
-    """a, a+1, .. b, or a, a-1, .. b if b < a."""
-    return range(a, b + 1) if b >= a else range(a, b - 1, -1)
-
-
-def best_amplified_cn(mut_cn: float, pairs: list[tuple[float, float, float, float]], alt: float, check_excess: bool) -> tuple[float, float]:
-    """(chromosomes that bear the mutation, copy number to divide by).
-
-    ``pairs`` holds (copies in state 1, copies in state 2, fraction 1,
-    fraction 2) of each allele split; candidates j * f1 + k * f2 replace 1 if
-    they bring mut_cn / candidate strictly nearer to one.
-    """
-    best, best_err, tried = 1.0, mut_cn - 1.0, [1.0]
-    for a, b, fa, fb in pairs:
-        if any(v is None or v != v for v in (a, b, fa, fb)):
-            continue
-        high, low = max(a, b), min(a, b)
-        f_high, f_low = (fb, fa) if a < b else (fa, fb)
-        for j in range(1, int(high) + 1):
-            for k in descending_or_ascending(j - 1, min(j, int(low))):
-                cn = j * f_high + k * f_low
-                err = abs(mut_cn / cn - 1) if cn else math.inf
-                if err < best_err:
-                    best, best_err = cn, err
-                    tried.append(cn)
-    divide = best
-    if check_excess and mut_cn / best < 1 and best > 1:
-        total = float(np.round(alt / (mut_cn / best)))
-        p = float(prop_test_p(alt / 2, total, 0.5))
-        others = [c for c in tried if c != best]
-        if p < 0.05 and others:
-            divide = max(others)
-    return best, divide
-
-
 def hypergeometric_log_p(count, m, k, n: int, lf: LogFactorial):
     """(log probability, sign) of an overlap ``count`` of a set of m and one of k out of n.
 

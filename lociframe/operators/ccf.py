@@ -1,34 +1,25 @@
 """Cancer-cell fractions: phylogenetic, absolute and bootstrap.
 
-Everything row-local is a Column expression; only the 100-point likelihood
-grid, the normal tail and the search over amplified states are Arrow kernels.
+Joins, medians and p-value correction are DataFrame operations; what is local
+to a row and needs a normal tail, a likelihood grid or the search over
+amplified states is one Arrow kernel, in numpy over whole batches.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import _validate as check
-from ..functions import kernels
+from .._shared import written
+from ..functions import kernels, phylo
 from ..functions.draws import spread, uniform
 from ..functions.columns import expected_vaf, is_indel, mutation_copies, p_adjust, proportion_ci, trim
 
-GRID = np.linspace(0.01, 1.0, 100)
-
-
 def _abs_ccf(alt: pd.Series, ref: pd.Series, total: pd.Series, purity: pd.Series, normal: pd.Series) -> pd.DataFrame:
-    a, r, t, p, n = (s.to_numpy(float) for s in (alt, ref, total, purity, normal))
-    out = np.full((len(a), 5), np.nan)
-    base = n * (1 - p) + p * t
-    ok = np.flatnonzero(~np.isnan(a + r + t + p + n) & (a + r > 0) & (base != 0))
-    for at in range(0, len(ok), 4096):  # rows x 100 candidates at a time
-        k = ok[at : at + 4096]
-        vaf = np.minimum(p[k, None] * GRID[None, :] / base[k, None], 1.0)
-        out[k] = kernels.highest_density_rows(kernels.binomial_pmf_rows(a[k], (a + r)[k], vaf), GRID)
+    out = phylo.abs_ccf_rows(*(s.to_numpy(float) for s in (alt, ref, total, purity, normal)))
     return pd.DataFrame(out, columns=["lower", "est", "higher", "prob_subclonal", "prob_clonal"])
 
 
@@ -53,24 +44,6 @@ def prop_test_p(x: Column, n: Column, p: Column, alternative: str = "two-sided")
     return F.when(~F.isnan(v), v)
 
 
-def _amplified(cn: pd.Series, alt: pd.Series, excess: pd.Series, *pairs: pd.Series) -> pd.DataFrame:
-    rows = []
-    for c, a, e, *p in zip(cn, alt, excess, *pairs, strict=True):
-        if c != c:
-            rows.append((np.nan, np.nan))
-        else:
-            rows.append(kernels.best_amplified_cn(c, [tuple(p[i : i + 4]) for i in range(0, len(p), 4)], a, bool(e)))
-    return pd.DataFrame(rows, columns=["bearing", "divide"])
-
-
-def best_loss_cn(a, b, c, d, fa, fb, fc, fd, copies) -> Column:
-    """Of 1 and the fractions that keep more copies of either allele, the one that brings copies / candidate nearest to 1."""
-    x, y = F.when(a > b, fa).when(a < b, fb), F.when(c > d, fc).when(c < d, fd)
-    far = lambda f: F.abs(copies / F.when(f != 0, f) - 1)
-    d1, dx, dy = F.abs(copies - 1), F.coalesce(far(x), F.lit(float("inf"))), F.coalesce(far(y), F.lit(float("inf")))
-    return F.when((d1 <= dx) & (d1 <= dy), F.lit(1.0)).when(dx <= dy, x).otherwise(y)
-
-
 def observed(d: DataFrame) -> DataFrame:
     """expVAF, obsVAF and mutCopyNum from counts, purity and raw copies."""
     total = F.col("major_raw") + F.col("minor_raw")
@@ -89,67 +62,22 @@ def phylo_ccf(d: DataFrame, patient_field: str | None = None, sample_field: str
     copies everywhere.
     """
     check.columns(d, ["alt_counts", "ref_counts", "purity", "major_raw", "minor_raw", "normal_cn", *[f"frac{s}" for s in "ABCD"]], "data")
-    total, alt, depth = F.col("major_raw") + F.col("minor_raw"), F.col("alt_counts"), F.col("alt_counts") + F.col("ref_counts")
-    d = observed(d)
-    lo, hi = proportion_ci(alt, depth, trim(F.col("expVAF")))
-    copies = lambda v: mutation_copies(v, "purity", total, "normal_cn")
-    d = d.withColumn("_abs", abs_ccf("alt_counts", "ref_counts", total, "purity", "normal_cn"))
-    d = d.withColumns(
-        {
-            "absCCF": F.col("_abs.est"),
-            "absCCF_lower": F.col("_abs.lower"),
-            "absCCF_higher": F.col("_abs.higher"),
-            "phyloCCF": F.col("mutCopyNum"),
-            "phyloCCF_lower": copies(lo),
-            "phyloCCF_higher": copies(hi),
-            "no_chrs_bearing_mut": F.lit(1.0),
-            "CPNChange": F.lit(0),
-        }
-    )
-    sub = F.col("mutCopyNum") > 0.01
-    if min_vaf_to_explain is not None:
-        sub = sub & (F.col("obsVAF") >= min_vaf_to_explain)
-    if conipher:
-        d = d.withColumn("_p", prop_test_p(alt, depth, trim(F.col("expVAF")), "less"))
+    if conipher:  # the only step that looks beyond a row, before the one kernel of the others
+        d = observed(d)
+        d = d.withColumn("_p", prop_test_p(F.col("alt_counts"), F.col("alt_counts") + F.col("ref_counts"), trim(F.col("expVAF")), "less"))
         d = p_adjust(d, "_p", "BH", "_p")
-        sub = sub & (F.col("_p") < 0.01) & (F.col("absCCF_higher") < 1)
-    else:
-        sub = sub & (F.col("_abs.prob_subclonal") > 0.5)
-    f = {s: F.col(f"frac{s}") for s in "ABCD"}
-    J = {s: F.col(f"nMaj_{s}") for s in "ABCD"}
-    N = {s: F.col(f"nMin_{s}") for s in "ABCD"}
-    m = F.col("mutCopyNum")
-    two = best_loss_cn(J["A"], J["B"], N["A"], N["B"], f["A"], f["B"], f["A"], f["B"], m)
-    four = best_loss_cn(J["A"] + J["B"], J["C"] + J["D"], N["A"] + N["D"], N["C"] + N["B"], f["A"] + f["B"], f["C"] + f["D"], f["A"] + f["D"], f["C"] + f["B"], m)
-    d = d.withColumn("_sub", F.coalesce(sub, F.lit(False)))
-    d = d.withColumn("_best", F.when(F.col("_sub") & (f["A"] != 1), F.when(f["C"].isNull(), two).otherwise(four)))
-    clonal = (F.col("_best") == 1) | (F.col("_best") >= 0.95) if conipher else F.col("_best") == 1
-    d = d.withColumn("whichFrac", F.when(F.col("_sub") & (f["A"] == 1), "A,B").when(clonal, F.when(f["C"].isNull(), "A,B").otherwise("A,B,C,D")))
-    d = d.withColumn("_prop", F.col("expVAF") * F.col("_best"))
-    d = d.withColumn("_explained", prop_test_p(alt.cast("double"), depth * F.col("purity"), F.when(~clonal, F.col("_prop") / F.col("purity")), "less"))
-    elo, ehi = proportion_ci(alt, depth, trim(F.col("_prop")))
-    ncn = F.col("normal_cn") if rescale_normal_cn else F.lit(2)
-    again = lambda v: mutation_copies(v, "purity", total, ncn)
-    explained = F.col("_explained") > 0.01
-    if conipher:
-        explained = explained & (again(elo) / F.col("_best") <= 1)
-    explained = F.coalesce(explained, F.lit(False))
-    d = d.withColumn("_x", explained)
-    d = d.withColumns({c: F.when(F.col("_x"), v).otherwise(F.col(c)) for c, v in {"phyloCCF": m / F.col("_best"), "phyloCCF_lower": again(elo) / F.col("_best"), "phyloCCF_higher": again(ehi) / F.col("_best"), "no_chrs_bearing_mut": F.col("_best"), "expVAF": F.col("_prop"), "CPNChange": F.lit(1)}.items()})
-    d = d.drop("_best", "_prop", "_explained", "_x", "_sub", "_p")
-
-    amp = (prop_test_p(alt, depth, trim(F.col("expVAF")), "greater") <= 0.05) & (m > 1)
-    d = d.withColumn("_amp", F.coalesce(amp, F.lit(False)))
-    only = lambda x: F.when(F.col("_amp"), x.cast("double"))
-    none = F.lit(None).cast("double")
-    is_four = f["C"].isNotNull()
-    pair1 = [J["A"], F.when(is_four, J["C"]).otherwise(J["B"]), F.when(is_four, f["A"] + f["B"]).otherwise(f["A"]), F.when(is_four, f["C"] + f["D"]).otherwise(f["B"])]
-    pair2 = [F.when(is_four, N["A"]).otherwise(none), F.when(is_four, N["B"]), F.when(is_four, f["A"] + f["D"]), F.when(is_four, f["C"] + f["B"])]
-    best = F.pandas_udf(_amplified, "bearing double, divide double")
-    d = d.withColumn("_cn", best(only(m), alt.cast("double"), F.lit(conipher), *map(only, pair1), *map(only, pair2)))
-    by = F.col("_cn.divide")
-    d = d.withColumns({c: F.when(F.col("_amp"), v).otherwise(F.col(c)) for c, v in {"phyloCCF": m / by, "phyloCCF_lower": F.col("phyloCCF_lower") / by, "phyloCCF_higher": F.col("phyloCCF_higher") / by, "expVAF": F.col("expVAF") * by, "no_chrs_bearing_mut": F.col("_cn.bearing")}.items()})
-    d = d.withColumns({c: F.when(alt == 0, F.lit(0.0)).otherwise(F.col(c)) for c in ("no_chrs_bearing_mut", "expVAF", "absCCF")}).drop("_amp", "_cn", "_abs")
+    inputs = ["alt_counts", "ref_counts", "purity", "major_raw", "minor_raw", "normal_cn", *[f"frac{s}" for s in "ABCD"], *[f"nMaj_{s}" for s in "ABCD"], *[f"nMin_{s}" for s in "ABCD"]]
+
+    @F.pandas_udf(", ".join([*(f"{c} double" for c in phylo.FIELDS), "whichFrac string", "CPNChange int"]))
+    def run(*cols: pd.Series) -> pd.DataFrame:
+        v = [c.to_numpy(float) for c in cols]
+        states = [dict(zip("ABCD", v[k : k + 4], strict=True)) for k in (6, 10, 14)]
+        got = phylo.phylo_rows(*v[:6], *states, v[18] if conipher else None, min_vaf_to_explain, conipher, rescale_normal_cn)
+        return pd.DataFrame({c: got[c] for c in (*phylo.FIELDS, "whichFrac", "CPNChange")})
+
+    d = d.withColumn("_r", run(*[F.col(c).cast("double") for c in (*inputs, *(["_p"] if conipher else []))]))
+    known = lambda c: F.when(~F.isnan(F.col(f"_r.{c}")), F.col(f"_r.{c}"))
+    d = d.withColumns({c: known(c) for c in phylo.FIELDS} | {c: F.col(f"_r.{c}") for c in ("whichFrac", "CPNChange")}).drop("_r", "_p")
     if indel_field or (ref_field and alt_field):
         d = correct_indels(d, patient_field, sample_field, chr_field, pos_field, ref_field, F.col(indel_field) if indel_field else is_indel(ref_field, alt_field), ubiquity_vaf)
     elif ref_field or alt_field:
@@ -161,8 +89,8 @@ def correct_indels(d: DataFrame, patient: str | None, sample: str | None, chrom:
     """Scale indels by median phyloCCF of substitutions over that of indels, over mutations present in every sample of a patient."""
     group = [x for x in (patient, sample) if x]
     who = [x for x in (patient,) if x]
-    # read four times below: kept once, so that neither the join nor the kernels run again
-    d = d.withColumn("_indel", F.coalesce(indel, F.lit(False))).persist(StorageLevel.MEMORY_AND_DISK)
+    # read four times below: written once, so that neither the join nor the kernel runs again
+    d = written(d.withColumn("_indel", F.coalesce(indel, F.lit(False))), "ccf")
     n = d.groupBy(*who).agg(F.count_distinct(sample).alias("_n") if sample else F.lit(1).cast("long").alias("_n"))
     key = [x for x in (patient, chrom, pos, ref) if x]
     seen = d.groupBy(*key).agg(F.sum((F.col("obsVAF") > ubiquity_vaf).cast("int")).alias("_seen"))

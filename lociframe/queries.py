@@ -498,8 +498,7 @@ def signature_dissection(s, d):
 
 @query()
 def cibersort(s, d):
-    sig = A.load(s, d, A.DENSE_EXPRESSION).selectExpr("gene", "concat('c', sample) as cell_type", "value")
-    return decomposition.run_cibersort(A.load(s, d, A.DENSE_EXPRESSION), sig, perm=10)
+    return decomposition.run_cibersort(A.load(s, d, A.DENSE_EXPRESSION), A.load(s, d, A.CELL_TYPES), perm=200)
 
 
 HX = f"hc AS ({A.HDP_COUNTS}), he AS ({A.HDP_EXPOSURES}), hs AS ({A.HDP_SIGNATURES}), rc AS (SELECT sample, category, SUM(he.value * hs.value) AS value FROM he JOIN hs ON he.signature = hs.signature GROUP BY 1, 2)"

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lociframe.functions import kernels as k
+from lociframe.functions import phylo
 
 
 @pytest.mark.parametrize(
@@ -60,9 +61,11 @@ def test_binomial_edges():
 
 
 def test_amplified_search_counts_down():
-    assert list(k.descending_or_ascending(2, 0)) == [2, 1, 0]
-    assert k.best_amplified_cn(3.0, [(3, 0, 1.0, 0.0)], 30, False) == (3.0, 3.0)
-    assert k.best_amplified_cn(1.5, [(0, 0, 1.0, 0.0)], 30, False) == (1.0, 1.0)
+    j, k = phylo.amplified_grid(3, 0)
+    assert list(zip(j, k, strict=True)) == [(1, 0), (2, 1), (2, 0), (3, 2), (3, 1), (3, 0)]
+    one = lambda x: np.array([x], float)
+    assert phylo.best_amplified(one(3.0), one(30), [(one(3), one(0), one(1.0), one(0.0))], False) == (3.0, 3.0)
+    assert phylo.best_amplified(one(1.5), one(30), [(one(0), one(0), one(1.0), one(0.0))], False) == (1.0, 1.0)
 
 
 def test_em_recovers_mixture():
