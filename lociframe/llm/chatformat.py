@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import durable, small_batches
+from ._util import durable, small_batches, strings
 
 ROLES = ("system", "user", "assistant")
 STATES = [(r, b) for r in range(3) for b in (0, 1)]  # b: 0 first line of a turn, 1 a later one
@@ -223,7 +223,7 @@ def parse(turns: DataFrame, hmm: ChatHmm) -> DataFrame:
 
         for b in small_batches(batches, "text"):
             pid = b.column("pid")[0].as_py()
-            for row in zip(b.column("conv_id").to_pylist(), b.column("turn").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for row in zip(b.column("conv_id").to_pylist(), b.column("turn").to_pylist(), strings(b.column("text")), strict=True):
                 if rows and row[0] != rows[0][0]:
                     flush(seen == 0)  # a partition's first conversation may have begun before
                     seen += 1
@@ -257,7 +257,7 @@ def parse(turns: DataFrame, hmm: ChatHmm) -> DataFrame:
             return []
 
         for b in small_batches(batches, "text"):
-            for c, turn, t, pid, opens in zip(*(b.column(n).to_pylist() for n in ("conv_id", "turn", "text", "pid", "opens")), strict=True):
+            for c, turn, t, pid, opens in zip(b.column("conv_id").to_pylist(), b.column("turn").to_pylist(), strings(b.column("text")), b.column("pid").to_pylist(), b.column("opens").to_pylist(), strict=True):
                 if rows and key != (c, pid, opens):
                     yield batch(flush())
                     rows.clear()

@@ -36,13 +36,16 @@ IN_LINE = frozenset("svg math object canvas audio video select button iframe tex
 ENDED = frozenset("head select button datalist".split())
 # fixed values: elements that never hold content
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# fixed values: containers that are never main text, by element and by a word of class, id or role
+# containers that are never main text, by element and by a word of class, id or role (our own choice)
 BAD_ELEMENTS = frozenset("nav footer aside form menu dialog search fieldset".split())
 BAD_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted promotion related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split())
 GOOD_ELEMENTS = frozenset(["article", "main"])
-# fixed values: parts of a compound class that make it speak of the page or of the article
+# parts of a compound class that make it speak of the page or of the article (our own choice)
 MODIFIERS = frozenset("has with no not is without show hide hidden toggle js".split())
 GOOD_WORDS = frozenset("article content post main entry body text story".split())
+# first parts of a compound class that speak of its content whatever follows ("comment-body"), and words that an article's own parts may bear
+ALIEN = frozenset("ad ads advert advertisement comment comments cookie related reply replies sponsor sponsored".split())
+OWN = frozenset(["header", "masthead"])
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 # fixed values: frequent function words of the corpus languages
 STOP_WORDS = frozenset(
@@ -65,18 +68,25 @@ _BREAK = re.compile(r"\s*<br\b[^>]*>", re.I)
 
 
 def _class_evidence(value: str, in_good: bool) -> tuple[bool, bool]:
-    """(a whole class is a bad word, a compound class holds one) of a lower-cased class or id value."""
+    """(a whole class is a bad word, a compound class holds one) of a lower-cased class or id value; an article's own header is no evidence."""
     whole = compound = False
     for token in value.split():
         if token in BAD_WORDS:
             whole = True
-        elif not in_good:  # inside an article only a whole class excludes
-            parts = _PARTS.findall(token)
-            if len(parts) > 1 and parts[0] not in MODIFIERS and parts[-1] not in GOOD_WORDS and not BAD_WORDS.isdisjoint(parts):
-                compound = True
+            continue
+        parts = _PARTS.findall(token)
+        if len(parts) < 2 or parts[0] in MODIFIERS or BAD_WORDS.isdisjoint(parts) and parts[0] not in ALIEN:
+            continue
+        if parts[0] in ALIEN or (parts[-1] not in GOOD_WORDS and not (in_good and BAD_WORDS.intersection(parts) <= OWN)):
+            compound = True
     return whole, compound
 
 
+def _alien(value: str) -> bool:
+    """Whether the class of an article says that it is a comment, an advert or another page's teaser."""
+    return any(token.replace("_", "-").partition("-")[0] in ALIEN for token in value.split())
+
+
 def _verdict(name: str, tag: str, in_good: bool) -> tuple[int, bool]:
     """What an opening tag says of its content: -1 bad, 1 good, 0 nothing; and whether that rests on a compound class only."""
     if name in BAD_ELEMENTS or (name == "header" and not in_good):
@@ -89,6 +99,8 @@ def _verdict(name: str, tag: str, in_good: bool) -> tuple[int, bool]:
                 return -1, False
             if key == "role" and value in BAD_ROLES:
                 return -1, False
+            if key == "class" and name == "article" and _alien(value):
+                return -1, True
             if key in ("class", "id") and name not in ("html", "body", "article", "main"):
                 whole, compound = _class_evidence(value, in_good)
                 if whole:
@@ -253,7 +265,7 @@ def classify(text: str, place: int, link_density: float, kind: str = "", known:
     if place < 0:
         return 0
     if place > 0:
-        return 0 if link_density > 0.9 and len(text) < short and kind not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") else 1
+        return 1
     if link_density > most_links:
         return 0
     letters = _LETTERS.findall(text)
@@ -280,8 +292,27 @@ def main_text(page: str | None) -> str:
     """The page's main text: good blocks in page order, joined by two line ends."""
     blocks, doubted = blocks_of(page or "")
     out = _select(blocks)
-    if not out and doubted:
-        out = _select(blocks_of(page or "", compound=False)[0])
+    if doubted and not any(place > 0 for _, place, _, _ in blocks):
+        # compound classes left no article: they are believed only if there is none without them either
+        again = blocks_of(page or "", compound=False)[0]
+        if not out or any(place > 0 for _, place, _, _ in again):
+            out = _select(again) or out
+    return out
+
+
+def _menus(blocks: list[tuple[str, int, float, str]], short: int = 70) -> list[bool]:
+    """Which blocks of an article belong to a list of nothing but short links; a list with any other item is text."""
+    out, i = [False] * len(blocks), 0
+    while i < len(blocks):
+        if blocks[i][1] <= 0 or blocks[i][3] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
+            i += 1
+            continue
+        end = i
+        while end < len(blocks) and blocks[end][1] > 0 and blocks[end][3] == blocks[i][3]:
+            end += 1
+        if all(links > 0.9 and len(text) < short for text, _, links, _ in blocks[i:end]):
+            out[i:end] = [True] * (end - i)
+        i = end
     return out
 
 
@@ -290,6 +321,9 @@ def _select(blocks: list[tuple[str, int, float, str]]) -> str:
     open_text = [stop_share(t) for t, place, links, _ in blocks if place == 0 and links <= 0.5 and len(t) >= 70]
     known = not open_text or sum(s for s, _ in open_text) >= 0.08 * sum(w for _, w in open_text)
     labels = [classify(*b, known) for b in blocks]
+    menu = _menus(blocks)
+    if any(v and not m for v, m in zip(labels, menu, strict=True)):  # an article made of links alone is one
+        labels = [0 if m else v for v, m in zip(labels, menu, strict=True)]
     before, last = [], None  # nearest decided block before each, and after
     for i, v in enumerate(labels):
         before.append(last)
@@ -306,7 +340,7 @@ def _select(blocks: list[tuple[str, int, float, str]]) -> str:
         if v is None:
             a, b = before[i], after[i]
             if a is None and b is None:
-                v = 1 if len(text) >= 70 else 0  # nothing is decided on the page
+                v = 1  # nothing is decided on the page
             elif a is None or b is None:
                 v = (a or b)[1]
             elif a[1] == b[1]:

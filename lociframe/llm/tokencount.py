@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._util import small_batches, with_columns
+from ._util import small_batches, strings, with_columns
 
 RULES = ("start", "end", "majority")
 
@@ -95,7 +95,7 @@ def section_tokens(docs: DataFrame, path: str, pattern: str, sections: str | Non
             ids = b.column("doc_id").to_pylist()
             given = b.column(sections).to_pylist() if sections else None
             cols: list[list] = [[], [], [], [], []]
-            for row, text in enumerate(b.column("text").to_pylist()):
+            for row, text in enumerate(strings(b.column("text"))):
                 text = text or ""
                 data = text.encode("utf-8", "surrogatepass")
                 ends = np.cumsum(sizes[np.array(enc.encode_ordinary(text), np.int64)]) if data else np.zeros(0, np.int64)
