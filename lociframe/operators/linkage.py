@@ -10,16 +10,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .._shared import written
 from .scan import ordered_scan
 
+SMALL = 1000  # items that one task clusters faster than rounds of joins do
 UNIT = 1 << 40  # similarities are summed as whole multiples of 1 / UNIT, so sums do not depend on order
 
 
-def average_linkage(similar: DataFrame, items: DataFrame, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+def average_linkage(similar: DataFrame, items: DataFrame, max_rounds: int = 10_000, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """(merges, leaves) of ``items`` (item) under ``similar`` (left, right, similarity in [0, 1]).
 
     ``similar`` may hold a pair either way or both; pairs it lacks have
@@ -30,7 +33,8 @@ def average_linkage(similar: DataFrame, items: DataFrame, max_rounds: int = 10_0
     numbers first; what shares no similarity is joined last, at height 1, in
     the order of numbers.  leaves: (item, number, weight, place), ``weight``
     the mean similarity to all items, ``place`` the order along the dendrogram
-    when at each merge the side of smaller summed weight stands first.
+    when at each merge the side of smaller summed weight stands first.  Up to
+    ``small`` items are clustered by one task, with the same result.
     """
     nodes = ordered_scan(items.select("item").distinct(), [F.col("item")], place="number")
     n = nodes.count()
@@ -45,6 +49,11 @@ def average_linkage(similar: DataFrame, items: DataFrame, max_rounds: int = 10_0
     weight = both.groupBy("number").agg(F.sum("s").alias("w"))
     leaves = nodes.join(weight, "number", "left").select("item", "number", F.coalesce("w", F.lit(0)).cast("decimal(38,0)").alias("w"))
     leaves = written(leaves.withColumns({"node": F.col("number"), "place": F.lit(0).cast("long")}), "linkage-leaves")
+    if n <= small and not pairs.isEmpty():
+        got = written(pairs.groupBy(F.lit("all").alias("all")).applyInPandas(lambda pdf: _one_task(pdf, n), "is_leaf boolean, x long, y long, height double, size long"), "linkage-small")
+        tree = got.where("not is_leaf").select(F.col("x").alias("left_node"), F.col("y").alias("right_node"), "height", "size")
+        placed = leaves.join(got.where("is_leaf").select(F.col("x").alias("number"), F.col("y").alias("at")), "number")
+        return tree, placed.select("item", "number", (F.col("w").cast("double") / UNIT / n).alias("weight"), F.col("at").alias("place"))
     state = leaves.select("node", F.lit(1).cast("long").alias("size"), F.col("w").alias("value"))
     edges = pairs.where("a < b and s > 0")
     done = []
@@ -72,6 +81,29 @@ def average_linkage(similar: DataFrame, items: DataFrame, max_rounds: int = 10_0
     return tree, placed
 
 
+def _one_task(pairs: pd.DataFrame, n: int) -> pd.DataFrame:
+    """Merges and leaves of a small matrix of whole-numbered sums, best pair first."""
+    s = np.zeros((n, n), np.int64)
+    a, b, v = pairs["a"].to_numpy(int) - 1, pairs["b"].to_numpy(int) - 1, pairs["s"].to_numpy().astype(np.int64)
+    s[a, b] = s[b, a] = v
+    value = [int(x) for x in s.sum(axis=1)]
+    np.fill_diagonal(s, 0)
+    size, leaves, rows = np.ones(n, np.int64), [[i] for i in range(n)], []
+    upper = np.triu(np.ones((n, n), bool), 1)
+    for _ in range(n - 1):
+        mean = np.where(upper, s / UNIT / (size[:, None] * size[None, :]), -1.0)
+        i, j = divmod(int(mean.argmax()), n)
+        rows.append((False, i + 1, j + 1, 1 - mean[i, j], int(size[i] + size[j])))
+        leaves[i] = leaves[i] + leaves[j] if value[i] <= value[j] else leaves[j] + leaves[i]
+        value[i] += value[j]
+        s[i] += s[j]
+        s[:, i] += s[:, j]
+        size[i] += size[j]
+        upper[j] = upper[:, j] = False
+    rows += [(True, k + 1, at, 0.0, 1) for at, k in enumerate(leaves[0])]
+    return pd.DataFrame(rows, columns=["is_leaf", "x", "y", "height", "size"])
+
+
 def _reciprocal(edges: DataFrame, state: DataFrame) -> DataFrame:
     """Pairs (a < b) of clusters that are each other's nearest, with their mean similarity, sizes and which stands first."""
     side = lambda k: state.select(F.col("node").alias(k), F.col("size").alias(f"size_{k}"), F.col("value").alias(f"value_{k}"))

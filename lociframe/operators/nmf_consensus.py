@@ -1,9 +1,9 @@
 """Consensus gene modules from many factorisations.
 
 Bases are long: (study, rank_idx, factor_idx, gene, coef).  Program
-selection, overlaps and filters are windows and joins; only the greedy growth
-and the community step, over programs (not genes x samples), run on the
-driver.
+selection, overlaps, filters, communities and the dendrogram are windows and
+joins; only the greedy growth, over programs (not genes x samples), runs on
+the driver.
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import _validate as check
+from .._shared import written
 from ..functions.columns import average_rank
+from .communities import map_equation
+from .linkage import average_linkage
+from .scan import ordered_scan
 
 FACTOR = ["study", "rank_idx", "factor_idx"]
 
@@ -95,6 +98,23 @@ def label_propagation(edges: list[tuple[str, str, float]], rounds: int = 100) ->
     return label
 
 
+def gene_communities(edges: DataFrame) -> DataFrame:
+    """(gene, community) of the graph (gene1, gene2, weight) by the map equation; a community is named by the number of its first gene in order."""
+    edges = written(edges, "nmf-edges")
+    genes = ordered_scan(edges.select(F.explode(F.array("gene1", "gene2")).alias("gene")).distinct(), [F.col("gene")], place="place")
+    genes = written(genes.select("gene", (F.col("place") - 1).alias("node")), "nmf-genes")
+    of = lambda c, k: genes.select(F.col("gene").alias(c), F.col("node").alias(k))
+    label, _ = map_equation(edges.join(of("gene1", "a"), "gene1").join(of("gene2", "b"), "gene2").select("a", "b", F.col("weight").alias("w")))
+    return genes.join(label, "node").select("gene", F.col("module").alias("community"))
+
+
+def program_order(programs: DataFrame) -> DataFrame:
+    """(program, weight, place): programs along the dendrogram of average linkage over their Jaccard similarities."""
+    sim = jaccard(programs).withColumnRenamed("jaccard", "similarity")
+    _, leaves = average_linkage(sim, programs.select(F.col("program").alias("item")))
+    return leaves.select(F.col("item").alias("program"), "weight", "place")
+
+
 @dataclass
 class ConsensusModule:
     """modules: {name: genes}; programs: {name: program ids}; raw: the programs it was built from."""
@@ -111,15 +131,18 @@ class ConsensusModule:
         return self.raw.sparkSession.createDataFrame(rows, "module string, place int, gene string")
 
 
-def consensus_barkley(basis: DataFrame, min_size: int = 5, min_jaccard: float = 0.05, s_min_jaccard: int = 3, v_min: int = 2, s_min: int = 3, cluster_fn: Callable = label_propagation) -> ConsensusModule:
-    """Communities of the genes' co-occurrence graph; ``cluster_fn`` takes edges (gene, gene, weight) and returns {gene: label}.
+def consensus_barkley(basis: DataFrame, min_size: int = 5, min_jaccard: float = 0.05, s_min_jaccard: int = 3, v_min: int = 2, s_min: int = 3, cluster_fn: Callable | None = None) -> ConsensusModule:
+    """Communities of the genes' co-occurrence graph by the map equation, over joins.
 
-    The default is label propagation, not the map equation; hand in another
-    function to change that.
+    ``cluster_fn`` replaces that step: it takes the edges (gene, gene, weight)
+    on the driver and returns {gene: label}, like :func:`label_propagation`.
     """
-    raw = study_modules(basis, min_size).persist(StorageLevel.MEMORY_AND_DISK)  # genes of modules; joined with itself below
+    raw = written(study_modules(basis, min_size), "nmf-modules")  # genes of modules; joined with itself below
     edges = co_occurrence(recurrent_modules(raw, min_jaccard, s_min_jaccard), v_min, s_min)
-    labels = cluster_fn([(r.gene1, r.gene2, float(r.weight)) for r in edges.collect()])  # genes of modules only
+    if cluster_fn is None:
+        labels = dict(gene_communities(edges).collect())  # the result: a label for each gene of a module
+    else:
+        labels = cluster_fn([(r.gene1, r.gene2, float(r.weight)) for r in edges.collect()])
     groups: dict[int, list[str]] = {}
     for g, k in sorted(labels.items()):
         groups.setdefault(k, []).append(g)

@@ -572,7 +572,7 @@ def sample_sim(s, d):
 @query()
 def overdispersion(s, d):
     f = A.load(s, d, A.GENE_SETS).where("set = 'Brand#11'").selectExpr("item as gene")
-    return decomposition.overdispersion(A.load(s, d, A.EXPRESSION), f, size=20, nbin=4)
+    return decomposition.overdispersion(A.load(s, d, A.EXPRESSION), f)
 
 
 # -- modules ---------------------------------------------------------------------------------
@@ -604,6 +604,11 @@ def nmf_consensus_barkley(s, d):
     return nmf_consensus.nmf_consensus(A.load(s, d, A.BASES), "barkley", min_size=2, s_min_jaccard=1, v_min=1, s_min=1).to_df()
 
 
+@query()
+def program_order(s, d):
+    return rounded(nmf_consensus.program_order(nmf_consensus.top_programs(A.load(s, d, A.BASES), 12)), "weight")
+
+
 @query()
 def nmf_consensus_gavish(s, d):
     return nmf_consensus.nmf_consensus(A.load(s, d, A.BASES), "gavish", module_size=12, min_intra_sim=0.1, min_intra_size=1, min_inter_sim=0.1, redundant_sim=0.9, founder_intersection=0.1, min_overlap_index=0.15).to_df()

@@ -23,16 +23,16 @@ def one_by_one(n, sim):
     return merges, next(iter(own.values()))
 
 
-@pytest.mark.parametrize("seed,share", [(1, 0.9), (2, 0.3), (3, 0.08)])
-def test_average_linkage(spark, seed, share):
+@pytest.mark.parametrize("seed,share,small", [(2, 0.3, 0), (3, 0.08, 0), (2, 0.3, 100), (3, 0.08, 100), (1, 0.9, 100)])
+def test_average_linkage(spark, seed, share, small):
     rng = random.Random(seed)
-    n = 17
+    n = 13
     sim = {(i, j): rng.random() for i in range(1, n + 1) for j in range(i, n + 1) if rng.random() < share or i == j}
     names = [f"p{i:02d}" for i in range(1, n + 1)]
     rows = [(names[a - 1], names[b - 1], s) if rng.random() < 0.5 else (names[b - 1], names[a - 1], s) for (a, b), s in sim.items()]
     rows += [(b, a, s) for a, b, s in rows[:5]]  # both ways
     similar = spark.createDataFrame(rows, "left string, right string, similarity double")
-    merges, leaves = average_linkage(similar, spark.createDataFrame([(x,) for x in names], "item string"))
+    merges, leaves = average_linkage(similar, spark.createDataFrame([(x,) for x in names], "item string"), small=small)
     want, order = one_by_one(n, sim)
     got = {(r.left_node, r.right_node): (r.height, r.size) for r in merges.collect()}
     assert got.keys() == want.keys()
