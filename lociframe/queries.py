@@ -546,7 +546,7 @@ def hdp_chains(s, d):
 
 @query()
 def sparcc(s, d):
-    return decomposition.sparcc(A.load(s, d, A.HDP_COUNTS).selectExpr("sample", "category as taxon", "n"), times=10, iterations=4)
+    return decomposition.sparcc(A.load(s, d, A.HDP_COUNTS).selectExpr("sample", "category as taxon", "n"))
 
 
 @query(f"WITH {EX}, me AS (SELECT gene, AVG(value) AS mean FROM ex GROUP BY gene), q AS (SELECT QUANTILE_CONT(mean, 0.25) AS q1, QUANTILE_CONT(mean, 0.5) AS q2, QUANTILE_CONT(mean, 0.75) AS q3 FROM me) SELECT gene, ROUND(mean, 6) AS mean, 1 + CASE WHEN mean > q1 THEN 1 ELSE 0 END + CASE WHEN mean > q2 THEN 1 ELSE 0 END + CASE WHEN mean > q3 THEN 1 ELSE 0 END AS bin FROM me CROSS JOIN q")
