@@ -851,5 +851,5 @@ def test_registered_names():
     from lociframe.llm.oracles import oracle_sql
     from lociframe.llm.queries import queries
 
-    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
