@@ -67,6 +67,11 @@ SELECT CONCAT('S', CAST(LENGTH(q.chr) % 4 AS STRING)) AS sample, q.chr AS chr, C
   CASE WHEN k.k % 5 = 0 THEN 'T' WHEN k.k % 5 = 1 THEN 'G' WHEN k.k % 5 = 2 THEN 'A' ELSE 'C' END AS alt
 FROM (""" + SEQUENCES + """) q CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9)) AS k(k) WHERE LENGTH(q.seq) > 0"""
 
+REGIONS = """
+SELECT q.chr AS chr, CAST(k.k * 104729 % LENGTH(q.seq) + 1 AS BIGINT) AS start,
+  CAST(LEAST(k.k * 104729 % LENGTH(q.seq) + 1 + LENGTH(q.seq) % 97 + k.k * 40, LENGTH(q.seq)) AS BIGINT) AS "end"
+FROM (""" + SEQUENCES + """) q CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS k(k) WHERE LENGTH(q.seq) > 0"""
+
 SIGNATURES = """
 SELECT CAST(c_nationkey AS STRING) AS signature, o_orderpriority AS context, CAST(COUNT(*) AS DOUBLE) AS weight
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey, o_orderpriority"""

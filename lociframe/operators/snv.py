@@ -12,6 +12,7 @@ from itertools import product
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,58 +117,118 @@ def prepare_snv_signature(mut: DataFrame, genome: DataFrame, sample_field: str |
 
 
 def _chunk_kmers(k: int, width: int):
-    """Arrow kernel: (context, n) of the k-mers that start in each chunk's own part, added up by batch."""
+    """Arrow kernel: (context, n, inside) of the k-mers that start in each chunk's own part, added up by batch.
+
+    ``inside`` counts those that lie wholly in a clip (from, to) of their
+    chunk.  The bytes of many chunks are counted as one array.
+    """
 
     def run(batches):
         code = np.full(256, -1, np.int64)
         code[list(BASES.encode())] = range(4)
-        for b in batches:
-            total: dict[int, int] = {}
-            for chunk, start, seq, length in zip(*(b.column(c).to_pylist() for c in ("chunk", "chunk_start", "seq", "length")), strict=True):
-                at = chunk * width + 1 - start
-                x = code[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)[at : at + min(width, length - chunk * width - k + 1) + k - 1]] if length - chunk * width >= k else np.zeros(0, np.int64)
-                if len(x) < k:
+        rows = max(1, (1 << 22) // (2 * width))  # so that arrays stay at some megabytes
+        for whole in batches:
+            total: dict[int, list[int]] = {}
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                seq = b.column("seq").cast(pa.large_string())
+                if pc.sum(pc.binary_length(seq)).as_py() != pc.sum(pc.utf8_length(seq)).as_py():
+                    seq = pc.replace_substring_regex(seq, "[^\x00-\x7f]", "N")
+                size = pc.binary_length(seq).to_numpy(zero_copy_only=False)
+                x = code[np.frombuffer("".join(seq.to_pylist()).encode("ascii"), np.uint8)]
+                m = len(x) - k + 1
+                if m < 1:
                     continue
-                word = sum(x[i : len(x) - k + 1 + i] << 2 * (k - 1 - i) for i in range(k))
-                ok = np.logical_and.reduce([x[i : len(x) - k + 1 + i] >= 0 for i in range(k)])
-                for w, c in zip(*(y.tolist() for y in np.unique(word[ok], return_counts=True)), strict=True):
-                    total[w] = total.get(w, 0) + c
+                start, length, own = b.column("chunk_start").to_numpy(), b.column("length").to_numpy(), b.column("chunk").to_numpy() * width + 1
+                base = np.cumsum(size) - size - start  # adds to a position to give a place in x
+                end = np.minimum(own + width, length - k + 2)
+                if np.any(np.maximum(end, own) + k - 2 > np.maximum(start + size - 1, own + k - 2)):
+                    raise ValueError(f"the chunks' margin is too small for {k} bases")
+                opened = _marked(base + own, base + end, m)
+                clips = b.column("clips")
+                parent, clip = pc.list_parent_indices(clips).to_numpy(), pc.list_flatten(clips)
+                first = np.maximum(clip.field("lo").to_numpy(), own[parent])
+                last = np.minimum(np.minimum(clip.field("hi").to_numpy(), length[parent]) - k + 2, own[parent] + width)
+                inside = _marked(base[parent] + first, base[parent] + last, m) & opened
+                word = sum(x[i : m + i] << 2 * (k - 1 - i) for i in range(k))
+                good = np.logical_and.reduce([x[i : m + i] >= 0 for i in range(k)]) & opened
+                words, which = np.unique(word[good], return_inverse=True)
+                n, among = np.bincount(which, minlength=len(words)), np.bincount(which, inside[good], len(words))
+                for w, c, i in zip(words.tolist(), n.tolist(), among.astype(np.int64).tolist(), strict=True):
+                    had = total.setdefault(w, [0, 0])
+                    had[0], had[1] = had[0] + c, had[1] + i
             names = ["".join(BASES[w >> 2 * (k - 1 - i) & 3] for i in range(k)) for w in total]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(total.values()), pa.int64())], ["context", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([c for c, _ in total.values()], pa.int64()), pa.array([i for _, i in total.values()], pa.int64())], ["context", "n", "inside"])
 
     return run
 
 
-def kmer_counts(genome: DataFrame, k: int, width: int = 10_000, strands: tuple[str, ...] = ("+", "-"), regions: DataFrame | None = None) -> DataFrame:
-    """(context, n): k-mers that start in each chunk's own part, over the strands; ``regions`` (chr, start, end) counts only k-mers inside (merged) regions."""
+def _marked(first: np.ndarray, end: np.ndarray, m: int) -> np.ndarray:
+    """Which of ``m`` places lie in one of the stretches [first, end)."""
+    real = end > first
+    steps = np.zeros(m + 1, np.int64)
+    np.add.at(steps, np.minimum(first[real], m), 1)
+    np.add.at(steps, np.minimum(end[real], m), -1)
+    return np.cumsum(steps[:m]) > 0
+
+
+CLIPS = "array<struct<lo: bigint, hi: bigint>>"
+
+
+def region_clips(regions: DataFrame, k: int, width: int) -> DataFrame:
+    """(chr, chunk, clips): the merged regions that hold a k-mer starting in each chunk's own part.
+
+    Merged regions neither touch nor overlap, so a chunk has at most width / 2
+    of them, each cut to the k-mers of that chunk.  Rows with a null or with
+    no base are left out.
+    """
+    from .intervals import reduce_ranges
+
+    r = regions.where(F.col("start").isNotNull()).select(F.col("chr").cast("string").alias("chr"), F.greatest(F.col("start").cast("long"), F.lit(1)).alias("lo"), F.col("end").cast("long").alias("hi"))
+    r = r.where("chr is not null and lo <= hi")
+    r = reduce_ranges(r, ["chr"], "lo", "hi").where(F.col("hi") - F.col("lo") + 1 >= k)
+    number = lambda c: F.floor((c - 1) / width).cast("long")
+    r = r.withColumn("chunk", F.explode(F.sequence(number(F.col("lo")), number(F.col("hi") - k + 1))))
+    cut = F.struct(F.greatest("lo", F.col("chunk") * width + 1).alias("lo"), F.least("hi", (F.col("chunk") + 1) * width + k - 1).alias("hi"))
+    return r.groupBy("chr", "chunk").agg(F.collect_list(cut).cast(CLIPS).alias("clips"))
+
+
+def _counted(genome: DataFrame, k: int, width: int, strands: tuple[str, ...], regions: DataFrame | None, how: str) -> DataFrame:
+    """(context, n, inside) over the strands; ``how`` left counts all chunks, inner those that regions meet.
+
+    Each chunk is read once and meets its clips by (chr, chunk).
+    """
+    columns = ["chunk", "chunk_start", "seq", "length"]
     if regions is None:
-        n = genome.select("chunk", "chunk_start", "seq", "length").mapInArrow(_chunk_kmers(k, width), "context string, n long").groupBy("context").agg(F.sum("n").alias("n"))
+        d = genome.select(*columns, F.array().cast(CLIPS).alias("clips"))
     else:
-        from .intervals import point_join, reduce_ranges
+        c = region_clips(regions, k, width).withColumnsRenamed({"chr": "_chr", "chunk": "_chunk"})
+        d = genome.join(c, (F.col("chr") == F.col("_chr")) & (F.col("chunk") == F.col("_chunk")), how)
+        d = d.select(*columns, F.coalesce("clips", F.array().cast(CLIPS)).alias("clips"))
+    n = d.mapInArrow(_chunk_kmers(k, width), "context string, n long, inside long")
+    n = n.groupBy("context").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
+    context = F.col("context")
+    both = F.array(*[context if s == "+" else reverse_complement(context) for s in strands])
+    return n.select(F.explode(both).alias("context"), "n", "inside").groupBy("context").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"))
 
-        own_from, own_to = F.col("chunk") * width + 1, F.least((F.col("chunk") + 1) * width, F.col("length") - k + 1)
-        d = genome.where(own_to >= own_from).withColumn("pos", F.explode(F.sequence(own_from, own_to)))
-        d = d.select("chr", "pos", F.substring(F.col("seq"), (F.col("pos") - F.col("chunk_start") + 1).cast("int"), F.lit(k)).alias("context"))
-        r = reduce_ranges(regions.select(F.col("chr").alias("r_chr"), F.col("start").alias("r_start"), F.col("end").alias("r_end")), ["r_chr"], "r_start", "r_end")
-        d = point_join(d, r, [("chr", "r_chr")], "pos", "r_start", "r_end", "inner", bin_width=width).where(F.col("pos") + k - 1 <= F.col("r_end"))
-        n = d.where(F.col("context").rlike(f"^[ACGT]{{{k}}}$")).groupBy("context").agg(F.count(F.lit(1)).alias("n"))
-    parts = [n if s == "+" else n.select(reverse_complement(F.col("context")).alias("context"), "n") for s in strands]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy("context").agg(F.sum("n").alias("n"))
+
+def kmer_counts(genome: DataFrame, k: int, width: int = 10_000, strands: tuple[str, ...] = ("+", "-"), regions: DataFrame | None = None) -> DataFrame:
+    """(context, n): k-mers that start in each chunk's own part, over the strands; ``regions`` (chr, start, end) counts only k-mers inside (merged) regions.
+
+    The chunks' margin must hold k - 1 bases.
+    """
+    if regions is None:
+        return _counted(genome, k, width, strands, None, "left").select("context", "n")
+    return _counted(genome, k, width, strands, regions, "inner").where("inside > 0").select("context", F.col("inside").alias("n"))
 
 
 def context_sizefactor(contexts_: list[str], genome: DataFrame | None = None, exome: DataFrame | None = None, method: str = "genome", contigs: list[str] | None = None, width: int = 10_000, strands: tuple[str, ...] = ("+", "-")) -> DataFrame:
-    """(context, factor): 1 / genome counts, 1 / exome counts, or their ratio.  Contexts without a count have a null factor."""
+    """(context, factor): 1 / genome counts, 1 / exome counts, or their ratio, both from one pass.  Contexts without a count have a null factor."""
     check.choice(method, ("genome", "exome", "exome2genome", "genome2exome"), "method")
     g = genome.where(F.col("chr").isin(*contigs)) if contigs else genome
-    k, spark = len(contexts_[0]), genome.sparkSession
-    out = spark.createDataFrame([(x,) for x in dict.fromkeys(contexts_)], "context string")
-    if method != "exome":
-        out = out.join(kmer_counts(g, k, width, strands).withColumnRenamed("n", "wgs"), "context", "left")
-    if method != "genome":
-        out = out.join(kmer_counts(g, k, width, strands, exome).withColumnRenamed("n", "wes"), "context", "left")
+    counts = _counted(g, len(contexts_[0]), width, strands, None if method == "genome" else exome, "inner" if method == "exome" else "left")
+    counts = counts.select("context", F.col("n").alias("wgs"), F.expr("nullif(inside, 0)").alias("wes"))
+    out = genome.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(contexts_)], "context string").join(counts, "context", "left")
     value = {"genome": "1.0 / wgs", "exome": "1.0 / wes", "exome2genome": "wgs / wes", "genome2exome": "wes / wgs"}[method]
     return out.select("context", F.expr(f"cast({value} as double)").alias("factor"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters as A
+from ._shared import fresh_path
 from .functions.columns import p_adjust, proportion_ci
 from .functions.draws import uniform_sql
 from .operators import arm, ccf, decomposition, ids, intervals, nmf_consensus, rrho, snv, ssgsea
@@ -16,7 +17,7 @@ from .operators.cnv_signature import cnv_classes, cnv_signature
 from .operators.subclone import subclone_cn
 from .operators.sweep import sweep_join
 from .plans.ccf_pipeline import prepare_pyclone, run_ccf
-from .sources import absolute_io, netmhc
+from .sources import absolute_io, fasta, netmhc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -285,7 +286,10 @@ CTX = f"""sq AS ({A.SEQUENCES}), mu AS ({A.SNVS}),
 SNV_LEVELS = ", ".join(f"('{c}')" for c in snv.substitution_contexts())
 
 
-@query(f"WITH {CTX}, lv AS (SELECT * FROM (VALUES {SNV_LEVELS}) AS v(snv_class)), n AS (SELECT sample, CONCAT(SUBSTRING(k3, 1, 1), '[', sub, ']', SUBSTRING(k3, 3, 1)) AS snv_class, COUNT(*) AS n FROM st GROUP BY 1, 2) SELECT lv.snv_class, s.sample, COALESCE(n.n, 0) AS n FROM lv CROSS JOIN (SELECT DISTINCT sample FROM st) s LEFT JOIN n ON n.sample = s.sample AND n.snv_class = lv.snv_class")
+SNV_SQL = f"WITH {CTX}, lv AS (SELECT * FROM (VALUES {SNV_LEVELS}) AS v(snv_class)), n AS (SELECT sample, CONCAT(SUBSTRING(k3, 1, 1), '[', sub, ']', SUBSTRING(k3, 3, 1)) AS snv_class, COUNT(*) AS n FROM st GROUP BY 1, 2) SELECT lv.snv_class, s.sample, COALESCE(n.n, 0) AS n FROM lv CROSS JOIN (SELECT DISTINCT sample FROM st) s LEFT JOIN n ON n.sample = s.sample AND n.snv_class = lv.snv_class"
+
+
+@query(SNV_SQL)
 def snv_signature_counts(s, d):
     return snv.snv_signature(A.load(s, d, A.SNVS), genome(s, d), "sample").select("snv_class", "sample", "n")
 
@@ -296,6 +300,46 @@ def context_sizefactor(s, d):
     return x.where("factor is not null").select("context", F.round(F.col("factor") * 1e9, 6).alias("per_billion"))
 
 
+@query(SNV_SQL)
+def fasta_signature_counts(s, d):
+    path = fresh_path(s, "genome")
+    fasta.write_fasta(A.load(s, d, A.SEQUENCES), path)
+    return snv.snv_signature(A.load(s, d, A.SNVS), fasta.read_fasta(s, path), "sample").select("snv_class", "sample", "n")
+
+
+def _both_strands(k: str) -> str:
+    return f"SELECT c, COUNT(*) AS n FROM (SELECT c FROM {k} UNION ALL SELECT {COMP('REVERSE(c)')} FROM {k}) t WHERE SUBSTRING(c, 2, 1) IN ('C', 'T') GROUP BY c"
+
+
+SIZES = f"""sq AS ({A.SEQUENCES}), rg AS ({A.REGIONS}),
+ ro AS (SELECT *, MAX("end") OVER (PARTITION BY chr ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM rg),
+ rp AS (SELECT *, SUM(CASE WHEN r IS NULL OR start > r + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY chr ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM ro),
+ me AS (SELECT chr, MIN(start) AS lo, MAX("end") AS hi FROM rp GROUP BY chr, island),
+ kg AS (SELECT SUBSTRING(seq, CAST(i AS BIGINT), 3) AS c FROM sq, UNNEST(RANGE(1, LENGTH(seq) - 1)) AS u(i) WHERE LENGTH(seq) >= 3),
+ ke AS (SELECT SUBSTRING(seq, CAST(i AS BIGINT), 3) AS c FROM me JOIN sq ON me.chr = sq.chr, UNNEST(RANGE(lo, hi - 1)) AS u(i) WHERE hi - lo >= 2),
+ wg AS ({_both_strands('kg')}), we AS ({_both_strands('ke')})"""
+
+
+def _sizefactor(s, d, method, scale):
+    x = snv.context_sizefactor(snv.contexts(["T", "C"]), genome(s, d), A.load(s, d, A.REGIONS), method)
+    return x.where("factor is not null").select("context", F.round(F.col("factor") * scale, 6).alias("factor"))
+
+
+@query(f"WITH {SIZES} SELECT c AS context, ROUND(1E9 / n, 6) AS factor FROM we")
+def sizefactor_exome(s, d):
+    return _sizefactor(s, d, "exome", 1e9)
+
+
+@query(f"WITH {SIZES} SELECT c AS context, ROUND(CAST(wg.n AS DOUBLE) / we.n, 6) AS factor FROM wg JOIN we USING (c)")
+def sizefactor_exome2genome(s, d):
+    return _sizefactor(s, d, "exome2genome", 1.0)
+
+
+@query(f"WITH {SIZES} SELECT c AS context, ROUND(CAST(we.n AS DOUBLE) / wg.n, 6) AS factor FROM wg JOIN we USING (c)")
+def sizefactor_genome2exome(s, d):
+    return _sizefactor(s, d, "genome2exome", 1.0)
+
+
 CNT = lambda m: f"(LENGTH(c41) - LENGTH(REPLACE(c41, '{m}', '')))"
 CNT3 = lambda m: f"LEN(LIST_FILTER(RANGE(1, 40), lambda i: SUBSTRING(c41, CAST(i AS BIGINT), 3) = '{m}'))"
 
