@@ -72,12 +72,14 @@ def _own_variant() -> Column:
     return F.when(F.bit_count(lo) <= 1, bit(lo)).otherwise(32 + bit(hi))
 
 
-def links(fps: DataFrame, max_distance: int = 2, crowd: int = 64) -> DataFrame:
+def links(fps: DataFrame, max_distance: int = 2, crowd: int = 64, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Links (u, v) between distinct fingerprints at most ``max_distance`` bits apart.
 
     ``fps`` has a column ``fp`` of distinct longs.  Buckets of over about
     ``2 * crowd`` members give star links, others one link for each pair; both
-    connect the same fingerprints.
+    connect the same fingerprints.  The variants meet in a sort-merge join
+    whatever Spark takes their size for; those of crowded segments are
+    broadcast up to ``broadcast_rows``.
     """
     if not 1 <= max_distance <= 2:
         raise ValueError("max_distance must be 1 or 2")
@@ -86,11 +88,12 @@ def links(fps: DataFrame, max_distance: int = 2, crowd: int = 64) -> DataFrame:
     keyed = variants(fps)
     many = bool(crowded.take(1))
     if many:
-        # every variant of a crowded segment; those one bit off share them
+        # every variant of a crowded segment; those one bit off share them (32 a segment, which Spark's estimate of their size leaves out)
+        held = F.broadcast if crowded.count() * 32 <= broadcast_rows else (lambda x: x.hint("merge"))
         hot = crowded.select(F.explode(F.expr("transform(sequence(0, 31), i -> shiftleft(shiftrightunsigned(segment, 32) * 32 + i, 32) | (segment & 4294967295L & ~shiftleft(1L, cast(i as int))))")).alias("key")).distinct()
-        balls = keyed.join(hot, "key", "left_semi").select("fp").distinct()
-        keyed = keyed.join(hot, "key", "left_anti")
-    a, b = keyed.alias("a"), keyed.alias("b")
+        balls = keyed.join(held(hot), "key", "left_semi").select("fp").distinct()
+        keyed = keyed.join(held(hot), "key", "left_anti")
+    a, b = keyed.alias("a"), keyed.alias("b").hint("merge")  # estimated without the 64 rows of each fingerprint, so Spark would broadcast them
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_distance
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near & (F.shiftrightunsigned(F.col("a.key"), 32) == _own_variant()))
     out = pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
@@ -315,7 +318,7 @@ def candidate_pairs(nodes: DataFrame, within: int = 28, crowd: int = 16, broadca
         key = f"shiftleft({number} + i, 32) | ({bits} & ~shiftleft(1L, cast(i as int)))"
         hot = durable(crowded.select(F.inline(F.expr(f"transform(sequence(0, {width}), i -> struct({route} as route, {key} as key))"))).distinct(), "hot")
         few = hot.count() <= broadcast_rows
-        held = F.broadcast if few else (lambda x: x)
+        held = F.broadcast if few else (lambda x: x.hint("merge"))
         company = _segments(nodes).join(held(crowded), "segment").groupBy("node").agg(F.sum("count").alias("company"))
         ranked = _routes(_segments(nodes.join(company, "node", "left").select("node", *_FP, F.coalesce("company", F.lit(0)).alias("company"))))
         every = durable((_variants_of(ranked) if few else dealt(ranked)).join(held(hot), ["route", "key"], "left_semi").select("key", "node", *_FP, "company"), "crowded-members")
@@ -337,7 +340,7 @@ def candidate_pairs(nodes: DataFrame, within: int = 28, crowd: int = 16, broadca
 
 def _within_variants(keyed: DataFrame, within: int) -> DataFrame:
     """Pairs (u, v) of the rows (node, f0, f1, route, key) of one key."""
-    a, b = keyed.alias("a"), keyed.alias("b")
+    a, b = keyed.alias("a"), keyed.alias("b").hint("merge")  # estimated without the variants of each route, so Spark would broadcast them
     same = (F.col("a.route") == F.col("b.route")) & (F.col("a.key") == F.col("b.key"))
     return a.join(b, same & _listed(within)).select(F.col("b.node").alias("u"), F.col("a.node").alias("v"))
 

@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lociframe.llm import ann, bpe, chatformat, decontam, htmltext, simhash, tokencount, toxicity, urlrules, warc
+from lociframe.llm._util import durable
 from lociframe.llm.components import connected_components
 
 DOCS = "doc_id long, text string"
@@ -853,3 +854,25 @@ def test_registered_names():
 
     assert sorted(int(k[2:].split("_")[0]) for k in queries()) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_simhash_variants_are_never_broadcast(spark):
+    """Spark estimates exploded variants without their number: 64 a fingerprint would go through the driver."""
+    rng = random.Random(5)
+    values = sorted({rng.getrandbits(64) - 2**63 for _ in range(500)})
+    fps = durable(spark.createDataFrame([(v,) for v in values], "fp long"), "test-fps")
+    assert "BroadcastHashJoin" not in simhash.links(fps)._jdf.queryExecution().sparkPlan().toString()
+    near = [v ^ (1 << i) for i, v in enumerate(values[:50])]
+    same_half = [(7 << 32) | (rng.getrandbits(5) * 9) for _ in range(60)] + [(7 << 32) | (1 << i) for i in range(30)]
+    every = sorted(set(values) | set(near) | set(same_half))
+    fps = spark.createDataFrame([(v,) for v in every], "fp long")
+
+    def groups(**kw):
+        comp = connected_components(simhash.links(fps, crowd=16, **kw)).collect()
+        return {r.node: r.component for r in comp}
+
+    few, many = groups(), groups(broadcast_rows=0)  # the second joins what the first broadcasts
+    assert few == many
+    mask = 2**64 - 1
+    links = {(a, b) for a in every for b in every if a < b and ((a ^ b) & mask).bit_count() <= 2}
+    assert {x for p in links for x in p} == set(few) and all(few[a] == few[b] for a, b in links)
