@@ -187,3 +187,16 @@ def test_enrichment_permutations_by_hand(spark):
             assert r.NES == pytest.approx(r.ES / abs(np.mean(side)))
             beyond = sum(x >= r.NES for x in null) if r.NES >= 0 else sum(x <= r.NES for x in null)
             assert r.pvalue == pytest.approx((beyond + 1) / (len(side) + 1))
+
+
+def test_null_scores_by_segments_and_windows(spark):
+    """Sums between set sizes as by windows over whole orders; orders drawn again where the bound was too low; no literal of all places."""
+    rng = random.Random(9)
+    e = spark.createDataFrame([(f"g{i}", s, rng.random() * 9) for s, gap in (("x", 99), ("y", 5), ("z", 3)) for i in range(60) if i % gap], "gene string, sample string, value double")
+    sizes = spark.createDataFrame([(3,), (8,), (20,), (45,)], "k long")
+    one, two = ({(r.sample, r.k, r.perm_id): r.null for r in ssgsea.null_scores(e, sizes, 15, seed=3, sums=n).collect()} for n in (10**6, 0))
+    assert one.keys() == two.keys() and ("z", 45, 0) not in one and all(one[k] == pytest.approx(two[k]) for k in one)
+    places = sorted(range(1, 61), key=lambda p: draw(3, 4, p))[:25]
+    for margin in (6.0, -4.0):
+        first = ssgsea.first_places(e, 60, 25, 15, 3, margin)
+        assert [r.pos for r in first.where("perm_id = 4").orderBy("i").collect()] == places and first.count() == 15 * 25
