@@ -206,29 +206,33 @@ def nu_svr_linear(x: np.ndarray, y: np.ndarray, nu: float, c: float = 1.0, tol:
     multiplier is bounded by c and the sum by c nu n.
     """
     n = len(y)
-    k = x @ x.T
     a = np.zeros((2, n))
     left = c * nu * n / 2
     for i in range(n):
         a[:, i] = min(left, c)
         left -= a[0, i]
-    beta = a[0] - a[1]
-    g = k @ beta - y  # gradient for a; -g for a*
-    diag = np.diag(k)
+    g = x @ ((a[0] - a[1]) @ x) - y  # gradient for a; -g for a*
+    up, down = np.where(a < c - 1e-12, 0.0, np.inf), np.where(a > 1e-12, 0.0, -np.inf)  # what may still grow, and shrink
+    room = np.empty(n)
     for _ in range(max_iter):
         best, pick = tol, None
-        for side, grad in ((0, g), (1, -g)):
-            up = np.where(a[side] < c - 1e-12, grad, np.inf)
-            down = np.where(a[side] > 1e-12, grad, -np.inf)
-            i, j = int(up.argmin()), int(down.argmax())
-            if down[j] - up[i] > best:
-                best, pick = down[j] - up[i], (side, i, j)
+        for side in (0, 1):
+            move = np.add if side == 0 else np.subtract
+            i = int(move(up[side], g, out=room).argmin())
+            j = int(move(down[side], g, out=room).argmax())
+            gain = g[j] - g[i] if side == 0 else g[i] - g[j]
+            if down[side, j] == 0 and up[side, i] == 0 and gain > best:
+                best, pick = gain, (side, i, j)
         if pick is None:
             break
         side, i, j = pick
-        step = best / max(1e-12, diag[i] + diag[j] - 2 * k[i, j])
+        d = x[i] - x[j]  # a column of the kernel matrix when it is needed: n x n numbers are never held
+        step = best / max(1e-12, d @ d)
         step = min(step, c - a[side, i], a[side, j])
         a[side, i] += step
         a[side, j] -= step
-        g += (step if side == 0 else -step) * (k[:, i] - k[:, j])
+        for at in (i, j):
+            up[side, at] = 0.0 if a[side, at] < c - 1e-12 else np.inf
+            down[side, at] = 0.0 if a[side, at] > 1e-12 else -np.inf
+        g += x @ (d if side == 0 else -d) * step
     return (a[0] - a[1]) @ x

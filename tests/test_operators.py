@@ -470,3 +470,20 @@ def test_sampling_moves_only_what_it_may_take(spark):
     got = decomposition._deviations(own, e, ["s0", "s1", "s2", "s3"], 1).first()
     whole = own.join(e, "gene").groupBy("draw").applyInPandas(decomposition._svd, "draw int, sd1 double, sd2 double").first()
     assert (got.sd1, got.sd2) == pytest.approx((whole.sd1, whole.sd2))
+
+
+def test_svr_holds_no_kernel_matrix():
+    import tracemalloc
+
+    import numpy as np
+
+    from lociframe.functions import kernels
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2000, 3))
+    y = x @ np.array([0.5, 0.3, 0.0]) + rng.normal(size=2000) * 0.05
+    tracemalloc.start()
+    w = kernels.nu_svr_linear(x, y, 0.5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert w == pytest.approx([0.5, 0.3, 0.0], abs=0.02) and most < 4e6  # 2000 x 2000 numbers would take 32 MB
