@@ -189,12 +189,22 @@ def wide_fingerprint(h: np.ndarray, size: int = 2, block: int = 1 << 16) -> list
     return out
 
 
+def _sources(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, source): source, a hash of both, names a row's text when it is read again."""
+    return with_columns(docs, doc_id="long", text="string").withColumn("source", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+
+
+def _digest(s: np.ndarray) -> int:
+    """Signed 64-bit hash of a set of hashes."""
+    return int(_mix(np.array([_mix(s + _M1).sum(dtype=np.uint64) + np.uint64(len(s))])).view(np.int64)[0])
+
+
 def signatures(docs: DataFrame, shingle: int = 5, fingerprint_shingle: int = 2) -> DataFrame:
-    """(doc_id, f0, f1, digest, size, hashes, w0, w1, ...) for every row.
+    """(doc_id, source, f0, f1, digest, size, w0, w1, ...) for every row.
 
-    f0, f1: fingerprint words; hashes: the sorted distinct hashes of the
-    ``shingle``-word shingles, size their number, digest a hash of them all;
-    w0, ...: a bitmap of the hashes.
+    source: by which :func:`shingle_sets` finds the text again; f0, f1:
+    fingerprint words; digest: a hash of the distinct hashes of the
+    ``shingle``-word shingles, size their number; w0, ...: a bitmap of them.
     """
 
     def run(batches):
@@ -202,25 +212,72 @@ def signatures(docs: DataFrame, shingle: int = 5, fingerprint_shingle: int = 2)
         for b in small_batches(batches, "text", 1 << 20):
             if len(known) > 100_000:
                 known.clear()
-            sets, fps, digest, bits = [], [], [], []
+            sizes, fps, digest, bits = [], [], [], []
             for t in utf8(b.column("text")):
                 h = _word_hashes(t, known)
                 s = np.unique(_gram_hashes(h, shingle))
                 at = np.zeros(64 * _SKETCH, np.uint8)
                 at[s % np.uint64(64 * _SKETCH)] = 1
                 fps.append(wide_fingerprint(h, fingerprint_shingle))
-                digest.append(int(_mix(np.array([_mix(s + _M1).sum(dtype=np.uint64) + np.uint64(len(s))])).view(np.int64)[0]))
+                digest.append(_digest(s))
                 bits.append(np.packbits(at).view(np.int64))
-                sets.append(s.view(np.int64))
-            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(sets)))
+                sizes.append(len(s))
             f, w = np.array(fps, np.int64), np.stack(bits)
-            cols = [b.column("doc_id"), *(pa.array(f[:, k].copy()) for k in range(_WORDS)), pa.array(digest, pa.int64()), pa.array(sizes), lists, *(pa.array(w[:, k].copy()) for k in range(_SKETCH))]
+            cols = [b.column("doc_id"), b.column("source"), *(pa.array(f[:, k].copy()) for k in range(_WORDS)), pa.array(digest, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(w[:, k].copy()) for k in range(_SKETCH))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    names = ["doc_id", *_FP, "digest", "size", "hashes", *(f"w{k}" for k in range(_SKETCH))]
-    schema = ", ".join(f"{c} array<bigint>" if c == "hashes" else f"{c} bigint" for c in names)
-    return with_columns(docs, doc_id="long", text="string").mapInArrow(tidy(run), schema)
+    names = ["doc_id", "source", *_FP, "digest", "size", *(f"w{k}" for k in range(_SKETCH))]
+    return _sources(docs).mapInArrow(tidy(run), ", ".join(f"{c} bigint" for c in names))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(row, hashes): the sorted distinct shingle hashes of the texts that ``wanted`` (row, source, digest) names.
+
+    The texts are read again and the others left where they lie, so that only
+    the sets of wanted texts move, and only if ``wanted`` has over
+    ``broadcast_rows`` rows.  A row that ``docs`` repeats may be given once by
+    each task.
+    """
+
+    def run(batches):
+        known: dict[bytes, int] = {}
+        seen: set[tuple[int, int]] = set()
+        for b in small_batches(batches, "text", 1 << 20):
+            if len(known) > 100_000:
+                known.clear()
+            source, digest, sets = [], [], []
+            for at, t in zip(b.column("source").to_pylist(), utf8(b.column("text")), strict=True):
+                s = shingle_hashes(t, shingle, known)
+                d = _digest(s)
+                if (at, d) not in seen:
+                    seen.add((at, d))
+                    source.append(at)
+                    digest.append(d)
+                    sets.append(s.view(np.int64))
+            if sets:
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([pa.array(source, pa.int64()), pa.array(digest, pa.int64()), lists], ["source", "digest", "hashes"])
+
+    texts = among(_sources(docs), wanted.select("source")).select("source", "text")
+    sets = texts.mapInArrow(tidy(run), "source bigint, digest bigint, hashes array<bigint>")
+    return sets.join(F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted, ["source", "digest"]).select("row", "hashes")
+
+
+def among(rows: DataFrame, wanted: DataFrame, bits: int = 32, most: int = 1 << 29) -> DataFrame:
+    """Those of ``rows`` whose hash is in ``wanted``, whose one column, a long, ``rows`` has too; about one in ``bits`` of the others slips in.
+
+    ``rows`` do not move: a bitmap of the wanted hashes, ``bits`` of them
+    (a power of two) for each, is broadcast in parts of 4 KB; it has at most
+    ``most`` bits (64 MB), beyond which more others slip in.
+    """
+    (name,) = wanted.columns
+    n = min(most, max(1 << 15, bits << max(0, wanted.count() - 1).bit_length()))
+    place = f"({name} & 32767L)"
+    part = F.expr(f"shiftright({name} & {n - 1}L, 15)")
+    maps = wanted.select(part.alias("_part"), F.expr(place).alias("_at")).repartition("_part").groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = f"cast(conv(hex(substring(_bits, cast({place} div 8 as int) + 1, 1)), 16, 10) as int)"
+    held = F.expr(f"shiftright({byte}, cast({name} & 7L as int)) & 1 = 1")
+    return rows.join(F.broadcast(maps), (part == F.col("_part")) & held, "left_semi")
 
 
 def _distance() -> Column:
@@ -406,9 +463,11 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
     their pairs that are not yet in one group and that no sketch proves
     dissimilar.
 
-    Texts are read once, in Python; what follows moves ids, fingerprints and,
-    of the proposed texts only, hashes (their ids and pairs, longs, are
-    broadcast up to ``broadcast_rows``, shuffled beyond).  component_id is the smallest doc_id of the group.  Null texts
+    Texts are read in Python, those of proposed pairs that the sketches leave
+    once more (``docs`` has to give the same rows again); what moves is ids,
+    fingerprints and, of these texts only, hashes (their ids and pairs, longs,
+    are broadcast up to ``broadcast_rows``, shuffled beyond).  component_id is
+    the smallest doc_id of the group.  Null texts
     count as empty; empty texts are one group; rows with a null doc_id take
     part and keep the null; repeated rows are one node; bytes of any encoding
     and texts of any length are read whole; an empty table gives an empty one;
@@ -422,14 +481,21 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, f
         held = lambda x: F.broadcast(x) if x.count() <= broadcast_rows else x
         both_ends = lambda x: x.select(F.col("u").alias("row")).union(x.select("v")).distinct()
         wanted = durable(both_ends(pairs), "wanted")
-        sketch = durable(sig.select("row", "size", *(f"w{k}" for k in range(_SKETCH))).join(held(wanted), "row", "left_semi"), "sketches")
+        sketch = durable(sig.select("row", "source", "digest", "size", *(f"w{k}" for k in range(_SKETCH))).join(held(wanted), "row", "left_semi"), "sketches")
         one, two = sketch.alias("a"), sketch.alias("b")
         of = held(pairs).alias("p")
         possible = one.join(of, F.col("a.row") == F.col("p.u")).join(two, F.col("b.row") == F.col("p.v")).where(_may_be_similar(similarity)).select("p.u", "p.v")
         possible = durable(possible, "possible")
-        drop_durable(wanted, sketch)
-        wanted = durable(both_ends(possible), "wanted")
-        sets = durable(sig.select("row", "hashes").join(held(wanted), "row", "left_semi"), "sets")
+        drop_durable(wanted)
+        wanted = durable(sketch.select("row", "source", "digest").join(both_ends(possible), "row", "left_semi"), "wanted")
+        drop_durable(sketch)
+        sets = durable(shingle_sets(docs, wanted, shingle, broadcast_rows), "sets")
+        n, distinct = sets.agg(F.count("row"), F.count_distinct("row")).first()
+        if distinct != wanted.count():
+            raise RuntimeError("the documents' rows changed between two readings")
+        if n > distinct:  # of repeated rows
+            repeated, sets = sets, durable(sets.dropDuplicates(["row"]), "sets")
+            drop_durable(repeated)
         one, two = sets.withColumnsRenamed({"row": "u", "hashes": "a"}), sets.withColumnsRenamed({"row": "v", "hashes": "b"})
         both = one.join(held(possible), "u").join(two, "v").withColumn("shared", F.size(F.array_intersect("a", "b")))
         out = durable(both.where(F.col("shared") >= similarity * (F.size("a") + F.size("b") - F.col("shared")) - 1e-9).select("u", "v"), "near")

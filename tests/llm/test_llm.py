@@ -253,6 +253,57 @@ def test_equal_fingerprints_are_compared(spark):
     assert got == {1: 1, None: 1, 2: 1}
 
 
+def test_only_sets_of_texts_that_may_be_similar_are_written(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = [(n, " ".join(words(rng, 120, 4000))) for n in range(200)]
+    near = docs[20][1].split()
+    near[50] = "other"
+    docs += [(300, " ".join(near)), (301, docs[20][1]), (None, " ".join(near)), (300, " ".join(near))]
+    tables = []
+
+    def written(df, name):
+        out = durable(df, name)
+        tables.append((name, out.count(), [t for _, t in df.dtypes if t.startswith("array")]))
+        return out
+
+    monkeypatch.setattr(simhash, "durable", written)
+    got = simhash.similar_groups(spark.createDataFrame(docs, DOCS).repartition(5)).collect()
+    assert sorted((r.doc_id or -1, r.component_id) for r in got) == sorted([(n, n) for n in range(200) if n] + [(-1, 0), (-1, 20), (300, 20), (300, 20), (301, 20)])
+    assert sum(n for _, n, arrays in tables if arrays) <= 4  # sets of two texts, a repeated row's twice at most
+    monkeypatch.setattr(simhash, "shingle_sets", lambda docs, wanted, *_: wanted.selectExpr("row", "array(row) hashes").limit(1))
+    with pytest.raises(RuntimeError, match="changed"):
+        simhash.similar_groups(spark.createDataFrame(docs, DOCS))
+
+
+@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
+def test_sets_are_read_again_exactly(spark, broadcast_rows):
+    rng = random.Random(4)
+    docs = [(n, " ".join(words(rng, n))) for n in range(60)] + [(None, "q r s"), (70, None), (71, ""), (72, "A b C d E f")]
+    frame = spark.createDataFrame(docs * 2, DOCS).repartition(3)  # every row twice
+    sig = simhash.signatures(frame).groupBy("source", "digest").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"))
+    wanted = durable(sig.where("doc_id is null or doc_id % 3 = 1 or doc_id >= 70").select(F.coalesce("doc_id", F.lit(-1)).alias("row"), "source", "digest", "size"), "wanted")
+    got = simhash.shingle_sets(frame, wanted.drop("size"), broadcast_rows=broadcast_rows).collect()
+    text = {-1 if i is None else i: t for i, t in docs}
+    assert {r.row for r in got} == {i for i in text if i < 0 or i % 3 == 1 or i >= 70}
+    size = {r.row: r["size"] for r in wanted.collect()}
+    for r in got:
+        assert r.hashes == simhash.shingle_hashes((text[r.row] or "").encode(), 5).view(np.int64).tolist() and len(r.hashes) == size[r.row]
+
+
+@pytest.mark.parametrize("most", [1 << 29, 1 << 16])
+def test_among_keeps_all_wanted_and_few_others(spark, most):
+    rng = random.Random(6)
+    every = [rng.randrange(-(2**63), 2**63) for _ in range(9000)] + [0, -1, 2**63 - 1, -(2**63)]
+    want = set(every[::4] + every[-4:])
+    rows = spark.createDataFrame([(n, h) for n, h in enumerate(every)] + [(-1, None)], "n long, h long")
+    wanted = spark.createDataFrame([(h,) for h in sorted(want)], "h long")
+    got = simhash.among(rows, wanted, most=most)
+    assert got.columns == ["n", "h"] and "Exchange hashpartitioning(h" not in got._jdf.queryExecution().toString()
+    kept = [r.h for r in got.collect()]
+    assert want <= set(kept) and None not in kept and len(kept) <= len(want) + 0.06 * len(every)
+    assert simhash.among(rows, wanted.limit(0)).count() == 0
+
+
 # -- toxicity ----------------------------------------------------------------------
 
 
