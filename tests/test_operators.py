@@ -487,3 +487,48 @@ def test_svr_holds_no_kernel_matrix():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert w == pytest.approx([0.5, 0.3, 0.0], abs=0.02) and most < 4e6  # 2000 x 2000 numbers would take 32 MB
+
+
+def test_svr_ends_at_the_optimum_of_many_rows():
+    import numpy as np
+
+    from lociframe.functions import kernels
+
+    rng = np.random.default_rng(4)
+    for n in (300, 20_000):
+        x = rng.normal(size=(n, 3))
+        y = x @ np.array([0.5, 0.3, 0.0]) + rng.normal(size=n)
+
+        def loss(v, n=n, x=x, y=y):  # the regression as a minimum over weights and intercept: the largest nu n residuals count
+            return v[:3] @ v[:3] / 2 + np.sort(np.abs(y - x @ v[:3] - v[3]))[-n // 2 :].sum()
+
+        w = kernels.nu_svr_linear(x, y, 0.5)
+        assert w == pytest.approx([0.5, 0.3, 0.0], abs=5 / n**0.5)
+        near = np.median(y - x @ w) + np.linspace(-0.1, 0.1, 2001)
+        best = min(near, key=lambda b: loss(np.append(w, b)))
+        for away in rng.normal(size=(200, 4)) * 0.003:
+            assert loss(np.append(w, best)) <= loss(np.append(w, best) + away) + n * 1e-7
+    none = rng.integers(0, 3, (600, 3)).astype(float)  # ties without a relation: zero weights, not their rounding brought to a sum of 1
+    w, _, r = decomposition._deconvolve((none - none.mean()) / none.std(), np.where(np.arange(600) % 100 == 0, 10.0, -0.1), False, "sig_score")
+    assert not w.any() and np.isnan(r)
+
+
+def test_cibersort_reads_its_inputs_once(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    s = rng.gamma(2, 100, (40, 3))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    sig = spark.createDataFrame([(f"g{i:02}", f"c{j}", float(s[i, j])) for i in range(40) for j in range(3)], "gene string, cell_type string, value double")
+    mix = spark.createDataFrame([(f"g{i:02}", f"m{k}", float(s[i] @ np.roll([0.6, 0.3, 0.1], k))) for i in range(5, 40) for k in range(2)], "gene string, sample string, value double")
+    run = lambda m: {(r.sample, r.cell_type): r for r in decomposition.run_cibersort(m, sig.mapInPandas(count, sig.schema), perm=20).collect()}
+    got = run(mix.mapInPandas(count, mix.schema))
+    assert seen.value == 120 + 70
+    assert got == run(mix.repartition(3, "value"))  # the random mixtures do not depend on partitions
+    assert got["m0", "c0"].weight > 0.5 and got["m1", "c1"].weight > 0.5
